@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import noise as ns, vectors as vx
 from steerframe.operators.skew import HOT_ROWS, attach_group_rows
@@ -171,28 +171,13 @@ def log_partition(df: DataFrame, group: list[str], score: str) -> DataFrame:
         F.sum(F.exp(F.col(score) - band * F.lit(_BAND))).alias("_sum"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    base = (F.col("_band") * F.lit(_BAND)).cast("double")
-    return (
-        banded.groupBy(*group)
-        .agg(
-            F.array_agg(F.struct(base.alias("base"), F.col("_sum").alias("sum"))).alias("_bands"),
-            F.sum("_rows").alias("_rows"),
-        )
-        .withColumn("_top", F.array_max(F.transform("_bands", lambda b: b["base"])))
-        .select(
-            *group,
-            "_rows",
-            (
-                F.col("_top")
-                + F.ln(
-                    F.aggregate(
-                        "_bands",
-                        F.lit(0.0),
-                        lambda acc, b: acc + b["sum"] * F.exp(b["base"] - F.col("_top")),
-                    )
-                )
-            ).alias("log_z"),
-        )
+    top = F.max("_band").over(Window.partitionBy(*group))
+    weighted = banded.withColumn("_top", top).withColumn(
+        "_sum", F.col("_sum") * F.exp((F.col("_band") - F.col("_top")) * F.lit(_BAND))
+    )
+    return weighted.groupBy(*group).agg(
+        F.sum("_rows").alias("_rows"),
+        (F.first("_top") * F.lit(_BAND) + F.ln(F.sum("_sum"))).alias("log_z"),
     )
 
 
@@ -246,15 +231,13 @@ def split_vec(df: DataFrame, heads: int, vec: str = "vec") -> DataFrame:
 
 
 def concat_vec(
-    df: DataFrame, key: list[str], heads: int, head: str = "head", vec: str = "vec"
+    df: DataFrame, key: list[str], head: str = "head", vec: str = "vec"
 ) -> DataFrame:
-    """The inverse of ``split_vec``; a key has one row for each of its ``heads`` heads."""
+    """The inverse of ``split_vec``; (key, head) is unique, so a list holds one vector."""
     require(df, [*key, head, vec], "concat_vec")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(head), F.col(vec).alias("v"))))
-    # one aggregate per head instead would grow the plan; the list holds `heads` parts
     return (
-        df.filter(F.col(head).between(0, heads - 1))
-        .groupBy(*key)
+        df.groupBy(*key)
         .agg(ordered.alias("_parts"))
         .withColumn(vec, F.flatten(F.transform("_parts", lambda p: p["v"])))
         .drop("_parts")
