@@ -59,3 +59,18 @@ def attach_group_rows(
         .drop("_pieces")
     )
     return salted_rows.drop("_pieces").join(salted_groups, [*keys, "_piece"], how).drop("_piece")
+
+
+def attach_counted(
+    rows: DataFrame,
+    groups: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``attach_group_rows`` for groups that do not know their row count yet."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return attach_group_rows(
+        rows, groups.join(counts, keys), keys, "_rows", spread_by, how, hot_rows
+    )
