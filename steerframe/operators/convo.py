@@ -197,6 +197,7 @@ def kept_history(
     conv: str,
     cost: Cost,
     block: int = BLOCK,
+    shown_only: bool = False,
 ) -> DataFrame:
     """History rows that fit, newest first, for specs with worked-out budgets.
 
@@ -204,6 +205,9 @@ def kept_history(
     fit. Per conversation and block of turns, text costs are pre-aggregated; a block
     whose newer blocks already exceed the room is dropped before any text moves, and
     the rest is summed inside blocks, so no task holds more than a block.
+
+    A prompt that shows no history has room for all of it. With ``shown_only`` such a
+    spec keeps just the newest message, which a continued prompt still shows.
     """
     history = _history(messages, conv).withColumn("_block", block_of(F.col("turn"), block))
     is_user = F.col("role") == "user"
@@ -249,25 +253,30 @@ def kept_history(
         .withColumn("_newer", F.coalesce(F.sum(block_cost).over(newer), F.lit(0)))
         .withColumn("_newest", F.first("_newest").over(newest_first))
         .withColumn("_room", F.col("_room") - moved)
-        .filter(
-            (F.col("_newer") <= F.col("_room"))
-            # a spec whose newest message is shown elsewhere may have room below zero here
-            | (F.col("_last_outside") & (F.col("_newer") == 0))
-        )
+        .filter(F.col("_newer") <= F.col("_room"))
         .drop("_text_cost", "_users", "_assistants", "_newest")
     )
+    if shown_only:
+        unseen = F.col("_repeat") == 0
+        open_blocks = open_blocks.withColumn(
+            "_newest_block", F.max("_block").over(Window.partitionBy(*keys))
+        ).filter(~unseen | (F.col("_block") == F.col("_newest_block")))
     inside = Window.partitionBy(*keys, "_block").orderBy(F.desc("turn"))
     message_cost = F.col("_repeat") * (cost(F.col("text")) + _message_over())
-    return (
-        open_blocks.join(history, list(dict.fromkeys([conv, "_block"])))
+    fitting = (
+        open_blocks.join(history, [conv, "_block"])
         .withColumn(
             "_upto",
             F.col("_newer")
             + F.sum(message_cost).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         )
         .filter(F.col("_upto") <= F.col("_room"))
-        .select(*keys, "turn", "role", "text")
     )
+    if shown_only:
+        fitting = fitting.withColumn("_rank", F.row_number().over(inside)).filter(
+            ~unseen | (F.col("_rank") == 1)
+        )
+    return fitting.select(*keys, "turn", "role", "text")
 
 
 def kept_rows(
@@ -314,12 +323,14 @@ def truncate_to_budget(
     """Add ``messages``, the array a prompt keeps: as many of the newest as fit.
 
     Oldest messages go first and the system message last; if it does not fit alone,
-    nothing is left. The array is bounded by the budget, not by the conversation.
+    nothing is left. The array is bounded by the budget, not by the conversation: of a
+    history that the prompt does not show, only the newest message is in it
+    (``kept_rows`` has them all).
     """
     require(specs, [*keys, conv, *SPEC_COLUMNS], "truncate_to_budget")
     budgets = _budgets(specs, formats, cost)
     kept = (
-        kept_history(budgets, messages, keys, conv, cost, block)
+        kept_history(budgets, messages, keys, conv, cost, block, shown_only=True)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_kept"))
     )
