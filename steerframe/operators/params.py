@@ -216,28 +216,25 @@ def unflatten(params: DataFrame, keys: list[str], max_depth: int = 4) -> DataFra
         F.col("value").alias("_value"),
         F.lit(None).cast("string").alias("_sub"),
     )
-    nodes = checked
+    below = None
     for depth in range(max_depth, 0, -1):
-        here = (F.size("path") == depth)
-        level = (
-            nodes.filter(here)
-            .groupBy(*keys, "path")
-            .agg(F.max("_value").alias("_value"), F.max("_sub").alias("_sub"))
-        )
+        nodes = checked.filter(F.size("path") == depth)
+        if below is not None:
+            nodes = nodes.unionByName(below)
         own = F.array_compact(
             F.array(
                 _json_entry(F.lit(SAVED_VALUE), F.col("_value")),
                 _json_entry(F.lit(SAVED_CHILDREN), F.col("_sub")),
             )
         )
+        name = F.element_at("path", -1)
         entry = F.struct(
-            F.element_at("path", -1).alias("name"),
-            _json_entry(F.element_at("path", -1), _json_object(own)).alias("entry"),
+            name.alias("name"), _json_entry(name, _json_object(own)).alias("entry")
         )
-        parents = (
-            level.select(
-                *keys, F.slice("path", 1, depth - 1).alias("path"), entry.alias("_entry")
-            )
+        below = (
+            nodes.groupBy(*keys, "path")
+            .agg(F.max("_value").alias("_value"), F.max("_sub").alias("_sub"))
+            .select(*keys, F.slice("path", 1, depth - 1).alias("path"), entry.alias("_entry"))
             .groupBy(*keys, "path")
             .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
             .select(
@@ -247,8 +244,7 @@ def unflatten(params: DataFrame, keys: list[str], max_depth: int = 4) -> DataFra
                 _json_object(F.transform("_entries", lambda e: e["entry"])).alias("_sub"),
             )
         )
-        nodes = nodes.filter(~here).unionByName(parents)
-    return nodes.select(*keys, F.col("_sub").alias("tree"))
+    return below.select(*keys, F.col("_sub").alias("tree"))
 
 
 def select_sets(

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from steerframe.schemas import require
 
 # Fixed value: the character a decoder shows for bytes that are not complete yet.
-INCOMPLETE = "�"
+INCOMPLETE = "\ufffd"
 
 CHUNK_COLUMNS = ["key", "seq", "ts", "text"]
 
