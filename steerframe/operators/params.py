@@ -17,24 +17,30 @@ _NODES = "array<struct<path:array<string>,pos:array<int>,raw:string,json:string>
 
 
 def _children(raw: Column) -> Column:
-    """Entries of a JSON object in their written order.
+    """Entries of a JSON object in their written order; ``json`` is null for an object.
 
     The string form keeps the order of nested objects, which the variant form sorts;
-    the variant form tells a string that looks like JSON from an object.
+    the variant form tells a number or an object from a string that looks like one.
     """
     as_text = F.map_entries(F.from_json(raw, "map<string,string>"))
     as_variant = F.map_entries(F.from_json(raw, "map<string,variant>"))
-    return F.zip_with(
-        as_text,
-        as_variant,
-        lambda t, v: F.struct(
-            t["key"].alias("key"), t["value"].alias("raw"), F.to_json(v["value"]).alias("json")
-        ),
-    )
+
+    def child(text: Column, variant: Column) -> Column:
+        # only a text with a leading brace can be an object, so most need no second look
+        is_object = F.coalesce(text["value"].startswith("{"), F.lit(False)) & (
+            F.try_variant_get(variant["value"], "$", "map<string,variant>").isNotNull()
+        )
+        return F.struct(
+            text["key"].alias("key"),
+            text["value"].alias("raw"),
+            F.when(~is_object, F.to_json(variant["value"])).alias("json"),
+        )
+
+    return F.zip_with(as_text, as_variant, child)
 
 
 def _is_object(node: Column) -> Column:
-    return node["json"].startswith("{")
+    return node["json"].isNull()
 
 
 def _expand_level(nodes: Column) -> Column:
@@ -71,7 +77,7 @@ def flatten_params(
             F.array().cast("array<string>").alias("path"),
             F.array().cast("array<int>").alias("pos"),
             text.alias("raw"),
-            F.coalesce(F.to_json(F.try_parse_json(text)), F.lit("null")).alias("json"),
+            F.lit(None).cast("string").alias("json"),
         )
     )
     nodes = root

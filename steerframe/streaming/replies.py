@@ -24,7 +24,7 @@ CHUNK_COLUMNS = ["key", "seq", "ts", "text"]
 def within_cap(chunks: DataFrame, max_chunks: int, stop_at=None) -> DataFrame:
     """Chunks that may belong to a reply: under the cap and before a global stop."""
     require(chunks, CHUNK_COLUMNS, "accumulate")
-    kept = chunks.select(*CHUNK_COLUMNS).filter(
+    kept = chunks.select("key", "seq", F.col("ts").cast("timestamp").alias("ts"), "text").filter(
         (F.col("seq") >= 0) & (F.col("seq") < max_chunks)
     )
     return kept if stop_at is None else kept.filter(F.col("ts") < F.lit(stop_at))
@@ -154,10 +154,14 @@ def _rates(grouped, prior: str | None) -> DataFrame:
     return grouped.agg(*aggregates)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def throughput(events: DataFrame, key: list[str], prior: str | None = None) -> DataFrame:
     """Seconds, new items, items per second and prior size of each run."""
     require(events, [*key, "ts", *([prior] if prior else [])], "throughput")
-    return _rates(events.groupBy(*key), prior)
+    return _rates(_timed(events).groupBy(*key), prior)
 
 
 def throughput_stream(
@@ -165,5 +169,5 @@ def throughput_stream(
 ) -> DataFrame:
     """The same per tumbling window of a stream."""
     require(events, [*key, "ts"], "throughput_stream")
-    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", width), *key)
+    windowed = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), *key)
     return _rates(windowed, prior)
