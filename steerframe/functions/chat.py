@@ -45,44 +45,37 @@ DEFAULT_FORMATS: Formats = {
 }
 
 
-class Renderer:
-    """Formats messages with one table; names are columns of the row."""
+ROLES = ("system", "user", "assistant")
 
-    def __init__(self, formats: Formats, name1: Column, name2: Column):
-        self.formats = formats
-        self.name1, self.name2 = name1, name2
 
-    def _named(self, literal: str) -> Column:
+def role_formats(formats: Formats, template: str, name1: Column, name2: Column) -> Column:
+    """One template's formats as a map from role to prefix and suffix, names filled in."""
+
+    def named(literal: str) -> Column:
         out = F.lit(literal)
         if NAME1_MARK in literal:
-            out = F.replace(out, F.lit(NAME1_MARK), self.name1)
+            out = F.replace(out, F.lit(NAME1_MARK), name1)
         if NAME2_MARK in literal:
-            out = F.replace(out, F.lit(NAME2_MARK), self.name2)
+            out = F.replace(out, F.lit(NAME2_MARK), name2)
         return out
 
-    def _pick(self, template: Column, role: Column, part: str) -> Column:
-        picked = F.lit("")
-        for (t, r), fmt in self.formats.items():
-            literal = getattr(fmt, part)
-            picked = F.when(
-                (template == t) & (role == r), self._named(literal)
-            ).otherwise(picked)
-        return picked
+    entries = []
+    for role in ROLES:
+        fmt = formats[(template, role)]
+        entries += [
+            F.lit(role),
+            F.struct(named(fmt.prefix).alias("prefix"), named(fmt.suffix).alias("suffix")),
+        ]
+    return F.create_map(*entries)
 
-    def prefix(self, template: Column, role: Column) -> Column:
-        return self._pick(template, role, "prefix")
 
-    def suffix(self, template: Column, role: Column) -> Column:
-        return self._pick(template, role, "suffix")
+def piece(fmt: Column, role: Column, text: Column) -> Column:
+    return let(fmt[role], lambda f: F.concat(f["prefix"], text, f["suffix"]))
 
-    def piece(self, template: Column, role: Column, text: Column) -> Column:
-        return F.concat(self.prefix(template, role), text, self.suffix(template, role))
 
-    def pieces(self, template: Column, messages: Column) -> Column:
-        """Render an array of messages in its order."""
-        return F.array_join(
-            F.transform(messages, lambda m: self.piece(template, m["role"], m["text"])), ""
-        )
+def pieces(fmt: Column, messages: Column) -> Column:
+    """Render an array of messages in its order."""
+    return F.array_join(F.transform(messages, lambda m: piece(fmt, m["role"], m["text"])), "")
 
 
 def chop(text: Column, n: Column) -> Column:
@@ -90,11 +83,6 @@ def chop(text: Column, n: Column) -> Column:
     return F.substr(text, F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
 
 
-def template_of(mode: Column) -> Column:
-    """Which template renders the history."""
-    return F.when(mode == INSTRUCT, F.lit(INSTRUCT)).otherwise(F.lit(CHAT))
-
-
 def system_text(mode: Column, char_text: Column, inst_text: Column) -> Column:
     """The system message by mode; null if blank."""
     chosen = F.when(mode == INSTRUCT, inst_text).otherwise(char_text)
@@ -122,47 +110,49 @@ def filled_command(command: Column, impersonate: Column, name1: Column, name2: C
     return F.replace(command, F.lit(CHARACTER_MARK), who)
 
 
-def plain_prompt(r: Renderer, template, messages, is_continue, impersonate) -> Column:
+def plain_prompt(
+    fmt: Column, messages: Column, is_continue: Column, impersonate: Column
+) -> Column:
     """Rendered messages with the next turn opened, or the last one left open."""
-    role = speaker(impersonate)
-    body = r.pieces(template, messages)
-    return F.when(is_continue, chop(body, F.length(r.suffix(template, role)))).otherwise(
-        F.concat(body, opening(r.prefix(template, role)))
+    turn = fmt[speaker(impersonate)]
+    body = pieces(fmt, messages)
+    return F.when(is_continue, chop(body, F.length(turn["suffix"]))).otherwise(
+        F.concat(body, opening(turn["prefix"]))
     )
 
 
 def wrapped_prompt(
-    r: Renderer, messages, inst_text, command, user_input, is_continue, impersonate
+    chat: Column,
+    instruct: Column,
+    messages: Column,
+    inst_text: Column,
+    command: Column,
+    user_input: Column,
+    is_continue: Column,
+    impersonate: Column,
 ) -> Column:
     """The chat rendering put into a command, in an outer instruction conversation.
 
-    When continuing, the last message is taken out of the inner text and opens the
-    outer reply instead.
+    ``command`` has its character filled in. When continuing, the last message is taken
+    out of the inner text and opens the outer reply instead.
     """
-    chat, instruct = F.lit(CHAT), F.lit(INSTRUCT)
     inner_messages = F.when(
         is_continue, F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
     ).otherwise(messages)
-    prefix = r.prefix(chat, speaker(impersonate))
+    prefix = chat[speaker(impersonate)]["prefix"]
     reply = F.when(
         is_continue, F.concat(prefix, F.coalesce(last_of(messages)["text"], F.lit("")))
     ).otherwise(opening(prefix))
     outer_system = F.when(
-        ~tx.is_blank(inst_text), r.piece(instruct, F.lit("system"), inst_text)
+        ~tx.is_blank(inst_text), piece(instruct, F.lit("system"), inst_text)
     ).otherwise(F.lit(""))
-    request = F.replace(
-        filled_command(command, impersonate, r.name1, r.name2),
-        F.lit(PROMPT_MARK),
-        r.pieces(chat, inner_messages),
-    )
+    request = F.replace(command, F.lit(PROMPT_MARK), pieces(chat, inner_messages))
     exchange = F.concat(
-        r.piece(instruct, F.lit("user"), request),
-        r.piece(instruct, F.lit("assistant"), reply),
+        piece(instruct, F.lit("user"), request), piece(instruct, F.lit("assistant"), reply)
     )
     outer = F.concat(
         outer_system,
         F.when(user_input.contains(tx.NOCHAT_MARKER), F.lit("")).otherwise(exchange),
     )
-    return let(
-        outer, lambda text: chop(text, F.length(r.suffix(instruct, F.lit("assistant"))))
-    )
+    suffix = instruct[F.lit("assistant")]["suffix"]
+    return let(outer, lambda text: chop(text, F.length(suffix)))

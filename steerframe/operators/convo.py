@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import chat as ch, text as tx
-from steerframe.functions.core import let
 from steerframe.operators.running import BLOCK, block_of
 from steerframe.operators.skew import HOT_ROWS, attach_counted
 from steerframe.schemas import require
@@ -109,63 +108,80 @@ def assemble_messages(
     )
 
 
+def _with_formats(specs: DataFrame, formats: ch.Formats) -> DataFrame:
+    """Add the formats of both templates and of the one that renders the history."""
+    name1, name2 = F.col("name1"), F.col("name2")
+    both = specs.withColumns(
+        {
+            "_chat": ch.role_formats(formats, ch.CHAT, name1, name2),
+            "_instruct": ch.role_formats(formats, ch.INSTRUCT, name1, name2),
+            "_command": ch.filled_command(F.col("command"), F.col("impersonate"), name1, name2),
+        }
+    )
+    return both.withColumn(
+        "_format",
+        F.when(F.col("mode") == ch.INSTRUCT, F.col("_instruct")).otherwise(F.col("_chat")),
+    )
+
+
 def _budgets(specs: DataFrame, formats: ch.Formats, cost: Cost) -> DataFrame:
     """Everything about a prompt's length that does not depend on the history."""
-    own = _with_own_messages(specs)
-    r = ch.Renderer(formats, F.col("name1"), F.col("name2"))
-    wrapped = F.col("mode") == ch.CHAT_INSTRUCT
-    template = ch.template_of(F.col("mode"))
-    role = ch.speaker(F.col("impersonate"))
-    instruct, assistant, user = F.lit(ch.INSTRUCT), F.lit("assistant"), F.lit("user")
+    columns = [*specs.columns, "system_text", "user_text"]
+    own = _with_formats(_with_own_messages(specs), formats)
+    template, outer = F.col("_format"), F.col("_instruct")
     is_continue = F.col("is_continue")
-    silent = F.col("user_input").contains(tx.NOCHAT_MARKER)
-
-    def overhead(t: Column, who: Column) -> Column:
-        return cost(r.prefix(t, who)) + cost(r.suffix(t, who))
 
-    command = ch.filled_command(
-        F.col("command"), F.col("impersonate"), F.col("name1"), F.col("name2")
-    )
-    bare_command = F.replace(command, F.lit(ch.PROMPT_MARK), F.lit(""))
-    mentions = (F.length(command) - F.length(bare_command)) / F.lit(len(ch.PROMPT_MARK))
-    opened = F.when(is_continue, cost(r.prefix(template, role))).otherwise(
-        cost(ch.opening(r.prefix(template, role)))
-    )
-    exchange = (
-        overhead(instruct, user)
-        + cost(bare_command)
-        + overhead(instruct, assistant)
-        + opened
+    def over(fmt: Column, role: str) -> Column:
+        f = fmt[F.lit(role)]
+        return cost(f["prefix"]) + cost(f["suffix"])
+
+    turn = template[ch.speaker(F.col("impersonate"))]
+    bare_command = F.replace("_command", F.lit(ch.PROMPT_MARK), F.lit(""))
+    measured = own.select(
+        *columns,
+        (F.col("mode") == ch.CHAT_INSTRUCT).alias("_wrapped"),
+        F.col("user_input").contains(tx.NOCHAT_MARKER).alias("_silent"),
+        over(template, "user").alias("_user_over"),
+        over(template, "assistant").alias("_assistant_over"),
+        over(template, "system").alias("_system_over"),
+        F.coalesce(cost(F.col("system_text")), F.lit(0)).alias("_system_len"),
+        cost(F.col("user_text")).alias("_user_len"),
+        F.when(is_continue, cost(turn["prefix"]))
+        .otherwise(cost(ch.opening(turn["prefix"])))
+        .alias("_opened"),
+        cost(turn["suffix"]).alias("_turn_suffix"),
+        (cost(bare_command) + over(outer, "user") + over(outer, "assistant")).alias("_request"),
+        ((F.length("_command") - F.length(bare_command)) / F.lit(len(ch.PROMPT_MARK)))
+        .cast("int")
+        .alias("_mentions"),
+        F.when(tx.is_blank(F.col("inst_text")), F.lit(0))
+        .otherwise(over(outer, "system") + cost(F.col("inst_text")))
+        .alias("_outer_system"),
+        cost(outer[F.lit("assistant")]["suffix"]).alias("_outer_suffix"),
     )
-    outer_system = F.when(
-        tx.is_blank(F.col("inst_text")), F.lit(0)
-    ).otherwise(overhead(instruct, F.lit("system")) + cost(F.col("inst_text")))
-    wrapped_fixed = (
-        outer_system
-        + F.when(silent, F.lit(0)).otherwise(exchange)
-        - cost(r.suffix(instruct, assistant))
-    )
-    plain_fixed = F.when(is_continue, -cost(r.suffix(template, role))).otherwise(opened)
-    sized = own.withColumns(
-        {
-            # how often the rendered history appears in the prompt
-            "_repeat": F.when(~wrapped, F.lit(1))
-            .when(silent, F.lit(0))
-            .otherwise(mentions.cast("int")),
-            # a continued wrapped prompt shows its last message once, outside the history
-            "_last_outside": wrapped & is_continue,
-            "_last_shown": F.when(silent, F.lit(0)).otherwise(F.lit(1)),
-            "_fixed": F.when(wrapped, wrapped_fixed).otherwise(plain_fixed),
-            "_user_over": overhead(template, user),
-            "_assistant_over": overhead(template, assistant),
-            "_system_len": F.coalesce(cost(F.col("system_text")), F.lit(0)),
-            "_system_over": F.when(F.col("system_text").isNull(), F.lit(0)).otherwise(
-                overhead(template, F.lit("system"))
-            ),
-            "_input_cost": F.coalesce(
-                cost(F.col("user_text")) + overhead(template, user), F.lit(0)
-            ),
-        }
+    wrapped, silent = F.col("_wrapped"), F.col("_silent")
+    exchange = F.when(silent, F.lit(0)).otherwise(F.col("_request") + F.col("_opened"))
+    sized = measured.select(
+        *columns,
+        "_user_over",
+        "_assistant_over",
+        "_system_len",
+        # how often the rendered history appears in the prompt
+        F.when(~wrapped, F.lit(1))
+        .when(silent, F.lit(0))
+        .otherwise(F.col("_mentions"))
+        .alias("_repeat"),
+        # a continued wrapped prompt shows its last message once, outside the history
+        (wrapped & is_continue).alias("_last_outside"),
+        F.when(silent, F.lit(0)).otherwise(F.lit(1)).alias("_last_shown"),
+        F.when(wrapped, F.col("_outer_system") + exchange - F.col("_outer_suffix"))
+        .when(is_continue, -F.col("_turn_suffix"))
+        .otherwise(F.col("_opened"))
+        .alias("_fixed"),
+        F.when(F.col("system_text").isNull(), F.lit(0))
+        .otherwise(F.col("_system_over"))
+        .alias("_system_over"),
+        F.coalesce(F.col("_user_len") + F.col("_user_over"), F.lit(0)).alias("_input_cost"),
     )
     system_inside = F.col("_repeat") * (F.col("_system_len") + F.col("_system_over"))
     system_alone = F.when(
@@ -366,22 +382,19 @@ def render_prompt(
     message open.
     """
     require(specs, [messages, *SPEC_COLUMNS], "render_prompt")
-    r = ch.Renderer(formats, F.col("name1"), F.col("name2"))
-    plain = let(
-        ch.template_of(F.col("mode")),
-        lambda template: ch.plain_prompt(
-            r, template, F.col(messages), F.col("is_continue"), F.col("impersonate")
-        ),
-    )
+    ready = _with_formats(specs, formats)
+    is_continue, impersonate = F.col("is_continue"), F.col("impersonate")
+    plain = ch.plain_prompt(F.col("_format"), F.col(messages), is_continue, impersonate)
     wrapped = ch.wrapped_prompt(
-        r,
+        F.col("_chat"),
+        F.col("_instruct"),
         F.col(messages),
         F.col("inst_text"),
-        F.col("command"),
+        F.col("_command"),
         F.col("user_input"),
-        F.col("is_continue"),
-        F.col("impersonate"),
+        is_continue,
+        impersonate,
     )
-    return specs.withColumn(
+    return ready.withColumn(
         out, F.when(F.col("mode") == ch.CHAT_INSTRUCT, wrapped).otherwise(plain)
-    )
+    ).select(*specs.columns, out)
