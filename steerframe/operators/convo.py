@@ -231,9 +231,9 @@ def kept_history(
         F.sum(cost(F.col("text"))).alias("_text_cost"),
         F.count_if(is_user).alias("_users"),
         F.count_if(~is_user).alias("_assistants"),
-        F.max_by(
-            F.struct(F.col("role"), cost(F.col("text")).alias("len")), F.col("turn")
-        ).alias("_newest"),
+        # plain numbers, so that this stays a hash aggregate
+        F.max_by(is_user, F.col("turn")).alias("_newest_is_user"),
+        F.max_by(cost(F.col("text")), F.col("turn")).alias("_newest_len"),
     )
     # a prompt that cannot keep its new user message keeps no history either
     open_specs = budgets.filter(
@@ -255,22 +255,23 @@ def kept_history(
         + F.col("_users") * F.col("_user_over")
         + F.col("_assistants") * F.col("_assistant_over")
     )
-    newest = F.col("_newest")
-    newest_over = F.when(newest["role"] == "user", F.col("_user_over")).otherwise(
+    newest_over = F.when(F.col("_newest_is_user"), F.col("_user_over")).otherwise(
         F.col("_assistant_over")
     )
     # the newest message is in every kept run, so showing it elsewhere is a constant
     moved = F.when(
         F.col("_last_outside"),
-        F.col("_last_shown") * newest["len"] - F.col("_repeat") * (newest["len"] + newest_over),
+        F.col("_last_shown") * F.col("_newest_len")
+        - F.col("_repeat") * (F.col("_newest_len") + newest_over),
     ).otherwise(F.lit(0))
     open_blocks = (
         open_specs.join(blocks, conv)
         .withColumn("_newer", F.coalesce(F.sum(block_cost).over(newer), F.lit(0)))
-        .withColumn("_newest", F.first("_newest").over(newest_first))
+        .withColumn("_newest_is_user", F.first("_newest_is_user").over(newest_first))
+        .withColumn("_newest_len", F.first("_newest_len").over(newest_first))
         .withColumn("_room", F.col("_room") - moved)
         .filter(F.col("_newer") <= F.col("_room"))
-        .drop("_text_cost", "_users", "_assistants", "_newest")
+        .drop("_text_cost", "_users", "_assistants", "_newest_is_user", "_newest_len")
     )
     if shown_only:
         unseen = F.col("_repeat") == 0

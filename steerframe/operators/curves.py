@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.functions import curves as cv
 from steerframe.operators.running import BLOCK, running_sum
-from steerframe.operators.skew import HOT_ROWS, attach_counted, attach_group_rows
+from steerframe.operators.skew import HOT_ROWS, attach_counted
 from steerframe.schemas import require
 
 
@@ -133,22 +133,17 @@ def layer_to_attn(
 
 
 def block_ordinal(
-    layers: DataFrame,
-    model: list[str],
-    idx: str,
-    flag: Column,
-    block: int = BLOCK,
-    hot_rows: int = HOT_ROWS,
+    layers: DataFrame, model: list[str], idx: str, flag: Column, block: int = BLOCK
 ) -> DataFrame:
     """How many flagged layers come before this one, and how many the model has."""
     require(layers, [*model, idx], "block_ordinal")
-    flagged = layers.withColumn("_flag", F.when(flag, F.lit(1)).otherwise(F.lit(0)))
-    totals = flagged.groupBy(*model).agg(
-        F.sum("_flag").alias("total_blocks"), F.count(F.lit(1)).alias("_rows")
-    )
-    counted = running_sum(
-        flagged, model, idx, F.col("_flag"), "block_idx", exclusive=True, block=block
-    )
-    return attach_group_rows(counted, totals, model, "_rows", [idx], hot_rows=hot_rows).drop(
-        "_flag"
+    return running_sum(
+        layers,
+        model,
+        idx,
+        F.when(flag, F.lit(1)).otherwise(F.lit(0)),
+        "block_idx",
+        exclusive=True,
+        total="total_blocks",
+        block=block,
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from steerframe.functions import vectors as vx
 from steerframe.operators.skew import HOT_ROWS, attach_counted, attach_group_rows
@@ -96,15 +98,22 @@ def _bounded_list(settings: DataFrame) -> list[Setting] | None:
 
 
 def _as_frame(vectors: DataFrame, settings: list[Setting]) -> DataFrame:
-    rows = [(s.set_ord, s.layer_idx, s.site, s.func, s.weight) for s in settings]
-    return vectors.sparkSession.createDataFrame(rows, SETTING)
+    rows = [
+        {name: getattr(setting, name) for name in SETTING.names} for setting in settings
+    ]
+    return vectors.sparkSession.createDataFrame(
+        pa.Table.from_pylist(rows, schema=to_arrow_schema(SETTING))
+    )
 
 
 def _with_settings(vectors: DataFrame, settings: list[Setting] | DataFrame, spread_by) -> DataFrame:
     if isinstance(settings, list):
-        frame = F.broadcast(_as_frame(vectors, settings).drop("set_ord"))
-        return vectors.join(frame, DISPATCH_KEYS, "left")
-    return attach_counted(vectors, settings.drop("set_ord"), DISPATCH_KEYS, spread_by)
+        frame = _as_frame(vectors, settings).drop("set_ord")
+        if len(settings) <= MAX_BROADCAST_SETTINGS:
+            return vectors.join(F.broadcast(frame), DISPATCH_KEYS, "left")
+    else:
+        frame = settings.drop("set_ord")
+    return attach_counted(vectors, frame, DISPATCH_KEYS, spread_by)
 
 
 def _apply_one(

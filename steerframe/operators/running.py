@@ -19,6 +19,7 @@ def running_sum(
     value: Column,
     out: str,
     exclusive: bool = False,
+    total: str | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of a group up to and including this one.
@@ -27,6 +28,7 @@ def running_sum(
     blocks of consecutive order values: rows are summed inside their block, block
     totals (one row each, pre-aggregated before the shuffle) are summed across
     blocks, and the two are added. Both steps share one partitioning of the rows.
+    ``total`` names a column for the sum of the whole group, taken from the same totals.
     """
     blocked = rows.withColumn("_block", block_of(F.col(order), block)).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
@@ -40,15 +42,17 @@ def running_sum(
     )
     before = (
         blocked.groupBy(*keys, "_block")
-        .agg(F.sum("_value").alias("_total"))
+        .agg(F.sum("_value").alias("_sum"))
         .withColumn(
             "_before",
             F.coalesce(
-                F.sum("_total").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ),
         )
-        .drop("_total")
     )
+    if total:
+        before = before.withColumn(total, F.sum("_sum").over(Window.partitionBy(*keys)))
+    before = before.drop("_sum")
     return (
         local.join(before, [*keys, "_block"])
         .withColumn(out, F.col("_before") + F.col("_local"))

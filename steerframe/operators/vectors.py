@@ -217,9 +217,7 @@ def weighted_draw(
     # u may be 0, where the logarithm has no value
     gumbel = -F.ln(-F.ln(F.greatest(u, F.lit(2.0**-54))))
     return candidates.groupBy(*group).agg(
-        F.max_by(F.col(candidate), F.struct(F.col(score) + gumbel, F.col(candidate))).alias(
-            candidate
-        )
+        F.max_by(F.col(candidate), F.col(score) + gumbel).alias(candidate)
     )
 
 
