@@ -18,6 +18,7 @@ from steerframe.functions import noise as ns, vectors as vx
 from steerframe.operators import dispatch as dp, vectors as vo
 from steerframe.operators.lookup import weighted_lookup
 
+DIM = 64
 THETA = 0.4
 SEED = 11
 
@@ -44,7 +45,7 @@ b AS (
 
 
 def steer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steered = vo.steer_from_negatives(batches(spark, sf_dir), ["group_id"], 0.3)
+    steered = vo.steer_from_negatives(batches(spark, sf_dir), ["group_id"], 0.3, dim=DIM)
     return components(steered, ["group_id", "batch_idx"])
 
 
@@ -98,7 +99,7 @@ shift AS (
 
 
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dp.apply_settings(sited(spark, sf_dir), SETTINGS, ["group_id"])
+    out = dp.apply_settings(sited(spark, sf_dir), SETTINGS, ["group_id"], dim=DIM)
     return components(out, ["group_id", "batch_idx", "layer_idx", "site"])
 
 
@@ -201,7 +202,7 @@ def rotated(spark: SparkSession, sf_dir: str, noise: ns.Noise) -> DataFrame:
 
 
 def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(rotated(spark, sf_dir, ns.arithmetic), ["vec_id"], "after")
+    return components(rotated(spark, sf_dir, ns.ARITHMETIC), ["vec_id"], "after")
 
 
 def _sql_noise(key: str, component: str) -> str:
@@ -228,7 +229,7 @@ SQL_ROTATE = SQL_ROTATED + " SELECT vec_id, i, round(y, 6) + 0.0 AS value FROM a
 
 def rotate_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With hashed noise: the length is kept and the angle stays below theta."""
-    out = rotated(spark, sf_dir, ns.hashed)
+    out = rotated(spark, sf_dir, ns.HASHED)
     before, after = F.col("before"), F.col("after")
     return out.select(
         "vec_id",
@@ -245,7 +246,7 @@ FROM embeddings"""
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vo.angle_audit(
-        rotated(spark, sf_dir, ns.arithmetic), "before", "after", THETA, ["label"]
+        rotated(spark, sf_dir, ns.ARITHMETIC), "before", "after", THETA, ["label"]
     )
     return out.withColumn("label", F.col("label").cast("long"))
 
@@ -266,7 +267,7 @@ FROM d JOIN embeddings USING (vec_id) GROUP BY 1"""
 
 
 def audit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rotated(spark, sf_dir, ns.arithmetic)
+    out = rotated(spark, sf_dir, ns.ARITHMETIC)
     return vo.angle_audit_tables(
         vector_rows(spark, sf_dir),
         out.select("vec_id", F.col("after").alias("vec")),
@@ -440,7 +441,7 @@ def draw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.posexplode("vec").alias("cand", "x")
     ).select("vec_id", F.col("cand").cast("long").alias("cand"), (F.col("x") * 10).alias("score"))
     return vo.weighted_draw(
-        candidates, ["vec_id"], "cand", "score", SEED, ns.arithmetic, F.col("vec_id")
+        candidates, ["vec_id"], "cand", "score", SEED, ns.ARITHMETIC, F.col("vec_id")
     )
 
 

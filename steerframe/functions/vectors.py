@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
 
 from steerframe.functions.core import let
@@ -9,9 +11,6 @@ from steerframe.functions.core import let
 # Fixed value: what padded tail components are set to.
 MASKED_SCORE = -65504.0
 
-# Relative length below which a direction is rounding noise.
-DEGENERATE = 1e-12
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -72,40 +71,18 @@ def angle(a: Column, b: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
 
-def rotate(vec: Column, theta: Column, angle_noise: Column, noise_vec: Column) -> Column:
-    """Turn ``vec`` by ``angle_noise * theta`` towards the noise vector, keeping its length.
+# Widest vector that is summed one component per aggregate.
+WIDE = 256
 
-    The direction is the part of ``noise_vec`` at right angles to ``vec``. A vector
-    with no such direction (length zero, or one component) is returned unchanged.
-    """
 
-    def with_ortho(r: Column) -> Column:
-        return let(
-            F.try_divide(dot(r, vec), square_sum(vec)),
-            lambda along: let(
-                subtract_scaled(r, vec, along),
-                lambda ortho: let(
-                    F.struct(
-                        norm(vec).alias("length"),
-                        norm(ortho).alias("ortho"),
-                        norm(r).alias("noise"),
-                        (angle_noise * theta).alias("angle"),
-                    ),
-                    lambda s: F.when(
-                        s["ortho"] > F.lit(DEGENERATE) * s["noise"],
-                        let(
-                            F.struct(
-                                F.cos(s["angle"]).alias("keep"),
-                                (s["length"] / s["ortho"] * F.sin(s["angle"])).alias("turn"),
-                            ),
-                            lambda c: F.zip_with(
-                                vec, ortho, lambda v, o: v * c["keep"] + o * c["turn"]
-                            ),
-                        ),
-                    ),
-                ),
-            ),
-        )
-
-    return F.coalesce(let(noise_vec, with_ortho), vec)
+def weighted_sum(vec: Column, weight: Column, dim: int | None) -> Column:
+    """Aggregate: the sum of ``weight * vec``, combined on the map side.
 
+    With a known, moderate dimension it is one plain sum per component, a hash
+    aggregate in generated code. Otherwise the vector summarizer, which takes any
+    length and is about twice as slow.
+    """
+    if dim is not None and dim <= WIDE:
+        return F.array(*[F.sum(F.get(vec, F.lit(i)) * weight) for i in range(dim)])
+    scaled = array_to_vector(scale(vec, weight))
+    return vector_to_array(Summarizer.sum(scaled))

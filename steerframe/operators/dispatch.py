@@ -123,6 +123,7 @@ def _apply_one(
     registry: Registry,
     vec: str,
     batch_idx: str,
+    dim: int | None,
     hot_rows: int,
 ) -> DataFrame:
     columns = vectors.columns
@@ -134,7 +135,7 @@ def _apply_one(
     if steering:
         keys = [*DISPATCH_KEYS, *[g for g in group if g not in DISPATCH_KEYS]]
         shifts = steering_shift(
-            rows.filter(F.col("func").isin(*steering)), keys, batch_idx, vec=vec
+            rows.filter(F.col("func").isin(*steering)), keys, batch_idx, vec=vec, dim=dim
         )
         rows = attach_group_rows(rows, shifts, keys, "_rows", [batch_idx], hot_rows=hot_rows)
     else:
@@ -156,6 +157,7 @@ def apply_settings(
     registry: Registry = FUNCTIONS,
     vec: str = "vec",
     batch_idx: str = "batch_idx",
+    dim: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply to each vector the transform set for its layer and site, if any."""
@@ -163,7 +165,7 @@ def apply_settings(
     if isinstance(settings, DataFrame):
         require(settings, SETTING.names, "apply_settings")
         settings = _bounded_list(settings) or settings
-    return _apply_one(vectors, settings, group, registry, vec, batch_idx, hot_rows)
+    return _apply_one(vectors, settings, group, registry, vec, batch_idx, dim, hot_rows)
 
 
 def apply_stack(
@@ -173,6 +175,7 @@ def apply_stack(
     registry: Registry = FUNCTIONS,
     vec: str = "vec",
     batch_idx: str = "batch_idx",
+    dim: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply several setting sets in order, each to the output of the one before.
@@ -195,5 +198,5 @@ def apply_stack(
         if i > 0:
             ensure_checkpoint_dir(vectors.sparkSession)
             vectors = vectors.checkpoint()
-        vectors = _apply_one(vectors, one, group, registry, vec, batch_idx, hot_rows)
+        vectors = _apply_one(vectors, one, group, registry, vec, batch_idx, dim, hot_rows)
     return vectors

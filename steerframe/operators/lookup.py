@@ -1,33 +1,41 @@
 """Softmax-weighted lookup of each query vector among the key vectors of its group.
 
 The scores of a group are inherently all queries times all keys of the look-back
-window, but no pair ever becomes a row. Positions are cut into tiles as wide as the
-window. A query belongs to its own tile; a key is sent to its own tile and to the
-neighbours whose windows reach it. So every cell holds all that its queries may see,
-at most ``window`` query positions and two (or three) times as many keys, however
-long the group is, and the cells of a long group are worked on in parallel. Inside a
-cell the scores are blocks of a matrix product.
+window, but no pair ever becomes a row. Positions are cut into tiles, each at least as
+wide as the window. A query belongs to its own tile; a key is sent to its own tile and
+to the neighbour whose queries can see it. So every cell holds all that its queries may
+see, a bounded number of positions however long the group is, and the cells of a long
+group are worked on in parallel. Inside a cell the scores are blocks of a matrix
+product along the window's band.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.schemas import require
 
-# Scores held at a time inside one cell.
-_BLOCK_SCORES = 4_000_000
+# Least tile width: small windows share a tile, so that cells are worth a task's time.
+MIN_TILE = 1024
 
+# Queries of a block inside a cell; its keys are those of its stretch of the window.
+QUERY_BLOCK = 256
 
-def _lookup_block(q_pos, q_vec, k_pos, k_vec, k_val, k_bias, window, causal):
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
+def _block_lookup(q_pos, q_vec, k_pos, k_vec, k_val, k_bias, window, causal):
     """Outputs of a block of queries, and whether each saw any key."""
     scores = q_vec @ k_vec.T / np.sqrt(q_vec.shape[1]) + k_bias
     gap = q_pos[:, None] - k_pos[None, :]
     visible = (gap < window) & (gap >= 0 if causal else gap > -window)
     scores = np.where(visible, scores, -np.inf)
-    top = scores.max(axis=1, keepdims=True)
+    top = scores.max(axis=1, keepdims=True, initial=-np.inf)
     seen = np.isfinite(top[:, 0])
     weights = np.exp(scores - np.where(np.isfinite(top), top, 0.0))
     total = weights.sum(axis=1, keepdims=True)
@@ -35,26 +43,31 @@ def _lookup_block(q_pos, q_vec, k_pos, k_vec, k_val, k_bias, window, causal):
 
 
 def _cell_lookup(names: list[str], window: int, causal: bool):
-    def lookup(queries: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-        out = queries[[*names, "head", "pos"]].copy()
-        out["out"] = None
-        if len(queries) == 0 or len(keys) == 0:
-            return out
-        k_pos = keys["pos"].to_numpy()
-        k_vec, k_val = np.stack(keys["_key"]), np.stack(keys["_value"])
+    def lookup(queries: pa.Table, keys: pa.Table) -> pa.Table:
+        queries = queries.sort_by("pos")
+        kept = queries.select([*names, "head", "pos"])
+        n = len(queries)
+        if n == 0 or len(keys) == 0:
+            return kept.append_column("out", pa.nulls(n, pa.list_(pa.float64())))
+        keys = keys.sort_by("pos")
+        q_pos, k_pos = queries["pos"].to_numpy(), keys["pos"].to_numpy()
+        q_vec = _matrix(queries["_query"])
+        k_vec, k_val = _matrix(keys["_key"]), _matrix(keys["_value"])
         k_bias = keys["_bias"].to_numpy()
-        q_pos = queries["pos"].to_numpy()
-        step = max(1, _BLOCK_SCORES // len(keys))
-        results: list = []
-        for at in range(0, len(queries), step):
-            part = slice(at, at + step)
-            values, seen = _lookup_block(
-                q_pos[part], np.stack(queries["_query"].iloc[part]),
-                k_pos, k_vec, k_val, k_bias, window, causal,
+        out, seen = np.zeros((n, k_val.shape[1])), np.zeros(n, dtype=bool)
+        for at in range(0, n, QUERY_BLOCK):
+            block = slice(at, at + QUERY_BLOCK)
+            first, last = q_pos[block][0], q_pos[block][-1]
+            lo = np.searchsorted(k_pos, first - window, "right")
+            hi = np.searchsorted(k_pos, last if causal else last + window - 1, "right")
+            near = slice(lo, hi)
+            out[block], seen[block] = _block_lookup(
+                q_pos[block], q_vec[block],
+                k_pos[near], k_vec[near], k_val[near], k_bias[near], window, causal,
             )
-            results.extend(v if ok else None for v, ok in zip(values, seen))
-        out["out"] = results
-        return out
+        offsets = pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32())
+        values = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~seen))
+        return kept.append_column("out", values)
 
     return lookup
 
@@ -84,8 +97,13 @@ def weighted_lookup(
     require(keys, [*group, "head", "pos", key_vec, value_vec], "weighted_lookup")
     if window < 1:
         raise ValueError("window must be at least 1")
-    tile = F.floor(F.col("pos") / F.lit(window)).cast("long")
-    reach = [tile, tile + 1] if causal else [tile - 1, tile, tile + 1]
+    width = max(window, MIN_TILE)
+    tile = F.floor(F.col("pos") / F.lit(width)).cast("long")
+    # the tile whose queries see this key from the far end of their window
+    reach = F.array(tile, F.floor((F.col("pos") + window - 1) / F.lit(width)).cast("long"))
+    if not causal:
+        before = F.floor((F.col("pos") - window + 1) / F.lit(width)).cast("long")
+        reach = F.concat(reach, F.array(before))
     cell = [*group, "_key_head", "_tile"]
     q = queries.select(
         *group,
@@ -102,12 +120,12 @@ def weighted_lookup(
         F.col(key_vec).alias("_key"),
         F.col(value_vec).alias("_value"),
         (F.lit(0.0) if bias is None else bias.cast("double")).alias("_bias"),
-        F.explode_outer(F.array(*reach)).alias("_tile"),
+        F.explode_outer(F.array_distinct(reach)).alias("_tile"),
     )
     fields = [f.simpleString().replace(":", " ", 1) for f in queries.select(*group).schema]
     schema = ", ".join([*fields, "head int", "pos long", "out array<double>"])
     return (
         q.groupBy(*cell)
         .cogroup(k.groupBy(*cell))
-        .applyInPandas(_cell_lookup(list(group), window, causal), schema)
+        .applyInArrow(_cell_lookup(list(group), window, causal), schema)
     )

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from steerframe.functions import noise as ns, vectors as vx
+from steerframe.functions import blocks, noise as ns, vectors as vx
 from steerframe.operators.skew import HOT_ROWS, attach_group_rows
 from steerframe.schemas import require
 
@@ -30,26 +28,24 @@ def steering_shift(
     numpos: str = "numpos",
     numneg: str = "numneg",
     vec: str = "vec",
+    dim: int | None = None,
 ) -> DataFrame:
     """Per group: mean of its negative vectors minus its lead vector, and its row count.
 
     The difference is linear in the rows, so one weighted vector sum gives it: a
     negative counts 1/numneg, the lead -1. That sum is combined on the map side and
-    shuffles one vector per group and task. Groups without negatives are absent.
+    shuffles one vector per group and task. Groups without negatives are absent. ``dim``
+    is the vectors' length, if known.
     """
     is_negative = (F.col(batch_idx) >= F.col(numpos)) & (
         F.col(batch_idx) < F.col(numpos) + F.col(numneg)
     )
     is_lead = F.col(batch_idx) == 0
     part = F.when(is_lead, F.lit(-1.0)).otherwise(F.lit(1.0) / F.col(numneg))
-    parts = vectors.filter((F.col(numneg) > 0) & (is_lead | is_negative)).select(
-        *group,
-        (F.col(numpos) + F.col(numneg)).alias("_rows"),
-        array_to_vector(vx.scale(F.col(vec), part)).alias("_part"),
-    )
-    return parts.groupBy(*group).agg(
-        vector_to_array(Summarizer.sum(F.col("_part"))).alias("shift"),
-        F.max("_rows").alias("_rows"),
+    rows = vectors.filter((F.col(numneg) > 0) & (is_lead | is_negative))
+    return rows.groupBy(*group).agg(
+        vx.weighted_sum(F.col(vec), part, dim).alias("shift"),
+        F.max(F.col(numpos) + F.col(numneg)).alias("_rows"),
     )
 
 
@@ -61,6 +57,7 @@ def steer_from_negatives(
     numpos: str = "numpos",
     numneg: str = "numneg",
     vec: str = "vec",
+    dim: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Shift every vector of a group away from the mean of the group's negatives.
@@ -69,7 +66,7 @@ def steer_from_negatives(
     ``weight * (mean(negatives) - lead)``; a group without negatives stays as it is.
     """
     require(vectors, [*group, batch_idx, numpos, numneg, vec], "steer_from_negatives")
-    shifts = steering_shift(vectors, group, batch_idx, numpos, numneg, vec)
+    shifts = steering_shift(vectors, group, batch_idx, numpos, numneg, vec, dim)
     joined = attach_group_rows(
         vectors, shifts, group, "_rows", [batch_idx], hot_rows=hot_rows
     )
@@ -117,20 +114,15 @@ def rotate_random(
     seed: int,
     vec: str = "vec",
     out: str = "vec",
-    noise: ns.Noise = ns.hashed,
+    noise: ns.Noise = ns.HASHED,
 ) -> DataFrame:
-    """Rotate each vector by a random angle in [0, theta); ``key`` identifies the row."""
+    """Rotate each vector by a random angle in [0, theta) towards a random direction.
+
+    ``key`` is an integer that identifies the row (a hash of several columns will do).
+    """
     require(df, [vec], "rotate_random")
     theta = theta if isinstance(theta, Column) else F.lit(float(theta))
-    return df.withColumn(
-        out,
-        vx.rotate(
-            F.col(vec),
-            theta,
-            noise(key, F.lit(0), seed),
-            ns.vector(noise, F.col(vec), key, seed),
-        ),
-    )
+    return df.withColumn(out, blocks.rotated(F.col(vec), theta, key, seed, noise))
 
 
 def angle_audit(
@@ -203,7 +195,7 @@ def weighted_draw(
     candidate: str,
     score: str,
     seed: int,
-    noise: ns.Noise = ns.hashed,
+    noise: ns.Noise = ns.HASHED,
     key: Column | None = None,
 ) -> DataFrame:
     """Draw one candidate per group with probability softmax(score).
@@ -213,7 +205,7 @@ def weighted_draw(
     """
     require(candidates, [*group, candidate, score], "weighted_draw")
     key = F.struct(*group) if key is None else key
-    u = noise(key, F.col(candidate), seed)
+    u = noise.column(key, F.col(candidate), seed)
     # u may be 0, where the logarithm has no value
     gumbel = -F.ln(-F.ln(F.greatest(u, F.lit(2.0**-54))))
     return candidates.groupBy(*group).agg(

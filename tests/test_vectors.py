@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steerframe.functions import noise as ns, vectors as vx
-from steerframe.operators import dispatch as dp, vectors as vo
+from steerframe.operators import dispatch as dp, lookup, vectors as vo
 from steerframe.operators.lookup import weighted_lookup
 
 VECTORS = "group_id long, batch_idx int, numpos int, numneg int, vec array<double>"
@@ -18,12 +18,13 @@ def random_vectors(spark, n, dim, seed=1):
     )
 
 
+@pytest.mark.parametrize("dim", [2, None])
 @pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_steer_golden(spark, hot_rows):
+def test_steer_golden(spark, hot_rows, dim):
     rows = [(1, i, 1, 2, v) for i, v in enumerate([[2.0, 0.0], [4.0, 2.0], [0.0, 4.0]])]
     rows += [(2, 0, 1, 0, [1.0, 1.0])]
     df = spark.createDataFrame(rows, VECTORS)
-    out = vo.steer_from_negatives(df, ["group_id"], 0.5, hot_rows=hot_rows)
+    out = vo.steer_from_negatives(df, ["group_id"], 0.5, dim=dim, hot_rows=hot_rows)
     got = {(r.group_id, r.batch_idx): r.vec for r in out.collect()}
     assert got == {
         (1, 0): [2.0, -1.5], (1, 1): [4.0, 0.5], (1, 2): [0.0, 2.5], (2, 0): [1.0, 1.0],
@@ -35,7 +36,7 @@ def test_steer_with_no_negatives_at_all(spark):
     assert vo.steer_from_negatives(df, ["group_id"]).first().vec == [1.0, 2.0]
 
 
-@pytest.mark.parametrize("noise", [ns.hashed, ns.arithmetic])
+@pytest.mark.parametrize("noise", [ns.HASHED, ns.ARITHMETIC])
 def test_rotation_keeps_length_and_bounds_angle(spark, noise):
     df = random_vectors(spark, 400, 24)
     out = vo.rotate_random(df, 0.3, F.col("id"), 7, out="turned", noise=noise)
@@ -68,6 +69,23 @@ def test_degenerate_vectors_stay(spark, vec):
     assert vo.rotate_random(df, 0.5, F.col("id"), 1).first().vec == vec
 
 
+def test_rotation_of_mixed_lengths_and_nulls(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 2.0, 0.0]), (3, []), (4, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    got = {r.id: r.vec for r in vo.rotate_random(df, 0.5, F.col("id"), 1).collect()}
+    assert got[1] is None and got[3] == []
+    for i in (0, 2, 4):
+        assert math.hypot(*got[i]) == pytest.approx(math.hypot(*rows[i][1]))
+        assert got[i] != rows[i][1]
+
+
+@pytest.mark.parametrize("noise", [ns.HASHED, ns.ARITHMETIC])
+def test_noise_is_uniform(noise):
+    drawn = noise.block(np.arange(5000), 8, 3)
+    assert 0 <= drawn.min() and drawn.max() < 1
+    np.testing.assert_allclose(drawn.mean(axis=0), 0.5, atol=0.03)
+
+
 @pytest.mark.parametrize(
     "site,past,chunk,protect,expected",
     [
@@ -123,8 +141,12 @@ def _attention(q, k, v, visible):
     return weights / weights.sum(axis=1, keepdims=True) @ v
 
 
-@pytest.mark.parametrize("window,causal", [(5, True), (16, True), (100, True), (7, False)])
-def test_lookup_against_dense(spark, window, causal):
+@pytest.mark.parametrize("tile", [1, 1024])
+@pytest.mark.parametrize(
+    "window,causal", [(1, True), (5, True), (16, True), (100, True), (7, False), (1, False)]
+)
+def test_lookup_against_dense(spark, monkeypatch, window, causal, tile):
+    monkeypatch.setattr(lookup, "MIN_TILE", tile)
     n, rng = 61, np.random.default_rng(2)
     q, k, v = (rng.normal(size=(n, 4)) for _ in range(3))
     queries = spark.createDataFrame(
