@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from steerframe.catalog.common import mod, table
 from steerframe.functions import curves as cv
 from steerframe.operators import curves as co, params as po
+from steerframe.plans import dosing
 from steerframe.session import scratch_path
 from steerframe.sources import settings_store as store
 
@@ -76,28 +77,20 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves(spark, sf_dir).select(
         "owner",
         F.array_join("path", "/").alias("path"),
-        F.array_join(F.col("pos").cast("array<string>"), "/").alias("pos"),
         "value",
     )
 
 
 SQL_FLATTEN = f"""
 WITH {_SQL_VALUES},
-n AS (
-  SELECT owner, value, replace(path, '/', '/sub_attr/') AS path,
-    CASE WHEN path = 'weight' THEN '1' WHEN path LIKE 'h/type%' THEN '0/1/0/0/' || pos
-         ELSE '0/1/1/0/' || pos END AS pos
-  FROM v
-)
-SELECT owner, path || '/attributes/value' AS path,
-       pos || CASE WHEN path = 'weight' THEN '/0/0' ELSE '/1/1' END AS pos, value FROM n
+n AS (SELECT owner, value, replace(path, '/', '/sub_attr/') AS path FROM v)
+SELECT owner, path || '/attributes/value' AS path, value FROM n
 UNION ALL
-SELECT owner, path || '/attributes/label', pos || '/1/0', '"{{\\"x\\":1}}"' FROM n
-WHERE path <> 'weight'
+SELECT owner, path || '/attributes/label', '"{{\\"x\\":1}}"' FROM n WHERE path <> 'weight'
 UNION ALL
-SELECT owner, path || '/widget_type', pos || '/0', '"Box"' FROM n WHERE path <> 'weight'
+SELECT owner, path || '/widget_type', '"Box"' FROM n WHERE path <> 'weight'
 UNION ALL
-SELECT DISTINCT owner, 'h/container_type', '0/0', '"Column"' FROM n"""
+SELECT DISTINCT owner, 'h/container_type', '"Column"' FROM n"""
 
 
 def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,15 +103,10 @@ SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM ev
 
 
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, sf_dir).select(
-        "owner",
-        F.array_join("path", "/").alias("path"),
-        F.element_at("pos", -1).cast("long").alias("pos"),
-        "value",
-    )
+    return _named(values(spark, sf_dir))
 
 
-SQL_PRUNE = f"WITH {_SQL_VALUES} SELECT owner, path, pos::BIGINT AS pos, value FROM v"
+SQL_PRUNE = f"WITH {_SQL_VALUES} SELECT owner, path, value FROM v"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +296,8 @@ SELECT min(c_custkey) AS set_ord, c_mktsegment AS owner FROM customer GROUP BY 2
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.selected_profiles(values(spark, sf_dir), ["owner"], "shape_sliders").withColumn(
-        "sib_ord", F.col("sib_ord").cast("long")
-    )
+    slots = co.profile_slots(trees(spark, sf_dir), "tree", ["owner"], "shape_sliders")
+    return co.selected_profiles(slots).withColumn("sib_ord", F.col("sib_ord").cast("long"))
 
 
 SQL_PROFILES = f"""
@@ -321,9 +308,6 @@ FROM v WHERE path LIKE 'h/shape_sliders/%' AND value = 'true'"""
 
 def redose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole job: change settings, select and merge profiles, dose 20 blocks per customer."""
-    from steerframe.plans.dosing import redose as job
-
-    flat = values(spark, sf_dir)
     changes = updates(spark, sf_dir).filter(F.col("path")[0] == "h")
     blocks = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("c"), F.col("c_custkey")).alias("owner"),
@@ -331,7 +315,7 @@ def redose(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(19))).alias("block_idx"),
         F.lit(20).alias("total_blocks"),
     )
-    out = job(flat, changes, blocks, ["owner"])
+    out = dosing.redose(trees(spark, sf_dir), "tree", changes, blocks, ["owner"])
     return out.select(
         "owner",
         F.col("block_idx").cast("long").alias("block_idx"),

@@ -75,14 +75,17 @@ def angle(a: Column, b: Column) -> Column:
 WIDE = 256
 
 
-def weighted_sum(vec: Column, weight: Column, dim: int | None) -> Column:
-    """Aggregate: the sum of ``weight * vec``, combined on the map side.
+def weighted_sum(vec: str, weight: str, dim: int | None) -> Column:
+    """Aggregate: the sum of ``weight * vec`` of two columns, combined on the map side.
 
     With a known, moderate dimension it is one plain sum per component, a hash
     aggregate in generated code. Otherwise the vector summarizer, which takes any
     length and is about twice as slow.
     """
     if dim is not None and dim <= WIDE:
-        return F.array(*[F.sum(F.get(vec, F.lit(i)) * weight) for i in range(dim)])
-    scaled = array_to_vector(scale(vec, weight))
+        # as one parsed expression: a Python call per component would take longer than
+        # the query on small data
+        sums = ", ".join(f"sum(get(`{vec}`, {i}) * `{weight}`)" for i in range(dim))
+        return F.expr(f"array({sums})")
+    scaled = array_to_vector(scale(F.col(vec), F.col(weight)))
     return vector_to_array(Summarizer.sum(scaled))

@@ -43,24 +43,50 @@ def shaped_dose(
     )
 
 
-def selected_profiles(params: DataFrame, keys: list[str], container: str) -> DataFrame:
-    """Profiles switched on per site, numbered by their place among all siblings.
+_SLOTS = "map<string,struct<attributes:struct<value:boolean>>>"
 
-    ``params`` are flattened rows with the place of each name (``pos``); a profile is
-    a name right under ``container``. The place is read off the tree, so counting the
-    siblings that are off needs no window.
+
+def profile_slots(
+    df: DataFrame,
+    tree: str,
+    keys: list[str],
+    container: str,
+    sites: tuple[str, ...] = cv.DOSED_SITES,
+) -> DataFrame:
+    """All profiles of each site in the order the tree lists them, on or off.
+
+    A site's siblings are read as one typed map, which keeps their written order, so
+    they are numbered inside the row and not by a window.
     """
-    require(params, [*keys, "path", "pos", "value"], "selected_profiles")
-    return params.filter(
-        (F.size("path") == 3)
-        & (F.get("path", F.lit(1)) == container)
-        & (F.col("value") == "true")
-    ).select(
-        *keys,
-        F.get("path", F.lit(0)).alias("site"),
-        F.get("pos", F.lit(2)).cast("int").alias("sib_ord"),
-        F.get("path", F.lit(2)).alias("name"),
-    )
+    require(df, [tree, *keys], "profile_slots")
+
+    def slots(site: str) -> Column:
+        siblings = F.from_json(
+            F.get_json_object(tree, f"$.{site}.sub_attr.{container}.sub_attr"), _SLOTS
+        )
+        return F.coalesce(
+            F.transform(
+                F.map_entries(siblings),
+                lambda e, i: F.struct(
+                    F.lit(site).alias("site"),
+                    i.alias("sib_ord"),
+                    e["key"].alias("name"),
+                    e["value"]["attributes"]["value"].alias("selected"),
+                ),
+            ),
+            F.array().cast(
+                "array<struct<site:string,sib_ord:int,name:string,selected:boolean>>"
+            ),
+        )
+
+    listed = df.select(*keys, F.concat(*[slots(site) for site in sites]).alias("_slots"))
+    return listed.select(*keys, F.inline_outer("_slots")).filter(F.col("site").isNotNull())
+
+
+def selected_profiles(slots: DataFrame) -> DataFrame:
+    """The profiles switched on, with their place among all siblings."""
+    require(slots, ["site", "sib_ord", "name", "selected"], "selected_profiles")
+    return slots.filter("selected").drop("selected")
 
 
 def merge_profiles(

@@ -13,50 +13,21 @@ ATTRIBUTES, VALUE, CHILDREN = "attributes", "value", "sub_attr"
 SAVED_VALUE, SAVED_CHILDREN = "value", "sub"
 PATH_SEPARATOR = "_-_"
 
-_NODES = "array<struct<path:array<string>,pos:array<int>,raw:string,json:string>>"
 
-
-def _children(raw: Column) -> Column:
-    """Entries of a JSON object in their written order; ``json`` is null for an object.
-
-    The string form keeps the order of nested objects, which the variant form sorts;
-    the variant form tells a number or an object from a string that looks like one.
-    """
-    as_text = F.map_entries(F.from_json(raw, "map<string,string>"))
-    as_variant = F.map_entries(F.from_json(raw, "map<string,variant>"))
-
-    def child(text: Column, variant: Column) -> Column:
-        # only a text with a leading brace can be an object, so most need no second look
-        is_object = F.coalesce(text["value"].startswith("{"), F.lit(False)) & (
-            F.try_variant_get(variant["value"], "$", "map<string,variant>").isNotNull()
-        )
-        return F.struct(
-            text["key"].alias("key"),
-            text["value"].alias("raw"),
-            F.when(~is_object, F.to_json(variant["value"])).alias("json"),
-        )
-
-    return F.zip_with(as_text, as_variant, child)
-
-
-def _is_object(node: Column) -> Column:
-    return node["json"].isNull()
+def _members(node: Column) -> Column:
+    """The named children of a JSON object; null for anything else."""
+    return F.try_variant_get(node, "$", "map<string,variant>")
 
 
 def _expand_level(nodes: Column) -> Column:
-    def expanded(node: Column) -> Column:
-        below = F.transform(
-            _children(node["raw"]),
-            lambda c, i: F.struct(
-                F.concat(node["path"], F.array(c["key"])).alias("path"),
-                F.concat(node["pos"], F.array(i)).alias("pos"),
-                c["raw"].alias("raw"),
-                c["json"].alias("json"),
+    def expanded(n: Column) -> Column:
+        children = F.transform(
+            F.map_entries(_members(n["node"])),
+            lambda c: F.struct(
+                F.concat(n["path"], F.array(c["key"])).alias("path"), c["value"].alias("node")
             ),
         )
-        return F.when(_is_object(node), F.coalesce(below, F.array().cast(_NODES))).otherwise(
-            F.array(node)
-        )
+        return F.coalesce(children, F.array(n))
 
     return F.flatten(F.transform(nodes, expanded))
 
@@ -64,25 +35,20 @@ def _expand_level(nodes: Column) -> Column:
 def flatten_params(
     df: DataFrame, json_col: str, key_cols: list[str], max_depth: int = 8
 ) -> DataFrame:
-    """One row per leaf of a JSON tree: its ``path``, the place ``pos`` of each name
-    among its siblings, and its ``value`` as JSON text.
+    """One row per leaf of a JSON tree: its ``path`` and its ``value`` as JSON text.
 
-    Levels are opened inside the row, so a table of trees is flattened in one narrow
-    pass. A tree deeper than ``max_depth`` fails the query.
+    The text is parsed once and its levels are opened inside the row, so a table of trees
+    is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query.
     """
     require(df, [json_col, *key_cols], "flatten_params")
-    text = F.col(json_col)
-    root = F.array(
-        F.struct(
-            F.array().cast("array<string>").alias("path"),
-            F.array().cast("array<int>").alias("pos"),
-            text.alias("raw"),
-            F.lit(None).cast("string").alias("json"),
-        )
+    root = F.struct(
+        F.array().cast("array<string>").alias("path"),
+        F.try_parse_json(F.col(json_col)).alias("node"),
     )
-    nodes = root
+    nodes = F.array(root)
     for _ in range(max_depth):
         nodes = _expand_level(nodes)
+    # the outer form keeps Spark from repeating the work in an inferred filter
     listed = df.select(*key_cols, nodes.alias("_nodes")).select(
         *key_cols, F.explode_outer("_nodes").alias("_node")
     )
@@ -93,9 +59,8 @@ def flatten_params(
     return listed.filter(F.size("_node.path") > 0).select(
         *key_cols,
         F.col("_node.path").alias("path"),
-        F.col("_node.pos").alias("pos"),
-        F.when(_is_object(F.col("_node")), F.raise_error(too_deep))
-        .otherwise(F.col("_node.json"))
+        F.when(_members(F.col("_node.node")).isNotNull(), F.raise_error(too_deep))
+        .otherwise(F.to_json("_node.node"))
         .alias("value"),
     )
 
@@ -105,7 +70,7 @@ def values_only(params: DataFrame) -> DataFrame:
 
     A tree's path alternates a name and a container; containers are left out.
     """
-    require(params, ["path", "pos", "value"], "values_only")
+    require(params, ["path", "value"], "values_only")
     n = F.size("path")
     containers = F.filter(
         F.col("path"), lambda _, i: (i % 2 == 1) & (i < F.size("path") - 2)
@@ -117,11 +82,8 @@ def values_only(params: DataFrame) -> DataFrame:
         & (F.try_element_at("path", F.lit(-2)) == ATTRIBUTES)
         & F.forall(containers, lambda c: c == CHILDREN)
     )
-
-    def names(column: str) -> Column:
-        return F.filter(column, lambda _, i: (i % 2 == 0) & (i < F.size(column) - 1))
-
-    return params.filter(is_value).withColumns({"path": names("path"), "pos": names("pos")})
+    names = F.filter("path", lambda _, i: (i % 2 == 0) & (i < F.size("path") - 1))
+    return params.filter(is_value).withColumn("path", names)
 
 
 def tag(owner: Column, path: Column) -> Column:

@@ -43,8 +43,8 @@ def steering_shift(
     is_lead = F.col(batch_idx) == 0
     part = F.when(is_lead, F.lit(-1.0)).otherwise(F.lit(1.0) / F.col(numneg))
     rows = vectors.filter((F.col(numneg) > 0) & (is_lead | is_negative))
-    return rows.groupBy(*group).agg(
-        vx.weighted_sum(F.col(vec), part, dim).alias("shift"),
+    return rows.withColumn("_part", part).groupBy(*group).agg(
+        vx.weighted_sum(vec, "_part", dim).alias("shift"),
         F.max(F.col(numpos) + F.col(numneg)).alias("_rows"),
     )
 

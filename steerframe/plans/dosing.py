@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from steerframe.functions import curves as cv
-from steerframe.operators.curves import merge_selected, selected_profiles, shaped_dose
-from steerframe.operators.params import upsert
+from steerframe.operators.curves import (
+    merge_selected,
+    profile_slots,
+    selected_profiles,
+    shaped_dose,
+)
+from steerframe.operators.params import flatten_params, upsert, values_only
 
 # Where a site's tree keeps its dose and its profiles.
 GLOBALS, DOSE, PROFILES_CONTAINER = "type_globals", "dose_theta", "shape_sliders"
 
 
 def redose(
-    params: DataFrame, updates: DataFrame, blocks: DataFrame, keys: list[str]
+    trees: DataFrame, tree: str, updates: DataFrame, blocks: DataFrame, keys: list[str]
 ) -> DataFrame:
-    """Apply updates, rebuild each site's curve, look it up for each block.
+    """Apply updates to settings trees, rebuild each site's curve, look it up per block.
 
-    ``params`` are names paths with the place of each name (``pos``); an update may
-    only change a path that exists.
+    Updates are names paths with a ``value`` and a ``ts``; one of a path that a tree does
+    not have is ignored.
     """
-    places = params.select(*keys, "path", "pos")
-    current = upsert(params, updates, keys).join(places, [*keys, "path"])
-    selected = selected_profiles(current, keys, PROFILES_CONTAINER)
-    curves = merge_selected(selected, [*keys, "site"])
+    params = values_only(flatten_params(trees, tree, keys))
+    current = upsert(params, updates, keys)
+    slots = profile_slots(trees, tree, keys, PROFILES_CONTAINER).withColumn(
+        "path", F.array("site", F.lit(PROFILES_CONTAINER), "name")
+    )
+    switched = (
+        slots.drop("selected")
+        .join(current, [*keys, "path"])
+        .select(*keys, "site", "sib_ord", "name", (F.col("value") == "true").alias("selected"))
+    )
+    curves = merge_selected(selected_profiles(switched), [*keys, "site"])
     doses = current.filter(
         (F.size("path") == 3)
         & (F.get("path", F.lit(1)) == GLOBALS)

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,22 @@ def test_merge_can_drop_joint_frame(spark):
     assert (0.35, 0.0) not in frames and (0.35, 1.0) in frames
 
 
+def test_slots_keep_written_order(spark):
+    def slot(on):
+        return {"attributes": {"label": "x", "value": on}}
+
+    names = {"zz": slot(False), "mid_noise": slot(True), "early_noise": slot(True)}
+    tree = {"h": {"sub_attr": {"box": {"sub_attr": names}}}, "q_in": {"sub_attr": {}}}
+    df = spark.createDataFrame([("o", json.dumps(tree)), ("p", "{}")], "owner string, t string")
+    slots = co.profile_slots(df, "t", ["owner"], "box")
+    assert [(r.owner, r.site, r.sib_ord, r.name, r.selected) for r in slots.collect()] == [
+        ("o", "h", 0, "zz", False),
+        ("o", "h", 1, "mid_noise", True),
+        ("o", "h", 2, "early_noise", True),
+    ]
+    assert co.selected_profiles(slots).columns == ["owner", "site", "sib_ord", "name"]
+
+
 def test_first_sibling_counts_as_following_one(spark):
     df = spark.range(1).select(
         F.array(

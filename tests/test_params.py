@@ -23,14 +23,13 @@ def trees(spark, *values):
     return spark.createDataFrame(rows, "owner string, tree string")
 
 
-def test_flatten_keeps_order_and_types(spark):
+def test_flatten_keeps_types(spark):
     rows = po.flatten_params(trees(spark, TREE), "tree", ["owner"]).collect()
-    got = {"/".join(r.path): (r.pos, json.loads(r.value)) for r in rows}
-    assert got == {
-        "z/attributes/label": ([0, 0, 0], '{"not": "a tree"}'),
-        "z/attributes/value": ([0, 0, 1], 0.3),
-        "a/sub_attr/b/attributes/value": ([1, 0, 0, 0, 0], True),
-        "a/sub_attr/attributes/attributes/value": ([1, 0, 1, 0, 0], "s"),
+    assert {"/".join(r.path): json.loads(r.value) for r in rows} == {
+        "z/attributes/label": '{"not": "a tree"}',
+        "z/attributes/value": 0.3,
+        "a/sub_attr/b/attributes/value": True,
+        "a/sub_attr/attributes/attributes/value": "s",
     }
 
 
@@ -49,9 +48,7 @@ def test_too_deep_fails(spark):
 
 def test_values_only(spark):
     rows = po.values_only(po.flatten_params(trees(spark, TREE), "tree", ["owner"])).collect()
-    assert sorted(("/".join(r.path), r.pos) for r in rows) == [
-        ("a/attributes", [1, 1]), ("a/b", [1, 0]), ("z", [0]),
-    ]
+    assert sorted("/".join(r.path) for r in rows) == ["a/attributes", "a/b", "z"]
 
 
 def test_unflatten_inverts_values_only(spark):
