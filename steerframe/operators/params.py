@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steerframe.functions.core import let
 from steerframe.operators.skew import HOT_ROWS, attach_counted
 from steerframe.schemas import require
 
@@ -14,18 +15,20 @@ SAVED_VALUE, SAVED_CHILDREN = "value", "sub"
 PATH_SEPARATOR = "_-_"
 
 
-def _members(node: Column) -> Column:
-    """The named children of a JSON object; null for anything else."""
-    return F.try_variant_get(node, "$", "map<string,variant>")
+def _tree_node(path: Column, value: Column) -> Column:
+    """A node with its named children; ``members`` is null for anything but an object."""
+    return F.struct(
+        path.alias("path"),
+        value.alias("node"),
+        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
+    )
 
 
 def _expand_level(nodes: Column) -> Column:
     def expanded(n: Column) -> Column:
         children = F.transform(
-            F.map_entries(_members(n["node"])),
-            lambda c: F.struct(
-                F.concat(n["path"], F.array(c["key"])).alias("path"), c["value"].alias("node")
-            ),
+            F.map_entries(n["members"]),
+            lambda c: _tree_node(F.concat(n["path"], F.array(c["key"])), c["value"]),
         )
         return F.coalesce(children, F.array(n))
 
@@ -41,11 +44,8 @@ def flatten_params(
     is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query.
     """
     require(df, [json_col, *key_cols], "flatten_params")
-    root = F.struct(
-        F.array().cast("array<string>").alias("path"),
-        F.try_parse_json(F.col(json_col)).alias("node"),
-    )
-    nodes = F.array(root)
+    parsed = F.try_parse_json(F.col(json_col))
+    nodes = F.array(let(parsed, lambda v: _tree_node(F.array().cast("array<string>"), v)))
     for _ in range(max_depth):
         nodes = _expand_level(nodes)
     # the outer form keeps Spark from repeating the work in an inferred filter
@@ -59,7 +59,7 @@ def flatten_params(
     return listed.filter(F.size("_node.path") > 0).select(
         *key_cols,
         F.col("_node.path").alias("path"),
-        F.when(_members(F.col("_node.node")).isNotNull(), F.raise_error(too_deep))
+        F.when(F.col("_node.members").isNotNull(), F.raise_error(too_deep))
         .otherwise(F.to_json("_node.node"))
         .alias("value"),
     )
