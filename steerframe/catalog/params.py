@@ -10,6 +10,7 @@ from steerframe.operators import curves as co, params as po
 from steerframe.plans import dosing
 from steerframe.session import scratch_path
 from steerframe.sources import settings_store as store
+from steerframe.streaming import updates as up
 
 PROFILE_NAMES = list(cv.PROFILES)
 
@@ -194,6 +195,25 @@ SELECT owner, path, coalesce(latest.value, v.value) AS value
 FROM v FULL JOIN latest USING (owner, path)"""
 
 
+def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same updates read as a stream; the last version of the settings."""
+    changes, path = updates(spark, sf_dir), scratch_path(spark, "updates")
+    changes.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+    versions: list[int] = []
+    query = (
+        up.apply_updates(
+            stream, values(spark, sf_dir), path, lambda _, epoch: versions.append(epoch)
+        )
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return _named(store.read_params(spark, up.version_path(path, versions[-1])))
+
+
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(
         po.reconcile(values(spark, sf_dir), _latest_updates(spark, sf_dir), ["owner"])
@@ -383,6 +403,7 @@ QUERIES = {
     "values_only": prune,
     "lookup": look_up,
     "upsert": upsert,
+    "apply_updates_stream": update_stream,
     "reconcile": reconcile,
     "unflatten": unflatten,
     "select_sets": sets,
@@ -398,6 +419,7 @@ ORACLES = {
     "values_only": SQL_PRUNE,
     "lookup": SQL_LOOK_UP,
     "upsert": SQL_UPSERT,
+    "apply_updates_stream": SQL_UPSERT,
     "reconcile": SQL_RECONCILE,
     "unflatten": SQL_UNFLATTEN,
     "select_sets": SQL_SETS,

@@ -14,9 +14,11 @@ from steerframe.catalog.common import (
     table,
     vector_rows,
 )
+from steerframe.catalog.curves import site_curves
 from steerframe.functions import noise as ns, vectors as vx
 from steerframe.operators import dispatch as dp, vectors as vo
 from steerframe.operators.lookup import weighted_lookup
+from steerframe.plans.noising import dose_vectors
 
 DIM = 64
 THETA = 0.4
@@ -281,6 +283,50 @@ SQL_AUDIT_TABLES = SQL_AUDIT.replace("label::BIGINT AS label, ", "").replace(
 )
 
 
+def dosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site, block and position from the vector's number; long past, short chunk."""
+    sites = ("a_ho", "v_all", "k_all", "q_in", "h", "h_post")
+    rows = vector_rows(spark, sf_dir).select(
+        "vec_id",
+        pick(mod("vec_id", 6), *sites).alias("site"),
+        mod("vec_id", 20).alias("block_idx"),
+        F.lit(20).alias("total_blocks"),
+        mod("vec_id", 16).alias("pos"),
+        F.lit(7).alias("past_len"),
+        F.lit(5).alias("chunk_len"),
+        (F.col("vec_id") % 4 == 0).alias("protect"),
+        "vec",
+    )
+    out = dose_vectors(
+        rows, site_curves(spark), F.col("vec_id"), SEED, ["vec_id"], ns.ARITHMETIC
+    )
+    return components(out, ["vec_id"])
+
+
+_SQL_DOSE = """
+(SELECT vec_id, CASE WHEN
+    CASE WHEN site IN ('k_all', 'v_all')
+         THEN pos >= 6 AND pos < CASE WHEN vec_id % 4 = 0 THEN 7 ELSE 12 END
+         ELSE pos < CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 5 END END
+  THEN 0.1 * CASE site
+    WHEN 'v_all' THEN CASE WHEN d < 5 THEN 1 ELSE 0 END
+    WHEN 'k_all' THEN CASE WHEN d <= 5 THEN d / 5 WHEN d <= 30 THEN 1
+      WHEN d < 35 THEN (35 - d) / 5 WHEN d = 35 THEN 0 WHEN d <= 60 THEN 1
+      WHEN d <= 65 THEN (65 - d) / 5 ELSE 0 END
+    WHEN 'q_in' THEN CASE WHEN d > 99 THEN 1 ELSE 0 END
+    WHEN 'h' THEN CASE WHEN d <= 60 THEN 0 WHEN d <= 65 THEN (d - 60) / 5
+      WHEN d <= 95 THEN 1 ELSE (100 - d) / 5 END
+    ELSE 0 END ELSE 0 END AS dose
+  FROM (SELECT vec_id, vec_id % 20 * 5 AS d, vec_id % 16 AS pos,
+          ['a_ho', 'v_all', 'k_all', 'q_in', 'h', 'h_post'][vec_id % 6 + 1] AS site
+        FROM embeddings))"""
+
+SQL_DOSED = SQL_ROTATE.replace(
+    f"(SELECT vec_id, {THETA} * {_sql_noise('vec_id', '0')} AS theta FROM embeddings)",
+    f"(SELECT vec_id, dose * {_sql_noise('vec_id', '0')} AS theta FROM {_SQL_DOSE})",
+)
+
+
 def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", (F.col("o_totalprice") / 1000).alias("score")
@@ -463,6 +509,7 @@ QUERIES = {
     "rotate_random_invariants": rotate_invariants,
     "angle_audit": audit,
     "angle_audit_tables": audit_tables,
+    "dose_vectors": dosed,
     "group_softmax": softmax,
     "group_softmax_hot_groups": softmax_hot,
     "weighted_lookup_window": lookup_window,
@@ -484,6 +531,7 @@ ORACLES = {
     "rotate_random_invariants": SQL_ROTATE_INVARIANTS,
     "angle_audit": SQL_AUDIT,
     "angle_audit_tables": SQL_AUDIT_TABLES,
+    "dose_vectors": SQL_DOSED,
     "group_softmax": SQL_SOFTMAX,
     "group_softmax_hot_groups": SQL_SOFTMAX_HOT,
     "weighted_lookup_window": _sql_lookup(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.functions import curves as cv
 from steerframe.operators.running import BLOCK, running_sum
-from steerframe.operators.skew import HOT_ROWS, attach_counted
+from steerframe.operators.skew import HOT_ROWS, attach_side
 from steerframe.schemas import require
 
 
@@ -33,8 +33,12 @@ def shaped_dose(
     """
     require(blocks, [*keys, block_idx, total], "shaped_dose")
     require(curves, [*keys, "mode", "shape", dose], "shaped_dose")
-    joined = attach_counted(
-        blocks, curves, keys, spread_by or [block_idx], hot_rows=hot_rows
+    joined = attach_side(
+        blocks,
+        curves.select(*keys, "mode", "shape", dose),
+        keys,
+        spread_by or [block_idx],
+        hot_rows=hot_rows,
     )
     depth = F.col(block_idx) / F.col(total)
     shaped = F.col(dose) * cv.value_at(F.col("shape"), F.col("mode"), depth)

@@ -74,3 +74,31 @@ def attach_counted(
     return attach_group_rows(
         rows, groups.join(counts, keys), keys, "_rows", spread_by, how, hot_rows
     )
+
+
+# A side of at most this many rows is broadcast.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def is_small(side: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a frame has few rows, found by counting no further than the bound."""
+    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    return side.limit(bound + 1).count() <= bound
+
+
+def attach_side(
+    rows: DataFrame,
+    side: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join a side with one short row per key: broadcast if small, else in pieces.
+
+    Counting the side first saves shuffling the rows, which adaptive execution could only
+    decide after it had shuffled them.
+    """
+    if is_small(side):
+        return rows.join(F.broadcast(side), keys, how)
+    return attach_counted(rows, side, keys, spread_by, how, hot_rows)

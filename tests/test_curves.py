@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steerframe.functions import curves as cv
-from steerframe.operators import curves as co
+from steerframe.operators import curves as co, skew
 from steerframe.operators.running import running_sum
 
 RAMP = [(0.0, 0.0), (0.05, 1.0), (0.30, 1.0), (0.35, 0.0)]
@@ -107,7 +107,9 @@ def test_nothing_selected(spark):
     assert row.mode == "ceil" and row["shape"] == []
 
 
-def test_dose_without_curve_is_zero(spark):
+@pytest.mark.parametrize("bound", [0, 100])
+def test_dose_without_curve_is_zero(spark, monkeypatch, bound):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", bound)
     blocks = spark.createDataFrame(
         [("h", 1, 10), ("q_in", 1, 10)], "site string, block_idx int, total_blocks int"
     )
@@ -115,7 +117,7 @@ def test_dose_without_curve_is_zero(spark):
         F.lit("h").alias("site"), F.lit("ceil").alias("mode"),
         cv.curve_literal([(0.0, 2.0), (1.0, 2.0)]).alias("shape"), F.lit(0.1).alias("dose"),
     )
-    out = co.shaped_dose(blocks, curves, ["site"])
+    out = co.shaped_dose(blocks, curves, ["site"], hot_rows=1)
     assert {r.site: r.shaped_dose for r in out.collect()} == {"h": pytest.approx(0.2), "q_in": 0.0}
 
 

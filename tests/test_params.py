@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from steerframe.operators import params as po
 from steerframe.sources import settings_store as store
+from steerframe.streaming import updates as up
 
 TREE = {
     "z": {"attributes": {"label": '{"not": "a tree"}', "value": 0.30}},
@@ -144,3 +145,30 @@ def test_store_skips_broken_lines(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text('{"owner":"o","path":["a"],"value":"1"}\n{"owner": brok\n')
     assert store.read_params(spark, str(tmp_path)).count() == 1
+
+
+def test_updates_stream_writes_a_version_per_batch(spark, tmp_path):
+    schema = "owner string, path array<string>, value string"
+    base = spark.createDataFrame([("o", ["a"], "1"), ("o", ["b"], "2")], schema)
+    folder, seen = str(tmp_path / "in"), []
+
+    def run():
+        stream = spark.readStream.schema(schema + ", ts timestamp").parquet(folder)
+        writer = up.apply_updates(
+            stream, base, str(tmp_path), lambda df, epoch: seen.append((epoch, df.count()))
+        )
+        query = (
+            writer.option("checkpointLocation", str(tmp_path / "ck"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    for value in ("5", "6"):
+        spark.createDataFrame([("o", ["a"], value)], schema).withColumn(
+            "ts", F.lit("2024-01-01").cast("timestamp")
+        ).write.mode("append").parquet(folder)
+        run()
+    assert seen == [(0, 2), (1, 2)]
+    last = store.read_params(spark, up.version_path(str(tmp_path), 1))
+    assert {r.path[0]: r.value for r in last.collect()} == {"a": "6", "b": "2"}
