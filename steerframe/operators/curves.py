@@ -119,13 +119,14 @@ def merge_selected(
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("sib_ord", "name"))).alias("_names"))
     )
-    return merge_profiles(
-        listed.withColumn(
-            "selected",
-            F.transform("_names", lambda n: cv.profile_named(n["name"], n["sib_ord"])),
-        ).drop("_names"),
-        drop_joint=drop_joint,
-    )
+    return merge_named(listed, "_names", drop_joint)
+
+
+def merge_named(df: DataFrame, names: str, drop_joint: bool = False) -> DataFrame:
+    """``merge_profiles`` for an ordered array of ``sib_ord`` and ``name``."""
+    require(df, [names], "merge_named")
+    profiles = F.transform(names, lambda n: cv.profile_named(n["name"], n["sib_ord"]))
+    return merge_profiles(df.withColumn("selected", profiles).drop(names), drop_joint=drop_joint)
 
 
 def attn_to_layer(df: DataFrame, attn_layers: str = "attn_layers") -> DataFrame:

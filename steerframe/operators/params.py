@@ -15,24 +15,50 @@ SAVED_VALUE, SAVED_CHILDREN = "value", "sub"
 PATH_SEPARATOR = "_-_"
 
 
-def _tree_node(path: Column, value: Column) -> Column:
-    """A node with its named children; ``members`` is null for anything but an object."""
-    return F.struct(
-        path.alias("path"),
-        value.alias("node"),
-        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
+def _members(value: Column) -> Column:
+    """The named children of a JSON object; null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _children(path: Column, members: Column) -> Column:
+    """Each child as an object with its own members, or as a leaf with its JSON text."""
+
+    def child(entry: Column) -> Column:
+        return let(
+            _members(entry["value"]),
+            lambda below: F.struct(
+                path.alias("parent"),
+                entry["key"].alias("key"),
+                below.alias("members"),
+                F.when(below.isNull(), F.to_json(entry["value"])).alias("json"),
+            ),
+        )
+
+    return F.transform(F.map_entries(members), child)
+
+
+def _sorted_out(nodes: Column) -> tuple[Column, Column]:
+    """Objects still to open, and leaves."""
+    return (
+        F.filter(nodes, lambda n: n["members"].isNotNull()),
+        F.filter(nodes, lambda n: n["members"].isNull()),
     )
 
 
-def _expand_level(nodes: Column) -> Column:
-    def expanded(n: Column) -> Column:
-        children = F.transform(
-            F.map_entries(n["members"]),
-            lambda c: _tree_node(F.concat(n["path"], F.array(c["key"])), c["value"]),
+def _open_level(state: Column, _: Column) -> Column:
+    """Go one level down from the open objects."""
+
+    def opened(n: Column) -> Column:
+        path = F.concat(n["parent"], F.array(n["key"]))
+        return let(path, lambda p: _children(p, n["members"]))
+
+    def grown(below: Column) -> Column:
+        objects, leaves = _sorted_out(below)
+        return F.struct(
+            objects.alias("open"), F.concat(state["leaves"], leaves).alias("leaves")
         )
-        return F.coalesce(children, F.array(n))
 
-    return F.flatten(F.transform(nodes, expanded))
+    return let(F.flatten(F.transform(state["open"], opened)), grown)
 
 
 def flatten_params(
@@ -44,23 +70,33 @@ def flatten_params(
     is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query.
     """
     require(df, [json_col, *key_cols], "flatten_params")
-    parsed = F.try_parse_json(F.col(json_col))
-    nodes = F.array(let(parsed, lambda v: _tree_node(F.array().cast("array<string>"), v)))
-    for _ in range(max_depth):
-        nodes = _expand_level(nodes)
+    no_names = F.array().cast("array<string>")
+
+    def first_level(nodes: Column) -> Column:
+        objects, leaves = _sorted_out(nodes)
+        return F.struct(objects.alias("open"), leaves.alias("leaves"))
+
+    root = _members(F.try_parse_json(F.col(json_col)))
+    nodes = F.aggregate(
+        F.slice(F.sequence(F.lit(1), F.lit(max_depth)), 2, max_depth),
+        let(_children(no_names, root), first_level),
+        _open_level,
+        # an object that is still open is too deep
+        lambda state: F.concat(state["leaves"], state["open"]),
+    )
     # the outer form keeps Spark from repeating the work in an inferred filter
     listed = df.select(*key_cols, nodes.alias("_nodes")).select(
-        *key_cols, F.explode_outer("_nodes").alias("_node")
+        *key_cols, F.inline_outer("_nodes")
     )
+    path = F.concat("parent", F.array("key"))
     too_deep = F.concat(
-        F.lit(f"tree deeper than {max_depth} at "),
-        F.array_join(F.col("_node.path"), PATH_SEPARATOR),
+        F.lit(f"tree deeper than {max_depth} at "), F.array_join(path, PATH_SEPARATOR)
     )
-    return listed.filter(F.size("_node.path") > 0).select(
+    return listed.filter(F.col("key").isNotNull()).select(
         *key_cols,
-        F.col("_node.path").alias("path"),
-        F.when(F.col("_node.members").isNotNull(), F.raise_error(too_deep))
-        .otherwise(F.to_json("_node.node"))
+        path.alias("path"),
+        F.when(F.col("members").isNotNull(), F.raise_error(too_deep))
+        .otherwise(F.col("json"))
         .alias("value"),
     )
 
@@ -171,12 +207,13 @@ def _json_object(entries: Column) -> Column:
 def unflatten(params: DataFrame, keys: list[str], max_depth: int = 4) -> DataFrame:
     """Rebuild one JSON tree per key from names paths: the inverse of ``values_only``.
 
-    Works bottom-up: the children of one parent are put together at a time, so what a
-    task holds is one node's children. Names are sorted. Paths must be distinct and at
-    most ``max_depth`` long; a longer one fails the query.
+    Works bottom-up, one grouping per level: the nodes of a level become entries of
+    their parents, all others pass. A task holds the children of one node at a time.
+    Names are sorted. Paths must be distinct and at most ``max_depth`` long; a longer one
+    fails the query.
     """
     require(params, [*keys, "path", "value"], "unflatten")
-    checked = params.select(
+    nodes = params.select(
         *keys,
         F.when(F.size("path") <= max_depth, F.col("path"))
         .otherwise(F.raise_error(F.lit(f"path longer than {max_depth}")).cast("array<string>"))
@@ -184,35 +221,39 @@ def unflatten(params: DataFrame, keys: list[str], max_depth: int = 4) -> DataFra
         F.col("value").alias("_value"),
         F.lit(None).cast("string").alias("_sub"),
     )
-    below = None
     for depth in range(max_depth, 0, -1):
-        nodes = checked.filter(F.size("path") == depth)
-        if below is not None:
-            nodes = nodes.unionByName(below)
+        closing = F.size("path") == depth
         own = F.array_compact(
             F.array(
                 _json_entry(F.lit(SAVED_VALUE), F.col("_value")),
                 _json_entry(F.lit(SAVED_CHILDREN), F.col("_sub")),
             )
         )
-        name = F.element_at("path", -1)
-        entry = F.struct(
-            name.alias("name"), _json_entry(name, _json_object(own)).alias("entry")
-        )
-        below = (
-            nodes.groupBy(*keys, "path")
-            .agg(F.max("_value").alias("_value"), F.max("_sub").alias("_sub"))
-            .select(*keys, F.slice("path", 1, depth - 1).alias("path"), entry.alias("_entry"))
+        name = F.try_element_at("path", F.lit(-1))
+        entry = F.struct(name.alias("name"), _json_entry(name, _json_object(own)).alias("entry"))
+        nodes = (
+            nodes.select(
+                *keys,
+                F.slice("path", F.lit(1), F.least(F.size("path"), F.lit(depth - 1))).alias("path"),
+                F.when(~closing, F.col("_value")).alias("_value"),
+                F.when(closing, entry).alias("_entry"),
+            )
             .groupBy(*keys, "path")
-            .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
+            .agg(
+                F.max("_value").alias("_value"),
+                F.array_sort(F.collect_list("_entry")).alias("_entries"),
+            )
             .select(
                 *keys,
                 "path",
-                F.lit(None).cast("string").alias("_value"),
-                _json_object(F.transform("_entries", lambda e: e["entry"])).alias("_sub"),
+                "_value",
+                F.when(
+                    F.size("_entries") > 0,
+                    _json_object(F.transform("_entries", lambda e: e["entry"])),
+                ).alias("_sub"),
             )
         )
-    return below.select(*keys, F.col("_sub").alias("tree"))
+    return nodes.select(*keys, F.col("_sub").alias("tree"))
 
 
 def select_sets(

@@ -42,7 +42,19 @@ def attach_group_rows(
     dropped. The rows of a hot group are spread by a hash of ``spread_by`` and its
     group row is repeated once per piece; every other group joins as usual.
     """
-    hot = F.broadcast(hot_groups(groups, keys, F.col(size), hot_rows))
+    hot = hot_groups(groups, keys, F.col(size), hot_rows)
+    return _join_in_pieces(rows, groups.drop(size), hot, keys, spread_by, how)
+
+
+def _join_in_pieces(
+    rows: DataFrame,
+    groups: DataFrame,
+    hot: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str,
+) -> DataFrame:
+    hot = F.broadcast(hot)
     salted_rows = rows.join(hot, keys, "left").withColumn(
         "_piece",
         F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
@@ -50,8 +62,7 @@ def attach_group_rows(
         ),
     )
     salted_groups = (
-        groups.drop(size)
-        .join(hot, keys, "left")
+        groups.join(hot, keys, "left")
         .withColumn(
             "_piece",
             F.explode_outer(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)),
@@ -69,11 +80,13 @@ def attach_counted(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``attach_group_rows`` for groups that do not know their row count yet."""
+    """``attach_group_rows`` for groups that do not know their row count yet.
+
+    The hot groups are found from the rows' keys alone, so ``groups`` is computed once.
+    """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return attach_group_rows(
-        rows, groups.join(counts, keys), keys, "_rows", spread_by, how, hot_rows
-    )
+    hot = hot_groups(counts, keys, F.col("_rows"), hot_rows)
+    return _join_in_pieces(rows, groups, hot, keys, spread_by, how)
 
 
 # A side of at most this many rows is broadcast.

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from steerframe.functions import curves as cv
-from steerframe.operators.curves import (
-    merge_selected,
-    profile_slots,
-    selected_profiles,
-    shaped_dose,
-)
+from steerframe.operators.curves import merge_named, profile_slots, shaped_dose
 from steerframe.operators.params import flatten_params, upsert, values_only
+from steerframe.session import ensure_checkpoint_dir
 
 # Where a site's tree keeps its dose and its profiles.
 GLOBALS, DOSE, PROFILES_CONTAINER = "type_globals", "dose_theta", "shape_sliders"
@@ -26,26 +22,31 @@ def redose(
     not have is ignored.
     """
     params = values_only(flatten_params(trees, tree, keys))
-    current = upsert(params, updates, keys)
-    slots = profile_slots(trees, tree, keys, PROFILES_CONTAINER).withColumn(
-        "path", F.array("site", F.lit(PROFILES_CONTAINER), "name")
+    current = upsert(params, updates, keys).filter(F.size("path") == 3)
+    slots = (
+        profile_slots(trees, tree, keys, PROFILES_CONTAINER)
+        .withColumn("path", F.array("site", F.lit(PROFILES_CONTAINER), "name"))
+        .select(*keys, "path", "sib_ord")
     )
-    switched = (
-        slots.drop("selected")
-        .join(current, [*keys, "path"])
-        .select(*keys, "site", "sib_ord", "name", (F.col("value") == "true").alias("selected"))
+    container, name = F.get("path", F.lit(1)), F.get("path", F.lit(2))
+    is_on = (
+        F.col("sib_ord").isNotNull() & (F.col("value") == "true") & name.isin(*cv.PROFILES)
     )
-    curves = merge_selected(selected_profiles(switched), [*keys, "site"])
-    doses = current.filter(
-        (F.size("path") == 3)
-        & (F.get("path", F.lit(1)) == GLOBALS)
-        & (F.get("path", F.lit(2)) == DOSE)
-    ).select(
-        *keys,
-        F.get("path", F.lit(0)).alias("site"),
-        F.col("value").cast("double").alias("dose"),
+    is_dose = (container == GLOBALS) & (name == DOSE)
+    # a path is there once, so a site's list is at most as long as the table of profiles
+    per_site = (
+        current.join(slots, [*keys, "path"], "left")
+        .groupBy(*keys, F.get("path", F.lit(0)).alias("site"))
+        .agg(
+            F.array_sort(
+                F.collect_list(F.when(is_on, F.struct("sib_ord", name.alias("name"))))
+            ).alias("_names"),
+            F.max(F.when(is_dose, F.col("value").try_cast("double"))).alias("dose"),
+        )
     )
-    per_site = curves.join(doses, [*keys, "site"], "left").withColumn(
-        "dose", F.coalesce("dose", F.lit(cv.DEFAULT_DOSE))
+    curves = merge_named(per_site, "_names").withColumn(
+        "dose", F.coalesce(F.col("dose"), F.lit(cv.DEFAULT_DOSE))
     )
-    return shaped_dose(blocks, per_site, [*keys, "site"], spread_by=["block_idx"])
+    # read several times below: once to size it, then to join it
+    ensure_checkpoint_dir(trees.sparkSession)
+    return shaped_dose(blocks, curves.checkpoint(), [*keys, "site"], spread_by=["block_idx"])
