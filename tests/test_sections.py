@@ -108,7 +108,7 @@ def test_strip_markers(spark):
     assert [r.t for r in so.strip_markers(df, "t").collect()] == ["a<|chat|>b", "ab"]
 
 
-def test_pipeline_has_no_shuffle(spark):
+def test_variants_need_no_shuffle(spark):
     df = spark.range(10).select(
         F.col("id").alias("spec_id"),
         F.lit("[[POSITIVE]]\nx").alias("char_context"),
