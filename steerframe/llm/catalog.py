@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_qda, quality_rules, simhash, suffix_dedup, toxicity
+from . import bpe, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -44,11 +48,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.score(docs, quality_qda.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules, op7_toxicity,
-        op8_quality_classifier,
+        op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules,
+        op6_html_extraction, op7_toxicity, op8_quality_classifier, op10_bpe,
     )
 }
 
