@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, toxicity
+from . import bpe, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, suffix_tree_lm, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -48,6 +48,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.score(docs, quality_qda.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -57,7 +61,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules,
-        op6_html_extraction, op7_toxicity, op8_quality_classifier, op10_bpe,
+        op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_suffix_tree_lm,
+        op10_bpe,
     )
 }
 
