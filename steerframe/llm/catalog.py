@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, suffix_tree_lm, toxicity
+from . import bpe, multi_index, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, suffix_tree_lm, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -60,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules,
+        op1_multi_index_hashing, op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules,
         op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_suffix_tree_lm,
         op10_bpe,
     )
