@@ -14,9 +14,10 @@ mostly share theirs, so one position in some forty stands for a run of strings:
    other run has ends there. Of runs equal as a whole, all but the first are repeats.
 2. First runs whose name other runs share, that is the ends of repeats, are opened: each of
    their strings gets its name of ``threshold`` bytes, and all but the first of each are
-   repeats.
+   repeats. Runs meet by the name of their sampled position, some thousand names to a task;
+   the strings of a name with very many runs are sorted by Spark one by one.
 
-Before each sort a task keeps only the first of its equal runs or strings, so a passage that
+Before a sort a task keeps only the first of its equal runs or strings, so a passage that
 most documents hold reaches the sort once for each batch, not for each document.
 
 Defined results: a null text is empty; a null id sorts first; documents with the same id are
@@ -41,11 +42,14 @@ from .common import NULL_ID, bytes_of, materialized, slices, text_key
 THRESHOLD = 100
 NAMED = 24
 #: documents in which a task looks for equal runs at once
-BATCH = 4000
-
-KEY = "id long, part int"
-RUNS = KEY + ", lo int, hi int, name long, whole long"
-SPANS = KEY + ", lo int, hi int"
+BATCH = 2000
+#: opened runs that meet in a task, on average, and runs of one name that may meet there
+GROUP_RUNS, CROWD = 20_000, 20_000
+
+KEY = "id long not null, part int not null"
+RUNS = KEY + ", lo int, hi int, place long not null, whole long"
+OPENED = KEY + ", lo int, hi int, place long not null, crowd long, octets binary"
+SPANS = "id long, part int, lo int, hi int"
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _OCTET = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (
     np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) >> np.uint64(23)
@@ -148,104 +152,154 @@ def _run_batches(batches, threshold, named):
                 [xxhash.xxh3_64_intdigest(raw[a : b + threshold])
                  for a, b in zip(lo.tolist(), hi.tolist())], np.uint64,
             )
-            columns = np.full(len(lo), i), np.full(len(lo), p), lo, hi, label.view(np.int64), whole.view(np.int64)
-            for part, column in zip(parts, columns):
+            n = len(lo)
+            for part, column in zip(
+                parts,
+                (np.full(n, i), np.full(n, p), lo, hi, label.view(np.int64), whole.view(np.int64)),
+            ):
                 part.append(column)
-        rows = _rows(parts, ["id", "part", "lo", "hi", "name", "whole"], _KINDS)
-        keys = np.stack([rows.column("name").to_numpy(), rows.column("whole").to_numpy()], 1)
-        yield from _marked(rows, _first_of_equal(keys), ["name", "whole"])
+        rows = _rows(parts, ["id", "part", "lo", "hi", "place", "whole"], _KINDS)
+        yield from _marked(rows)
+
 
+def _marked(rows: pa.RecordBatch):
+    """First rows as they are; the rest, joined where they touch, settled and so without name.
 
-def _marked(rows: pa.RecordBatch, first: np.ndarray, named: list[str]):
-    """First rows as they are; the rest, joined where they touch, without their names."""
+    Settled rows go to any task, so their place is a number of their own.
+    """
+    place, whole = rows.column("place").to_numpy(), rows.column("whole").to_numpy()
+    first = _first_of_equal(np.stack([place, whole], 1))
     yield rows.filter(pa.array(first))
-    rest = rows.filter(pa.array(~first))
-    if not rest.num_rows:
-        return
-    i, p, lo, hi = (rest.column(c).to_numpy() for c in ("id", "part", "lo", "hi"))
-    joins = (i[1:] == i[:-1]) & (p[1:] == p[:-1]) & (lo[1:] == hi[:-1] + 1)
-    start = np.concatenate([[True], ~joins])
-    end = np.concatenate([~joins, [True]])
-    n = int(start.sum())
-    out = {"id": pa.array(i[start]), "part": pa.array(p[start]), "lo": pa.array(lo[start]),
-           "hi": pa.array(hi[end])}
+    i, p, lo, hi = _joined(*(rows.column(c).to_numpy()[~first] for c in ("id", "part", "lo", "hi")))
+    spread = (i.view(np.uint64) * _ROOT + lo.astype(np.uint64) * _OCTET[7]).view(np.int64)
     yield pa.RecordBatch.from_arrays(
-        [out.get(c, pa.nulls(n, pa.int64())) for c in rows.schema.names], rows.schema.names
+        [pa.array(i), pa.array(p), pa.array(lo), pa.array(hi), pa.array(spread),
+         pa.nulls(len(i), pa.int64())], rows.schema.names,
     )
 
 
-def _string_batches(batches, threshold):
-    """Strings of opened runs, each with its name and that of its first bytes."""
+def _joined(i, p, lo, hi) -> tuple[np.ndarray, ...]:
+    """Rows in document order, those that touch as one."""
+    if not len(i):
+        return i, p, lo, hi
+    apart = (i[1:] != i[:-1]) | (p[1:] != p[:-1]) | (lo[1:] != hi[:-1] + 1)
+    start, end = np.concatenate([[True], apart]), np.concatenate([apart, [True]])
+    return i[start], p[start], lo[start], hi[end]
+
+
+def _opened_batches(batches, threshold):
+    """The opened runs of each document with the bytes of their strings."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in slices(batches, BATCH):
-        batch = _document_order(batch)
-        parts: list[list] = [[] for _ in range(6)]
+        rows = []
         for i, p, packed, runs in zip(
             batch.column("id").to_pylist(), batch.column("part").to_pylist(),
-            batch.column("text").to_pylist(), batch.column("runs").to_pylist(),
+            batch.column("text").to_pylist(), batch.column("opened").to_pylist(),
         ):
-            octets = np.frombuffer(unpack(packed), np.uint8)
-            label = names(octets, threshold)
-            raw = octets.tobytes()
-            at = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in sorted(runs, key=lambda r: r["lo"])])
-            whole = np.array(
-                [xxhash.xxh3_64_intdigest(raw[a : a + threshold]) for a in at.tolist()], np.uint64
-            )
-            columns = np.full(len(at), i), np.full(len(at), p), at, at, label[at].view(np.int64), whole.view(np.int64)
-            for part, column in zip(parts, columns):
-                part.append(column)
-        rows = _rows(parts, ["id", "part", "lo", "hi", "name", "whole"], _KINDS)
-        keys = np.stack([rows.column("name").to_numpy(), rows.column("whole").to_numpy()], 1)
-        yield from _marked(rows, _first_of_equal(keys), ["name", "whole"])
+            raw = unpack(packed)
+            rows += [
+                (i, p, r["lo"], r["hi"], r["place"], r["crowd"], raw[r["lo"] : r["hi"] + threshold])
+                for r in runs
+            ]
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)],
+            ["id", "part", "lo", "hi", "place", "crowd", "octets"],
+        )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Equal names to one task; rows that are settled, which have none, to any."""
-    return rows.withColumn(
-        "place", F.coalesce("name", F.xxhash64("id", "part", "lo"))
+def _strings(rows, threshold: int) -> tuple[np.ndarray, ...]:
+    """id, part, start, place and name of every string of runs, in document order."""
+    rows = rows.sort_by([("id", "ascending"), ("part", "ascending"), ("lo", "ascending")])
+    i, p, lo, hi, place = (rows.column(c).to_numpy() for c in ("id", "part", "lo", "hi", "place"))
+    joined = b"".join(rows.column("octets").to_pylist())
+    label = names(np.frombuffer(joined, np.uint8), threshold)
+    n = hi.astype(np.int64) - lo + 1
+    # the strings of a run start at its first n bytes
+    begin = np.cumsum(n + threshold - 1) - (n + threshold - 1)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(lo, n) + step.astype(np.int32)
+    return (
+        np.repeat(i, n), np.repeat(p, n), at, np.repeat(place, n),
+        label[np.repeat(begin, n) + step].view(np.int64),
     )
 
 
-def _collected(rows: DataFrame, label: str) -> DataFrame:
+def _settle_group(rows: pa.Table, threshold: int) -> pa.Table:
+    """All but the first of equal strings of the names that meet here."""
+    i, p, at, place, label = _strings(rows, threshold)
+    again = ~_first_of_equal(np.stack([place, label], 1))
+    i, p, lo, hi = _joined(i[again], p[again], at[again], at[again])
+    return pa.table({"id": i, "part": p, "lo": lo, "hi": hi})
+
+
+def _string_batches(batches, threshold):
+    for batch in slices(batches, 5000):
+        i, p, at, place, label = _strings(batch, threshold)
+        yield from _marked(pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (i, p, at, at, place, label)],
+            ["id", "part", "lo", "hi", "place", "whole"],
+        ))
+
+
+def _collected(rows: DataFrame, label: str, *columns: str) -> DataFrame:
     """One row per document with its runs in order; a document bounds its runs."""
     return rows.groupBy("id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias(label)
+        F.array_sort(F.collect_list(F.struct("lo", "hi", *columns))).alias(label)
     )
 
 
-def repeated_runs(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, packed: DataFrame, threshold: int = THRESHOLD
+) -> DataFrame:
     """(id, part, runs) of documents with repeats: runs of starts of strings seen earlier."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         partial(_key_batches, pack=False), KEY + ", text binary"
-    )
-    runs = _spread(
-        keyed.mapInArrow(partial(_run_batches, threshold=threshold, named=min(NAMED, threshold)), RUNS)
+    ).mapInArrow(
+        partial(_run_batches, threshold=threshold, named=min(NAMED, threshold)), RUNS
     )
     by_name = Window.partitionBy("place")
     in_order = by_name.orderBy("whole", "id", "part", "lo")
-    settled = F.col("name").isNull()
-    judged = runs.select(
-        "id", "part", "lo", "hi",
-        (settled | F.coalesce(F.lag("whole").over(in_order) == F.col("whole"), F.lit(False))).alias("repeat"),
-        (F.min("whole").over(by_name) < F.max("whole").over(by_name)).alias("shared"),
-    ).filter("repeat OR shared")
-    judged = materialized(judged, "suffix-runs")
-
-    opened = _collected(judged.filter("NOT repeat"), "runs")
-    strings = _spread(
-        packed_texts(docs).join(opened, ["id", "part"])
-        .dropDuplicates(["id", "part"])
-        .mapInArrow(partial(_string_batches, threshold=threshold), RUNS)
+    same = F.coalesce(F.lag("whole").over(in_order) == F.col("whole"), F.lit(False))
+    judged = materialized(
+        runs.select(
+            "id", "part", "lo", "hi", "place",
+            (F.col("whole").isNull() | same).alias("repeat"),
+            (F.min("whole").over(by_name) < F.max("whole").over(by_name)).alias("shared"),
+            F.count(F.lit(1)).over(by_name).alias("crowd"),
+        ).filter("repeat OR shared").drop("shared"),
+        "suffix-runs",
     )
-    again = strings.select(
-        "id", "part", "lo", "hi", "name",
-        F.row_number().over(
-            Window.partitionBy("place", "whole").orderBy("id", "part", "lo")
-        ).alias("nth"),
-    ).filter("name IS NULL OR nth > 1").select("id", "part", "lo", "hi")
-    return _collected(
-        judged.filter("repeat").select("id", "part", "lo", "hi").unionByName(again), "runs"
+    opened = _collected(judged.filter("NOT repeat"), "opened", "place", "crowd")
+    opened = materialized(
+        packed.join(opened, ["id", "part"]).dropDuplicates(["id", "part"])
+        .mapInArrow(partial(_opened_batches, threshold=threshold), OPENED),
+        "suffix-opened",
+    )
+
+    def settled(rows: pa.Table) -> pa.Table:
+        return _settle_group(rows, threshold)
+
+    groups = max(1, opened.count() // GROUP_RUNS)
+    again = (
+        opened.filter(F.col("crowd") <= CROWD)
+        .groupBy(F.pmod(F.xxhash64("place"), F.lit(groups)).alias("name_group"))
+        .applyInArrow(settled, SPANS)
+    )
+    crowded = (
+        opened.filter(F.col("crowd") > CROWD)
+        .mapInArrow(partial(_string_batches, threshold=threshold), RUNS)
+        .select(
+            "id", "part", "lo", "hi", "whole",
+            F.row_number().over(
+                Window.partitionBy("place", "whole").orderBy("id", "part", "lo")
+            ).alias("nth"),
+        )
+        .filter("whole IS NULL OR nth > 1").select("id", "part", "lo", "hi")
     )
+    found = judged.filter("repeat").select("id", "part", "lo", "hi")
+    return _collected(found.unionByName(again).unionByName(crowded), "runs")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -293,8 +347,8 @@ def _kept_batches(batches, threshold):
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, counts, digest and the remaining bytes of every row."""
-    runs = repeated_runs(docs, threshold)
-    return packed_texts(docs).join(runs, ["id", "part"], "left").mapInArrow(
+    packed = packed_texts(docs)
+    return packed.join(repeated_runs(docs, packed, threshold), ["id", "part"], "left").mapInArrow(
         partial(_kept_batches, threshold=threshold),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
@@ -323,7 +377,7 @@ def cut_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     A character of which only some bytes are repeats goes as a whole.
     """
-    runs = repeated_runs(docs, threshold).select(
+    runs = repeated_runs(docs, packed_texts(docs), threshold).select(
         F.col("id").alias("__suffix_id"), F.col("part").alias("__suffix_part"),
         F.col("runs").alias("__suffix_runs"),
     )
