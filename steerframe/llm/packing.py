@@ -33,6 +33,9 @@ REMEMBERED = 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = PIECES + ", sequence_id long, offset long"
 
+# fixed value: marks that the tokenizer never joins with a letter or digit before them
+MARKS = b".,;:!?#*$%&|<>()[]{}+=/\\-_~\"@^`"
+
 # what a Python worker keeps between tasks: tokenizer and known words by vocabulary path
 _worker: dict = {}
 
@@ -46,6 +49,18 @@ def _words_of(path: str):
     return _worker[path]
 
 
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word as two parts that the tokenizer encodes apart, so that more words share them.
+
+    It lowers all letters and splits between a letter or digit and the marks behind it; only
+    the strings of special tokens must stay whole.
+    """
+    if b"<|" in word:
+        return word, b""
+    core = word.rstrip(MARKS).lower()
+    return (core, word[len(core) :]) if core[-1:].isalnum() else (word, b"")
+
+
 def token_bytes(raw: bytes, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit numbers.
 
@@ -56,17 +71,20 @@ def token_bytes(raw: bytes, path: str) -> bytes:
     words = raw.split()
     found = list(map(known.get, words))
     if None in found:
-        missing = list({w for w, ids in zip(words, found) if ids is None})
-        if len(known) + len(missing) > REMEMBERED:
+        missing = {w for w, ids in zip(words, found) if ids is None}
+        parts = {w: _parts(w) for w in missing}
+        asked = list({p for pair in parts.values() for p in pair if p and p not in known})
+        if len(known) + len(missing) + len(asked) > REMEMBERED:
             known.clear()
+            asked = list({p for pair in parts.values() for p in pair if p})
         encoded = tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False
+            [w.decode("utf-8", "replace") for w in asked], add_special_tokens=False
         )
-        fresh = {
-            w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(missing, encoded)
-        }
+        for word, e in zip(asked, encoded):
+            known[word] = np.array(e.ids, np.uint32).tobytes()
+        fresh = {w: known[core] + known.get(tail, b"") for w, (core, tail) in parts.items()}
         known.update(fresh)
-        found = [fresh.get(w) if ids is None else ids for w, ids in zip(words, found)]
+        found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
     return b"".join(found)
 
 
