@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bytes_of, slices
 
 #: words, and parts of words, whose ids a Python worker remembers
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: symbols that are read beyond the lookahead before tokens are emitted
 READ = 256
 #: ids that the decoder turns into bytes at a time
