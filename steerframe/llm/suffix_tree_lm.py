@@ -39,7 +39,7 @@ SUPPORT = 5e-6
 #: words whose counts every task gets; the counts of others are joined
 FREQUENT = 150_000
 #: words that a worker remembers, and words whose contexts are counted at a time
-REMEMBERED, COUNTED = 300_000, 100_000
+REMEMBERED, COUNTED = 250_000, 100_000
 ALPHA = 0.1
 #: bytes of context for heads, and the least share of all tokens for such a context
 REACH, HEAD_SUPPORT = 3, 5e-5
@@ -320,18 +320,15 @@ class HeadTree:
 
     contexts: list[np.ndarray]  # ordered, for each length; none for length 0
     states: list[np.ndarray]  # number of each
-    escape: np.ndarray  # of each state, for heads not seen there
-    pairs: np.ndarray  # ordered: state, then head
-    change: np.ndarray
+    change: np.ndarray  # rows: states; columns: heads that occur, then any other
+    column: np.ndarray  # of each head
 
     def log_changes(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         state = np.zeros(len(starts), np.int64)
         for k, value in head_contexts(symbols, starts):
             place = _among(value, self.contexts[k])
-            state = np.where(place >= 0, self.states[k][place], state)
-        place = _among(state << 16 | heads_of(symbols, starts), self.pairs)
-        seen = self.change[place] if len(self.change) else np.zeros(len(starts))
-        return np.where(place >= 0, seen, self.escape[state])
+            state = np.where(place >= 0, self.states[k][place], state) if len(self.states[k]) else state
+        return self.change[state, self.column[heads_of(symbols, starts)]].astype(np.float64)
 
 
 def grow_heads(docs: DataFrame, shares: dict[int, float], tokens: int) -> HeadTree:
@@ -351,7 +348,6 @@ def grow_heads(docs: DataFrame, shares: dict[int, float], tokens: int) -> HeadTr
     dense, escape = [root], [0.0]  # distributions by state
     parent_of = lambda k, c: nodes.get((k - 1, c & ((1 << 8 * (k - 1)) - 1)), 0)
     total = max(float(tokens), 2.0)
-    pairs, change = [], []
     contexts_of, states_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(1, REACH + 1):
         rows = np.flatnonzero(length == k)
@@ -375,20 +371,18 @@ def grow_heads(docs: DataFrame, shares: dict[int, float], tokens: int) -> HeadTr
             probability[seen] += count / (size + kinds)
             dense.append(probability.astype(np.float32))
             escape.append(escape[above] + float(np.log10(kinds / (size + kinds))))
-            known = np.flatnonzero((root > 0) & (probability > 0))
-            value_of = np.log10(probability[known] / root[known])
-            other = np.abs(value_of - escape[-1]) > 1e-6
-            pairs.append(state << 16 | known[other])
-            change.append(value_of[other].astype(np.float32))
             own.append(value)
             numbers.append(state)
         contexts_of.append(np.array(own, np.int64))
         states_of.append(np.array(numbers, np.int64))
-    joined = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-    return HeadTree(
-        contexts_of, states_of, np.array(escape), joined,
-        np.concatenate(change) if change else np.zeros(0, np.float32),
-    )
+    used = np.flatnonzero(root > 0)
+    column = np.full(1 << 16, len(used), np.int64)
+    column[used] = np.arange(len(used))
+    change = np.empty((len(dense), len(used) + 1), np.float32)
+    change[:, -1] = escape
+    for state, probability in enumerate(dense):
+        change[state, :-1] = np.log10(probability[used] / root[used])
+    return HeadTree(contexts_of, states_of, change, column)
 
 
 @dataclass
@@ -418,16 +412,16 @@ class Scorer:
 _worker: dict = {}
 
 
-def _known(found: set[bytes], scorer: Scorer) -> dict[bytes, tuple]:
+def _known(texts: list[Counter], scorer: Scorer) -> dict[bytes, tuple]:
     """For each word: log10 share and base if it is frequent, else none and its spelling."""
     if _worker.get("name") != scorer.tree.name:
         _worker.clear()
         _worker.update(name=scorer.tree.name, words={})
     words = _worker["words"]
-    fresh = [w for w in found if w not in words]
+    fresh = list(set().union(*(own.keys() - words.keys() for own in texts)))
     if len(words) + len(fresh) > REMEMBERED:
         words.clear()
-        fresh = list(found)
+        fresh = list(set().union(*texts))
     for at in range(0, len(fresh), COUNTED):
         some = fresh[at : at + COUNTED]
         spelled = scorer.tree.log_words(some)
@@ -448,29 +442,36 @@ def _score_batches(batches, shared):
     for batch in slices(batches, 500):
         raws = bytes_of(batch.column("text"))
         counts = [Counter(raw.lower().split()) for raw in raws]
-        logs = _known(set().union(*counts), scorer)
+        logs = _known(counts, scorer)
         symbols, starts = stream(raws)
         sizes = np.array([1 + own.total() for own in counts])
         owner = np.repeat(np.arange(len(raws)), sizes)
         moved = np.bincount(owner, scorer.heads.log_changes(symbols, starts), len(raws))
-        rows = []
+        rows, rare, ends = [], ([], [], []), [0]
         for own, size, change in zip(counts, sizes.tolist(), moved.tolist()):
-            score, sure, known, rare = end_share + change, end_base, int(texts > 0), []
+            score, sure, known = end_share + change, end_base, int(texts > 0)
             for word, n in own.items():
                 share, other = logs[word]
                 if share is None:
-                    rare.append({"word": word, "n": n, "spelled": other})
+                    rare[0].append(word)
+                    rare[1].append(n)
+                    rare[2].append(other)
                 else:
                     score += n * share
                     sure += n * other
                     known += n
-            rows.append((size, known, sure, score, rare))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        word = pa.struct([("word", pa.binary()), ("n", pa.int64()), ("spelled", pa.float64())])
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(word)]
+            rows.append((size, known, sure, score))
+            ends.append(len(rare[0]))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        words = pa.StructArray.from_arrays(
+            [pa.array(c, k) for c, k in zip(rare, (pa.binary(), pa.int64(), pa.float64()))],
+            ["word", "n", "spelled"],
+        )
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("held_out")]
-            + [pa.array(c, k) for c, k in zip(columns, kinds)],
+            + [pa.array(c, k) for c, k in zip(columns, kinds)]
+            + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)],
             ["doc_id", "held_out", "n_tokens", "known", "sure", "part", "rare"],
         )
 
