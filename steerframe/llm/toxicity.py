@@ -41,7 +41,7 @@ LEVEL = 19
 WINDOW = 48
 PREDICT_FROM = 0.3
 #: words whose gain a worker remembers
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: gains, in bytes, from which windows are counted
 STEPS = (3, 4, 5, 6)
 
@@ -132,6 +132,8 @@ def _compressor(dictionary: bytes):
     params = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, min_match=3, write_content_size=False, write_checksum=False,
         write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        # tables for dictionary and window, not for the megabytes that the level foresees
+        window_log=16, chain_log=16, hash_log=16,
     )
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
