@@ -138,7 +138,7 @@ _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()
 
 
 def _run_batches(batches, threshold, named):
-    for batch in slices(batches, BATCH):
+    for batch in slices(_key_batches(batches, False), BATCH):
         batch = _document_order(batch)
         parts: list[list] = [[] for _ in range(6)]
         for i, p, raw in zip(
@@ -255,8 +255,6 @@ def repeated_runs(
 ) -> DataFrame:
     """(id, part, runs) of documents with repeats: runs of starts of strings seen earlier."""
     runs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        partial(_key_batches, pack=False), KEY + ", text binary"
-    ).mapInArrow(
         partial(_run_batches, threshold=threshold, named=min(NAMED, threshold)), RUNS
     )
     by_name = Window.partitionBy("place")
