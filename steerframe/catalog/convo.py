@@ -207,9 +207,8 @@ FROM (SELECT spec_id, unnest(k) AS m FROM best)"""
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and characters that each prompt keeps of a history it shows."""
-    shown = specs(spark, sf_dir).filter(~F.col("user_input").contains("<|nochat|>"))
-    out = cn.truncate_to_budget(shown, messages(spark, sf_dir), ["spec_id"])
+    """Messages and characters that each prompt keeps."""
+    out = cn.truncate_to_budget(specs(spark, sf_dir), messages(spark, sf_dir), ["spec_id"])
     total = F.aggregate(
         "messages", F.lit(0), lambda acc, m: acc + F.length(m["text"])
     )
@@ -223,7 +222,7 @@ SQL_FITTED = (
     + """
 SELECT spec_id, len(k) AS n,
        coalesce(list_sum(list_transform(k, lambda x: length(x.text))), 0)::BIGINT AS chars
-FROM best JOIN s USING (spec_id) WHERE NOT contains(s.user_input, '<|nochat|>')"""
+FROM best JOIN s USING (spec_id)"""
 )
 
 

@@ -461,9 +461,9 @@ def xent(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vector_rows(spark, sf_dir).select(
         div("vec_id", 20).alias("seq_id"),
         mod("vec_id", 20).alias("pos"),
-        vx.scale(F.slice("vec", 1, 16), F.lit(5.0)).alias("scores"),
+        vx.scale(F.col("vec"), F.lit(5.0)).alias("scores"),
         F.when(mod("vec_id", 6) == 0, -100)
-        .otherwise((F.col("vec_id") * 7) % 16)
+        .otherwise((F.col("vec_id") * 7) % 64)
         .cast("int")
         .alias("label"),
     )
@@ -473,8 +473,8 @@ def xent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_XENT = f"""
 WITH {SQL_COMPONENTS},
-z AS (SELECT vec_id, ln(sum(exp(5 * x))) AS z FROM c WHERE i < 16 GROUP BY 1),
-l AS (SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN NULL ELSE vec_id * 7 % 16 END AS label
+z AS (SELECT vec_id, ln(sum(exp(5 * x))) AS z FROM c GROUP BY 1),
+l AS (SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN NULL ELSE vec_id * 7 % 64 END AS label
       FROM embeddings)
 SELECT c.vec_id // 20 AS seq_id, round(avg(z.z - 5 * c.x), 6) + 0.0 AS loss, count(*) AS n
 FROM c JOIN z USING (vec_id)

@@ -340,14 +340,13 @@ def truncate_to_budget(
     """Add ``messages``, the array a prompt keeps: as many of the newest as fit.
 
     Oldest messages go first and the system message last; if it does not fit alone,
-    nothing is left. The array is bounded by the budget, not by the conversation: of a
-    history that the prompt does not show, only the newest message is in it
-    (``kept_rows`` has them all).
+    nothing is left. A history that the prompt does not show costs nothing and is kept
+    whole, as ``kept_rows`` does.
     """
     require(specs, [*keys, conv, *SPEC_COLUMNS], "truncate_to_budget")
     budgets = _budgets(specs, formats, cost)
     kept = (
-        kept_history(budgets, messages, keys, conv, cost, block, shown_only=True)
+        kept_history(budgets, messages, keys, conv, cost, block, shown_only=False)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_kept"))
     )

@@ -98,9 +98,12 @@ def _bounded_list(settings: DataFrame) -> list[Setting] | None:
 
 
 def _as_frame(vectors: DataFrame, settings: list[Setting]) -> DataFrame:
-    rows = [
-        {name: getattr(setting, name) for name in SETTING.names} for setting in settings
-    ]
+    # of several settings for one key the last set holds, then the last in the list
+    last = {
+        tuple(getattr(s, name) for name in DISPATCH_KEYS): s
+        for s in sorted(settings, key=lambda s: s.set_ord or 0)
+    }
+    rows = [{name: getattr(s, name) for name in SETTING.names} for s in last.values()]
     return vectors.sparkSession.createDataFrame(
         pa.Table.from_pylist(rows, schema=to_arrow_schema(SETTING))
     )
@@ -112,7 +115,11 @@ def _with_settings(vectors: DataFrame, settings: list[Setting] | DataFrame, spre
         if len(settings) <= MAX_BROADCAST_SETTINGS:
             return vectors.join(F.broadcast(frame), DISPATCH_KEYS, "left")
     else:
-        frame = settings.drop("set_ord")
+        others = [c for c in settings.columns if c not in ("set_ord", *DISPATCH_KEYS)]
+        order = [c for c in settings.columns if c == "set_ord"]
+        frame = settings.groupBy(*DISPATCH_KEYS).agg(
+            F.max(F.struct(*order, *others)).alias("_last")
+        ).select(*DISPATCH_KEYS, *[F.col(f"_last.{c}").alias(c) for c in others])
     return attach_counted(vectors, frame, DISPATCH_KEYS, spread_by)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.schemas import require
@@ -25,7 +26,11 @@ QUERY_BLOCK = 256
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; null vectors and vectors of different lengths fail."""
     flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(vectors)
+    if sizes.null_count or pc.count_distinct(sizes).as_py() > 1:
+        raise ValueError("vectors of a lookup must be given and of one length")
     return flat.reshape(len(vectors), -1)
 
 

@@ -36,12 +36,13 @@ def _expand_level(nodes: Column) -> Column:
 
 
 def flatten_params(
-    df: DataFrame, json_col: str, key_cols: list[str], max_depth: int = 8
+    df: DataFrame, json_col: str, key_cols: list[str], max_depth: int = 12
 ) -> DataFrame:
     """One row per leaf of a JSON tree: its ``path`` and its ``value`` as JSON text.
 
     The text is parsed once and its levels are opened inside the row, so a table of trees
-    is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query.
+    is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query, whatever
+    columns of the result are read: the depth is checked in the filter.
     """
     require(df, [json_col, *key_cols], "flatten_params")
     parsed = F.try_parse_json(F.col(json_col))
@@ -56,12 +57,13 @@ def flatten_params(
         F.lit(f"tree deeper than {max_depth} at "),
         F.array_join(F.col("_node.path"), PATH_SEPARATOR),
     )
-    return listed.filter(F.size("_node.path") > 0).select(
+    closed = F.when(
+        F.col("_node.members").isNotNull(), F.raise_error(too_deep).cast("boolean")
+    ).otherwise(F.size("_node.path") > 0)
+    return listed.filter(closed).select(
         *key_cols,
         F.col("_node.path").alias("path"),
-        F.when(F.col("_node.members").isNotNull(), F.raise_error(too_deep))
-        .otherwise(F.to_json("_node.node"))
-        .alias("value"),
+        F.to_json("_node.node").alias("value"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import arrays as ar, text as tx
 from steerframe.operators.skew import HOT_ROWS, attach_group_rows
@@ -66,18 +66,15 @@ def prefix_reuse(
 ) -> DataFrame:
     """How much of the previous sequence each step can reuse: ``reused`` and ``new``.
 
-    Steps of a key are consecutive integers, so the previous sequence is found by an
-    equi-join on (key, step), which spreads a key with very many steps. With batch rows
-    (``row``), a step reuses the shortest prefix among them. A sequence that repeats the
+    The previous sequence of a key is that of the step before, however far apart their
+    numbers are. With batch rows (``row``), a step reuses the shortest prefix among them. A sequence that repeats the
     previous one as a whole still computes its last token.
     """
     by_row = [row] if row else []
     require(seqs, [*key, step, tokens, *by_row], "prefix_reuse")
-    previous = seqs.select(
-        *key, *by_row, (F.col(step) + 1).alias(step), F.col(tokens).alias("_previous")
-    )
-    joined = seqs.select(*key, *by_row, step, tokens).join(
-        previous, [*key, *by_row, step], "left"
+    before = Window.partitionBy(*key, *by_row).orderBy(step)
+    joined = seqs.select(
+        *key, *by_row, step, tokens, F.lag(tokens).over(before).alias("_previous")
     )
     prefix = F.coalesce(
         ar.common_prefix(F.col("_previous"), F.col(tokens)), F.lit(0)

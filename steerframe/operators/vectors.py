@@ -156,9 +156,12 @@ def log_partition(df: DataFrame, group: list[str], score: str) -> DataFrame:
 
     Scores are summed in bands of width 32, each relative to its own base, so the
     sum is safe for any score and needs a single pass that combines on the map
-    side; only one row per group and band is left to put together.
+    side; only one row per group and band is left to put together. A score of minus
+    infinity weighs nothing; a group of such scores alone has a null logarithm.
     """
-    band = F.floor(F.col(score) / F.lit(_BAND))
+    masked = F.col(score).cast("double") == F.lit(float("-inf"))
+    # a double, so that no score is out of range
+    band = F.rint(F.when(~masked, F.col(score).cast("double")) / F.lit(float(_BAND)))
     banded = df.groupBy(*group, band.alias("_band")).agg(
         F.sum(F.exp(F.col(score) - band * F.lit(_BAND))).alias("_sum"),
         F.count(F.lit(1)).alias("_rows"),
@@ -186,7 +189,9 @@ def group_softmax(
     joined = attach_group_rows(
         df, log_partition(df, group, score), group, "_rows", spread_by, hot_rows=hot_rows
     )
-    return joined.withColumn(out, F.exp(F.col(score) - F.col("log_z"))).drop("log_z")
+    share = F.exp(F.col(score) - F.col("log_z"))
+    unseen = F.col("log_z").isNull() & F.col(score).isNotNull()
+    return joined.withColumn(out, F.when(unseen, F.lit(0.0)).otherwise(share)).drop("log_z")
 
 
 def weighted_draw(

@@ -75,14 +75,14 @@ def test_against_pop_loop(spark):
     assert len(kept) == sum(map(len, expected.values()))
 
 
-def test_hidden_history_is_not_gathered(spark):
+def test_hidden_history_is_kept(spark):
     specs, messages = frames(
         spark,
         [spec(mode="chat-instruct", command="c <|prompt|>", user_input="x <|nochat|>")],
         [(1, i, "user", "hello") for i in range(50)],
     )
     fitted = cn.truncate_to_budget(specs, messages, ["spec_id"], block=10).first()
-    assert [m.text for m in fitted.messages] == ["hello", "x <|nochat|>"]
+    assert [m.text for m in fitted.messages] == ["hello"] * 50 + ["x <|nochat|>"]
     assert cn.kept_rows(specs, messages, ["spec_id"], block=10).count() == 51
 
 

@@ -172,3 +172,10 @@ def test_updates_stream_writes_a_version_per_batch(spark, tmp_path):
     assert seen == [(0, 2), (1, 2)]
     last = store.read_params(spark, up.version_path(str(tmp_path), 1))
     assert {r.path[0]: r.value for r in last.collect()} == {"a": "6", "b": "2"}
+
+
+def test_too_deep_fails_whatever_is_read(spark):
+    flat = po.flatten_params(trees(spark, {"a": {"b": {"c": 1}}}), "tree", ["owner"], 2)
+    for read in (flat.select("path"), po.values_only(flat), flat.groupBy().count()):
+        with pytest.raises(Exception, match="deeper than 2"):
+            read.collect()

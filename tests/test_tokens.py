@@ -100,3 +100,11 @@ def test_leader_null_and_hot(spark):
     )
     out = to.leader_value(rows, ["g"], "id", "v", ["id"], hot_rows=7).collect()
     assert len(out) == 100 and {r.v for r in out} == {0}
+
+
+def test_prefix_reuse_over_a_gap_in_steps(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, [1, 2, 3]), (1, 2, [1, 2, 3, 4])], "k long, step int, tokens array<long>"
+    )
+    got = {r.step: (r.reused, r.new) for r in to.prefix_reuse(rows, ["k"]).collect()}
+    assert got == {0: (0, 3), 2: (3, 1)}

@@ -243,3 +243,14 @@ def test_user_function_as_pandas_udf(spark):
     registry = {"negate": dp.VectorFunction(lambda vec, w, _: negated(vec))}
     out = dp.apply_settings(sited(spark), [dp.Setting(3, "h", "negate")], ["group_id"], registry)
     assert {(r.group_id, r.batch_idx): r.vec for r in out.collect()}[(3, 1)] == [-3.0, -1.0]
+
+
+def test_masked_and_huge_scores(spark):
+    rows = spark.createDataFrame(
+        [(1, float("-inf")), (1, 0.0), (1, 0.0), (2, 1e30), (2, 1.0), (3, float("-inf"))],
+        "g long, s double",
+    )
+    got = vo.group_softmax(rows, ["g"], "s", ["s"]).collect()
+    assert sorted((r.g, r.weight) for r in got) == [
+        (1, 0.0), (1, 0.5), (1, 0.5), (2, 0.0), (2, 1.0), (3, 0.0)
+    ]
