@@ -418,7 +418,8 @@ def _known(texts: list[Counter], scorer: Scorer) -> dict[bytes, tuple]:
         _worker.clear()
         _worker.update(name=scorer.tree.name, words={})
     words = _worker["words"]
-    fresh = list(set().union(*(own.keys() - words.keys() for own in texts)))
+    # a difference of key views would walk through all the words that are known
+    fresh = list({w for own in texts for w in own if w not in words})
     if len(words) + len(fresh) > REMEMBERED:
         words.clear()
         fresh = list(set().union(*texts))
