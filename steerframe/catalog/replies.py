@@ -10,7 +10,6 @@ from steerframe.session import scratch_path
 from steerframe.streaming import replies as rp
 
 STOP = "error"
-MAX_CHUNKS = 12
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +30,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.accumulate_batch(chunks(spark, sf_dir), STOP, MAX_CHUNKS)
+    return rp.accumulate_batch(chunks(spark, sf_dir), STOP)
 
 
 def accumulate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incomplete pieces are not held back."""
-    return rp.accumulate_batch(chunks(spark, sf_dir), STOP, MAX_CHUNKS, hold_incomplete=False)
+    return rp.accumulate_batch(chunks(spark, sf_dir), STOP, hold_incomplete=False)
 
 
 def _sql_accumulate(hold: bool) -> str:
@@ -53,7 +52,7 @@ r AS (
   SELECT c.key, c.seq, c.text,
     string_agg(c.text, '') OVER (PARTITION BY c.key ORDER BY c.seq) AS reply
   FROM c LEFT JOIN s USING (key)
-  WHERE c.seq < 12 AND (s.stop IS NULL OR c.seq < s.stop)
+  WHERE s.stop IS NULL OR c.seq < s.stop
 )
 SELECT key, seq, reply FROM r WHERE true {held}"""
 
@@ -83,7 +82,7 @@ def run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 def accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _written_chunks(spark, sf_dir)
-    return run_to_end(spark, rp.accumulate_stream(stream, STOP, MAX_CHUNKS, late="60 days"))
+    return run_to_end(spark, rp.accumulate_stream(stream, STOP, late="60 days"))
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:

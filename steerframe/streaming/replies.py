@@ -1,8 +1,7 @@
 """Reply streams: cumulative text per key, as a batch job and as a streaming job.
 
-Chunks of a key are numbered 0, 1, 2, ... and a reply has at most ``max_chunks`` of
-them. Chunks past that number are dropped before the shuffle, so a key that fills a
-third of the stream still brings a bounded number of rows to its task.
+Chunks of a key are numbered 0, 1, 2, ... A length limit, ``max_chunks``, may be given;
+chunks past it are dropped before the shuffle. A null text counts as empty.
 """
 
 from __future__ import annotations
@@ -21,19 +20,24 @@ INCOMPLETE = "\ufffd"
 CHUNK_COLUMNS = ["key", "seq", "ts", "text"]
 
 
-def within_cap(chunks: DataFrame, max_chunks: int, stop_at=None) -> DataFrame:
-    """Chunks that may belong to a reply: under the cap and before a global stop."""
+def within_cap(chunks: DataFrame, max_chunks: int | None = None, stop_at=None) -> DataFrame:
+    """Chunks that may belong to a reply: under the cap, if any, and before a global stop."""
     require(chunks, CHUNK_COLUMNS, "accumulate")
-    kept = chunks.select("key", "seq", F.col("ts").cast("timestamp").alias("ts"), "text").filter(
-        (F.col("seq") >= 0) & (F.col("seq") < max_chunks)
-    )
+    kept = chunks.select(
+        "key",
+        "seq",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    ).filter(F.col("seq") >= 0)
+    if max_chunks is not None:
+        kept = kept.filter(F.col("seq") < max_chunks)
     return kept if stop_at is None else kept.filter(F.col("ts") < F.lit(stop_at))
 
 
 def accumulate_batch(
     chunks: DataFrame,
     stop_marker: str,
-    max_chunks: int,
+    max_chunks: int | None = None,
     hold_incomplete: bool = True,
     stop_at=None,
 ) -> DataFrame:
@@ -119,7 +123,7 @@ def _advance(stop_marker: str, hold_incomplete: bool, keep_ms: int):
 def accumulate_stream(
     chunks: DataFrame,
     stop_marker: str,
-    max_chunks: int,
+    max_chunks: int | None = None,
     hold_incomplete: bool = True,
     stop_at=None,
     late: str = "10 minutes",

@@ -17,7 +17,7 @@ def chunk(key, seq, text, second=None):
 
 def batch(spark, rows, **options):
     df = spark.createDataFrame(rows, SCHEMA)
-    out = rp.accumulate_batch(df, "STOP", options.pop("max_chunks", 100), **options)
+    out = rp.accumulate_batch(df, "STOP", options.pop("max_chunks", None), **options)
     return sorted((r.key, r.seq, r.reply) for r in out.collect())
 
 
@@ -41,6 +41,13 @@ def test_gap_duplicate_cap_and_global_stop(spark):
     assert batch(spark, full, stop_at=stop_at)[-1] == (1, 2, "012")
 
 
+def test_long_reply_and_null_text(spark):
+    rows = [chunk(1, i, None if i == 1 else "x") for i in range(300)]
+    got = batch(spark, rows)
+    assert len(got) == 300
+    assert got[1] == (1, 1, "x") and got[-1] == (1, 299, "x" * 299)
+
+
 def random_chunks(seed):
     rng, rows = random.Random(seed), []
     for key in range(30):
