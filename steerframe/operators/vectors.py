@@ -266,18 +266,22 @@ def shifted_xent(
     """Mean cross-entropy of the scores at a position against the label one further on.
 
     The join key is (key, position), unique on both sides, so a long sequence spreads
-    over all tasks.
+    over all tasks. Ignored and null labels are left out; any other label that is no place
+    of the scores fails the query.
     """
     require(scores, [*key, pos, score_vec], "shifted_xent")
     require(labels, [*key, pos, label], "shifted_xent")
     targets = labels.filter(F.col(label) != IGNORED_LABEL).select(
         *key, (F.col(pos) - 1).alias(pos), F.col(label).alias("_target")
     )
+    outside = (F.col("_target") < 0) | (F.col("_target") >= F.size(score_vec))
     losses = scores.join(targets, [*key, pos]).select(
         *(group or []),
-        (
+        F.when(outside, F.raise_error(F.lit("label outside the scores")).cast("double"))
+        .otherwise(
             vx.log_sum_exp(F.col(score_vec)) - F.get(F.col(score_vec), F.col("_target"))
-        ).alias("_loss"),
+        )
+        .alias("_loss"),
     )
     return losses.groupBy(*(group or [])).agg(
         F.avg("_loss").alias("loss"), F.count("_loss").alias("n")

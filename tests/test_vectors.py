@@ -202,6 +202,16 @@ def test_xent_leaves_out_ignored_labels(spark):
     assert got.n == 1 and got.loss == pytest.approx(-math.log(0.75))
 
 
+@pytest.mark.parametrize("label", [2, -1])
+def test_xent_fails_on_labels_outside_the_scores(spark, label):
+    rows = spark.createDataFrame(
+        [(1, 0, [0.0, 0.0], 0), (1, 1, [0.0, 0.0], label)],
+        "s long, pos long, scores array<double>, label int",
+    )
+    with pytest.raises(Exception, match="label outside the scores"):
+        vo.shifted_xent(rows, rows, ["s"]).collect()
+
+
 def sited(spark):
     rows = [(g, b, 1, 1, [float(g), float(b)], g, "h") for g in range(4) for b in range(2)]
     return spark.createDataFrame(rows, VECTORS + ", layer_idx long, site string")
