@@ -34,18 +34,38 @@ def steering_shift(
 
     The difference is linear in the rows, so one weighted vector sum gives it: a
     negative counts 1/numneg, the lead -1. That sum is combined on the map side and
-    shuffles one vector per group and task. Groups without negatives are absent. ``dim``
-    is the vectors' length, if known.
+    shuffles one vector per group and task. Groups without negatives, without their lead
+    or without all ``numneg`` negatives are absent. ``dim`` is the vectors' length, if
+    known; vectors of another length then fail the query.
     """
     is_negative = (F.col(batch_idx) >= F.col(numpos)) & (
         F.col(batch_idx) < F.col(numpos) + F.col(numneg)
     )
     is_lead = F.col(batch_idx) == 0
-    part = F.when(is_lead, F.lit(-1.0)).otherwise(F.lit(1.0) / F.col(numneg))
+    zero = F.lit(0.0)
+    part = F.when(is_negative, F.lit(1.0) / F.col(numneg)).otherwise(zero) - F.when(
+        is_lead, F.lit(1.0)
+    ).otherwise(zero)
     rows = vectors.filter((F.col(numneg) > 0) & (is_lead | is_negative))
-    return rows.withColumn("_part", part).groupBy(*group).agg(
-        vx.weighted_sum(vec, "_part", dim).alias("shift"),
-        F.max(F.col(numpos) + F.col(numneg)).alias("_rows"),
+    shift, length = F.col("shift"), F.size(vec)
+    if dim is not None:
+        wrong = (F.col("_shortest") != dim) | (F.col("_longest") != dim)
+        error = F.raise_error(F.lit(f"vectors to steer are not {dim} long"))
+        shift = F.when(wrong, error.cast("array<double>")).otherwise(shift)
+    return (
+        rows.withColumn("_part", part)
+        .groupBy(*group)
+        .agg(
+            vx.weighted_sum(vec, "_part", dim).alias("shift"),
+            F.max(F.col(numpos) + F.col(numneg)).alias("_rows"),
+            F.count_if(is_lead).alias("_leads"),
+            F.count_if(is_negative).alias("_negatives"),
+            F.max(numneg).alias("_expected"),
+            F.min(length).alias("_shortest"),
+            F.max(length).alias("_longest"),
+        )
+        .filter((F.col("_leads") == 1) & (F.col("_negatives") == F.col("_expected")))
+        .select(*group, shift.alias("shift"), "_rows")
     )
 
 
@@ -63,7 +83,8 @@ def steer_from_negatives(
     """Shift every vector of a group away from the mean of the group's negatives.
 
     All rows move, negatives and extra positives included, by
-    ``weight * (mean(negatives) - lead)``; a group without negatives stays as it is.
+    ``weight * (mean(negatives) - lead)``; a group without negatives stays as it is,
+    and so does one that lacks its lead or some of its negatives.
     """
     require(vectors, [*group, batch_idx, numpos, numneg, vec], "steer_from_negatives")
     shifts = steering_shift(vectors, group, batch_idx, numpos, numneg, vec, dim)

@@ -36,6 +36,21 @@ def test_steer_with_no_negatives_at_all(spark):
     assert vo.steer_from_negatives(df, ["group_id"]).first().vec == [1.0, 2.0]
 
 
+@pytest.mark.parametrize("lost", [0, 2])
+def test_steer_leaves_incomplete_groups(spark, lost):
+    vectors = [[2.0, 0.0], [4.0, 2.0], [0.0, 4.0]]
+    rows = [(1, i, 1, 2, v) for i, v in enumerate(vectors) if i != lost]
+    out = vo.steer_from_negatives(spark.createDataFrame(rows, VECTORS), ["group_id"], dim=2)
+    assert {r.batch_idx: r.vec for r in out.collect()} == {r[1]: r[4] for r in rows}
+
+
+def test_steer_fails_on_another_length(spark):
+    rows = [(1, i, 1, 1, [1.0, 2.0, float(i)]) for i in range(2)]
+    df = spark.createDataFrame(rows, VECTORS)
+    with pytest.raises(Exception, match="not 2 long"):
+        vo.steer_from_negatives(df, ["group_id"], dim=2).collect()
+
+
 @pytest.mark.parametrize("noise", [ns.HASHED, ns.ARITHMETIC])
 def test_rotation_keeps_length_and_bounds_angle(spark, noise):
     df = random_vectors(spark, 400, 24)
