@@ -1,14 +1,15 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-Two dictionaries share a base of common words. One ends with strings typical of toxic text,
+Two dictionaries share a base of common words. One ends with words typical of toxic text,
 the other with as many bytes of ordinary text. A window (a word with the blanks around it,
 followed by a fixed tail, since zstandard starts no match in the last bytes of a block) is
-toxic evidence if the toxic dictionary makes it shorter. How many windows of a document gain
-how many bytes is turned into a probability by a logistic curve, fitted on the same bounded
-sample of labelled rows.
+toxic evidence if the toxic dictionary makes it shorter, and more so if little but one match
+is left of it. How many windows of a document gain how many bytes, and how many of these are
+matched as a whole, is turned into a probability by a logistic curve, fitted on the same
+bounded sample of labelled rows; so many small gains add up.
 
-Toxic strings are found by contrast: five-byte strings of words that occur in many more toxic
-than ordinary documents; touching ones are joined, so endings that vary are left out.
+Toxic words are found by contrast: all words that occur in many more toxic than ordinary
+documents. The size of the dictionaries follows from them.
 
 Defined results: null and empty texts have no window and get the score of no evidence; equal
 rows get equal scores; without labels of both classes no window counts as evidence.
@@ -32,10 +33,10 @@ from .common import (
 
 #: labelled rows that the dictionaries and thresholds are learned from, at most
 TRAIN_ROWS = 12_000
-#: sizes of the model: contrasting strings, toxic strings, common words
-MARKS, TOXIC_STRINGS, COMMON_WORDS = 5000, 400, 800
-GRAM = 5
-MIN_LIFT = 8.0
+#: common words in the base of both dictionaries
+COMMON_WORDS = 800
+#: toxic documents that a toxic word is in, and how much more often than ordinary ones, at least
+LEAST, MIN_LIFT = 3, 20.0
 LEVEL = 19
 #: words longer than this are seen in windows of this size that overlap by half
 WINDOW = 48
@@ -44,6 +45,8 @@ PREDICT_FROM = 0.3
 REMEMBERED = 150_000
 #: gains, in bytes, from which windows are counted
 STEPS = (3, 4, 5, 6)
+#: bytes that stay of a window up to which it counts as matched, and its least gain
+MATCHED = ((3, 3), (3, 5), (4, 3), (4, 5), (5, 3))
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _EDGES = b".,!?:;\"'()[]*#$%&|<>-"
@@ -62,53 +65,17 @@ def windows(raw: bytes) -> set[bytes]:
     return out
 
 
-def _grams(word: bytes) -> list[bytes]:
-    padded = b" " + word + b" "
-    return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
-
-
 def _contrast_batches(batches):
-    """Document frequencies of strings (kind 0) and words (kind 1) over a task."""
+    """Document frequencies of words over a task."""
     for batch in slices(batches, 4000):
-        counts = (Counter(), Counter()), (Counter(), Counter())
+        ordinary, toxic = Counter(), Counter()
         for raw, y in zip(bytes_of(batch.column("text")), batch.column("y").to_pylist()):
-            found = windows(raw)
-            counts[0][y].update({g for w in found for g in _grams(w)})
-            counts[1][y].update(found)
-        for kind, (ordinary, toxic) in enumerate(counts):
-            keys = list(ordinary.keys() | toxic.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()),
-                 pa.array([ordinary[k] for k in keys], pa.int64()),
-                 pa.array([toxic[k] for k in keys], pa.int64())],
-                ["kind", "key", "d0", "d1"],
-            )
-
-
-def marked_strings(word: bytes, marks: set[bytes]) -> list[bytes]:
-    """Maximal stretches of a word, with its blanks, that marked strings cover."""
-    padded = b" " + word + b" "
-    out, start, end = [], -1, -1
-    for i in range(len(padded) - GRAM + 1):
-        if padded[i : i + GRAM] in marks:
-            if i > end:
-                if end > start:
-                    out.append(padded[start:end])
-                start = i
-            end = i + GRAM
-    if end > start:
-        out.append(padded[start:end])
-    return out
-
-
-def _string_batches(batches, marks):
-    for batch in slices(batches, 4000):
-        counts = Counter()
-        for raw in bytes_of(batch.column("text")):
-            counts.update({s for w in windows(raw) for s in marked_strings(w, marks)})
+            (toxic if y else ordinary).update(windows(raw))
+        keys = list(ordinary.keys() | toxic.keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            ["key", "n"],
+            [pa.array(keys, pa.binary()), pa.array([ordinary[k] for k in keys], pa.int64()),
+             pa.array([toxic[k] for k in keys], pa.int64())],
+            ["key", "d0", "d1"],
         )
 
 
@@ -119,7 +86,7 @@ class ToxicityModel:
     toxic: bytes
     ordinary: bytes
     tail: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(STEPS) + 2))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(STEPS) + len(MATCHED) + 1))
     bias: float = -3.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -129,46 +96,49 @@ _worker: dict = {}
 
 
 def _compressor(dictionary: bytes):
+    log = max(16, (len(dictionary) + 1024).bit_length())
     params = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, min_match=3, write_content_size=False, write_checksum=False,
         write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         # tables for dictionary and window, not for the megabytes that the level foresees
-        window_log=16, chain_log=16, hash_log=16,
+        window_log=log, chain_log=log, hash_log=log,
     )
     raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
 
 
 def gains(found: set[bytes], model: ToxicityModel) -> np.ndarray:
-    """Bytes that the toxic dictionary saves against the ordinary one, per window."""
+    """Per window: bytes that the toxic dictionary saves against the ordinary one, and leaves."""
     if _worker.get("name") != model.name:
         _worker.clear()
+        toxic, ordinary = _compressor(model.toxic).compress, _compressor(model.ordinary).compress
         _worker.update(
-            name=model.name, known={},
-            toxic=_compressor(model.toxic).compress, ordinary=_compressor(model.ordinary).compress,
+            name=model.name, known={}, toxic=toxic, ordinary=ordinary,
+            tails=(len(toxic(model.tail)), len(ordinary(model.tail))),
         )
     known, toxic, ordinary = _worker["known"], _worker["toxic"], _worker["ordinary"]
+    toxic_tail, ordinary_tail = _worker["tails"]
     out = []
     for word in found:
-        gain = known.get(word)
-        if gain is None:
+        pair = known.get(word)
+        if pair is None:
             window = b" " + word + b" " + model.tail
-            gain = len(ordinary(window)) - len(toxic(window))
+            left = len(toxic(window)) - toxic_tail
+            pair = len(ordinary(window)) - ordinary_tail - left, left
             if len(known) >= REMEMBERED:
                 known.clear()
-            known[word] = gain
-        out.append(gain)
-    return np.array(out, np.int64)
+            known[word] = pair
+        out.append(pair)
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def evidence(raw: bytes, model: ToxicityModel) -> np.ndarray:
-    """How many windows gain at least each step, the largest gain, the number of windows."""
-    gain = gains(windows(raw), model) if model.toxic else np.zeros(0, np.int64)
-    top = float(gain.max()) if gain.size else 0.0
-    return np.array(
-        [*(np.log1p(np.count_nonzero(gain >= s)) for s in STEPS), min(max(top, 0.0), 9.0) / 3,
-         np.log1p(gain.size) / 3]
-    )
+    """How many windows are matched, how many gain at least each step, how many there are."""
+    gain, left = gains(windows(raw) if model.toxic else set(), model).T
+    return np.log1p(
+        [*(np.count_nonzero((left <= most) & (gain >= least)) for most, least in MATCHED),
+         *(np.count_nonzero(gain >= s) for s in STEPS), gain.size]
+    ) / ([1.0] * (len(MATCHED) + len(STEPS)) + [3.0])
 
 
 def _evidence_batches(batches, shared):
@@ -179,51 +149,41 @@ def _evidence_batches(batches, shared):
         )
 
 
-def _ending(strings: list[bytes], size: int) -> bytes:
-    """Strings one after the other, the first ones last, where matches cost least."""
-    joined = b" ".join(reversed(strings))
-    return joined[-size:] if size else b""
+def _ending(words: list[bytes]) -> bytes:
+    """Words one after the other, the first ones last, where matches cost least."""
+    return b" ".join(reversed(words)) + b" "
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Learn from at most ``rows`` labelled ids that are not held out."""
     sample = materialized(labelled_sample(docs, labels, "toxic", rows), "toxicity-sample")
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    contrast = sample.mapInArrow(
-        _contrast_batches, "kind int, key binary, d0 long, d1 long"
-    ).groupBy("kind", "key").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    if not (n.get(0) and n.get(1)):
+        return ToxicityModel(b"", b"", b"")
     contrast = materialized(
-        contrast.filter((F.col("d0") + F.col("d1")) >= 3), "toxicity-contrast"
+        sample.mapInArrow(_contrast_batches, "key binary, d0 long, d1 long")
+        .groupBy("key").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+        .filter((F.col("d0") + F.col("d1")) >= LEAST),
+        "toxicity-contrast",
     )
-    common = [
-        bytes(r["key"]) for r in contrast.filter("kind = 1 AND d0 > 0")
-        .orderBy(F.desc("d0"), "key").limit(2 * COMMON_WORDS).collect()
+    lift = ((F.col("d1") + 0.5) / (n[1] + 1)) / ((F.col("d0") + 0.5) / (n[0] + 1))
+    strings = [
+        bytes(r["key"]) for r in contrast.filter((F.col("d1") >= LEAST) & (lift >= MIN_LIFT))
+        .orderBy(F.desc("d1"), "key").select("key").collect()
     ]
-    base = b" " + b" ".join(common[:COMMON_WORDS]) + b" "
-    strings: list[bytes] = []
-    if n.get(0) and n.get(1):
-        lift = ((F.col("d1") + 0.5) / (n[1] + 1)) / ((F.col("d0") + 0.5) / (n[0] + 1))
-        least = max(3, n[1] // 200)
-        marks = {
-            bytes(r["key"]) for r in contrast.filter(F.col("kind") == 0)
-            .filter((F.col("d1") >= least) & (lift >= MIN_LIFT))
-            .orderBy(F.desc(lift), "key").limit(MARKS).collect()
-        }
-        found = (
-            sample.filter("y = 1").mapInArrow(
-                partial(_string_batches, marks=marks), "key binary, n long"
-            )
-            .groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            .orderBy(F.desc("n"), "key").limit(TOXIC_STRINGS)
-        )
-        strings = [bytes(r["key"]) for r in found.collect()]
     if not strings:
         return ToxicityModel(b"", b"", b"")
-    toxic_end = _ending([s.strip() for s in strings], 16_384) + b" "
-    ordinary_end = _ending(common[COMMON_WORDS:] or common or [b"-"], len(toxic_end) - 1) + b" "
+    toxic_end = b" " + _ending(strings)
+    # ordinary words until they are as long as the toxic ones: none has less than a byte
+    common = [
+        bytes(r["key"]) for r in contrast.filter("d0 > 0").orderBy(F.desc("d0"), "key")
+        .select("key").limit(COMMON_WORDS + len(toxic_end)).collect()
+    ]
+    base = b" " + b" ".join(common[:COMMON_WORDS]) + b" "
+    ordinary_end = _ending(common[COMMON_WORDS:] or common or [b"-"])[-len(toxic_end):]
     ordinary_end = ordinary_end.rjust(len(toxic_end))
     model = ToxicityModel(base + toxic_end, base + ordinary_end, base[:48].ljust(24, b"."))
-    shared = sample.sparkSession.sparkContext.broadcast(model)  # some 40 kB
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # both dictionaries
     got = sample.mapInArrow(
         partial(_evidence_batches, shared=shared), "x array<double>, y int"
     ).toArrow()

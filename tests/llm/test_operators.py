@@ -217,6 +217,19 @@ def test_held_out_accuracy(spark, target, module, least):
     assert np.mean([r[0] for r in got]) >= least
 
 
+def test_toxic_texts_are_found_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = common.table(spark, sf, "labels")
+    docs = common.table(spark, sf, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out")
+    rows = scored.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    found = Counter((r.lang, r.toxic, r.predicted) for r in rows)
+    by = {k: sum(n for (_, *yp), n in found.items() if tuple(yp) == k) for k in ((1, 1), (1, 0), (0, 1))}
+    assert by[1, 1] >= 0.8 * (by[1, 1] + by[1, 0]), found
+    assert by[1, 1] >= 0.8 * (by[1, 1] + by[0, 1]), found
+    assert all(found[lang, 1, 1] for lang in ("en", "de", "fr", "es")), found
+
+
 def test_classifiers_on_edge_cases(docs, no_docs, spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for some in (docs, no_docs):
