@@ -141,12 +141,14 @@ def _run_batches(batches, threshold, named):
     for batch in slices(_key_batches(batches, False), BATCH):
         batch = _document_order(batch)
         parts: list[list] = [[] for _ in range(6)]
+        last = None
         for i, p, raw in zip(
             batch.column("id").to_pylist(), batch.column("part").to_pylist(),
             batch.column("text").to_pylist(),
         ):
-            if len(raw) < threshold:
+            if len(raw) < threshold or (i, p) == last:  # equal rows are one document
                 continue
+            last = i, p
             lo, hi, label = sampled_runs(np.frombuffer(raw, np.uint8), threshold, named)
             whole = np.array(
                 [xxhash.xxh3_64_intdigest(raw[a : b + threshold])
@@ -246,7 +248,7 @@ def _string_batches(batches, threshold):
 def _collected(rows: DataFrame, label: str, *columns: str) -> DataFrame:
     """One row per document with its runs in order; a document bounds its runs."""
     return rows.groupBy("id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "hi", *columns))).alias(label)
+        F.array_sort(F.collect_set(F.struct("lo", "hi", *columns))).alias(label)
     )
 
 
@@ -258,8 +260,9 @@ def repeated_runs(
         partial(_run_batches, threshold=threshold, named=min(NAMED, threshold)), RUNS
     )
     by_name = Window.partitionBy("place")
-    in_order = by_name.orderBy("whole", "id", "part", "lo")
-    same = F.coalesce(F.lag("whole").over(in_order) == F.col("whole"), F.lit(False))
+    # equal rows from different batches have equal runs, which share a rank
+    in_order = Window.partitionBy("place", "whole").orderBy("id", "part", "lo")
+    same = F.rank().over(in_order) > 1
     judged = materialized(
         runs.select(
             "id", "part", "lo", "hi", "place",

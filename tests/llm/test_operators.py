@@ -107,6 +107,21 @@ def test_repeats_on_tables(spark):
     assert difference is None, difference
 
 
+@pytest.mark.parametrize("batch", [2000, 1])
+def test_equal_rows_are_one_document(spark, monkeypatch, batch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    own, other = "".join(f"line {i} of a text, " for i in range(30)), "".join(f"{i} more " for i in range(40))
+    rows = [(20, own), (20, own), (20, own), (21, own + other), (22, other), (22, other)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        want = {(i, n, s) for i, n, s, _ in removed_by_brute_force(keyed(df))}
+        got = Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect())
+        assert set(got) == want and sum(got.values()) == len(rows)
+        assert got[20, 0, 0] == 3
+        cut = [r.text for r in suffix_dedup.cut_repeats(df).collect() if r.doc_id == 20]
+        assert cut == [own] * 3
+
+
 def test_cut_texts_stay_text(docs):
     cut = suffix_dedup.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
