@@ -2,14 +2,15 @@
 
 Pages of one host are merged into one tree: a node is the path of block elements with their
 classes. Its presentation part is how its children differ between pages, its content part how
-many pages share each text under it. Both are entropies over the pages of the host, so a node
-that looks and reads alike on most pages has low importance, and its branch is removed from
-every page. Elements that by their role hold no article (menus, footers, forms, adverts,
+many pages share each text under it. Both are entropies over the different pages of the host,
+so a node that looks and reads alike on most of them has low importance, and its branch is
+removed from every page. Pages are different if the text in their articles is, or all their
+text if they have no article; copies count once. Elements that by their role hold no article (menus, footers, forms, adverts,
 comments ..) are removed whatever their statistics, and if a page has an article or main
 element only what is inside counts.
 
 Defined results: a null or empty page has an empty text; a page without a host belongs to the
-host with an empty name; hosts with fewer than ``MIN_PAGES`` pages are judged by element roles
+host with an empty name; hosts with fewer than ``MIN_PAGES`` different pages are judged by element roles
 alone; equal rows get equal results; a tag that never closes ends with its parent.
 """
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import html as html_text
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -162,25 +162,37 @@ def _number(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
 
 
+NODES = "array<struct<path:string,kind:int,feature:long>>"
+_NODE = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
+
+
+def _page_key(page: Page) -> bytes:
+    """A number of the text that tells a page from others: its article, or all if it has none."""
+    blocks = [b for b in page.blocks if not b[3]]
+    inside = [b for b in blocks if b[2]]
+    return xxhash.xxh3_128_digest(
+        "\n".join(f"{path}\t{text}" for path, text, *_ in inside or blocks).encode("utf-8", "replace")
+    )
+
+
 def _node_batches(batches):
-    """(host, path, kind, feature, pages) over a task: texts, presentations, and pages."""
+    """(host, page, nodes) of pages; of copies in a batch one, the least by its nodes."""
     for batch in slices(batches, 2000):
-        counts: Counter = Counter()
-        urls = batch.column("url").to_pylist()
-        for url, raw in zip(urls, bytes_of(batch.column("html"))):
-            page, host = Page(raw.decode("utf-8", "replace")), host_of(url)
+        pages: dict = {}
+        for url, raw in zip(batch.column("url").to_pylist(), bytes_of(batch.column("html"))):
+            page = Page(raw.decode("utf-8", "replace"))
             # what is dropped by its role needs no statistics
             seen = {(p, 1, _number(t)) for p, t, _, dropped in page.blocks if not dropped}
             paths = {p for p, _, _ in seen}
             seen |= {(p, 0, 0) for p in paths}
             seen |= {(p, 2, _number(" ".join(dict.fromkeys(page.children.get(p, []))))) for p in paths}
-            counts.update((host, *s) for s in seen)
-        columns = list(zip(*(key for key in counts))) or [[]] * 4
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            key, nodes = (host_of(url), _page_key(page)), sorted(seen)
+            pages[key] = min(pages.get(key, nodes), nodes)
+        rows = [[dict(zip(_NODE.names, node)) for node in nodes] for nodes in pages.values()]
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, k) for c, k in zip(columns, kinds)),
-             pa.array(list(counts.values()), pa.int64())],
-            ["host", "path", "kind", "feature", "pages"],
+            [pa.array([h for h, _ in pages], pa.string()), pa.array([k for _, k in pages], pa.binary()),
+             pa.array(rows, pa.list_(_NODE))],
+            ["host", "page", "nodes"],
         )
 
 
@@ -191,10 +203,13 @@ def importance(pages: DataFrame) -> DataFrame:
     pages having log k / log m. The presentation part is the entropy of its children's styles
     over its pages. The larger part is the importance.
     """
-    nodes = pages.select("url", "html").mapInArrow(
-        _node_batches, "host string, path string, kind int, feature long, pages long"
+    different = (
+        pages.select("url", "html")
+        .mapInArrow(_node_batches, f"host string, page binary, nodes {NODES}")
+        .groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
     )
-    counted = nodes.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k"))
+    nodes = different.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
+    counted = nodes.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
     k, of = F.col("k"), lambda kind, value: F.when(F.col("kind") == kind, value)
     sums = counted.groupBy("host", "path").agg(
         F.max(of(0, k)).alias("pages"),

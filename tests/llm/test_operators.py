@@ -275,6 +275,20 @@ def test_article_without_the_rest(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    def page(body):
+        return f"<html><body><article>{body}</article></body></html>"
+    story = "<p>One story that many pages copy</p><blockquote>quoted words</blockquote>"
+    rows = [(i, f"http://a/{i}", page(story)) for i in range(12)]
+    rows += [(100 + i, f"http://b/{i}", page(story)) for i in range(12)]
+    rows += [(200 + i, f"http://b/o{i}", page(f"<p>Other {i}</p><h6>Read more</h6>")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    whole = "One story that many pages copy\nquoted words"
+    assert all(got[i] == whole for i in [*range(12), *range(100, 112)])
+    assert all(got[200 + i] == f"Other {i}" for i in range(12))  # differing articles share it
+
+
 # ---- op9
 def test_language_model(docs, no_docs):
     rows = rows_of(docs)
