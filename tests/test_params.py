@@ -179,3 +179,16 @@ def test_too_deep_fails_whatever_is_read(spark):
     for read in (flat.select("path"), po.values_only(flat), flat.groupBy().count()):
         with pytest.raises(Exception, match="deeper than 2"):
             read.collect()
+
+
+def test_redose_takes_all_updates(spark, monkeypatch):
+    from steerframe.catalog import params as catalog
+
+    seen, whole = [], catalog.dosing.redose
+    monkeypatch.setattr(
+        catalog.dosing, "redose",
+        lambda trees, tree, changes, *rest: seen.append(changes) or whole(trees, tree, changes, *rest),
+    )
+    sf = "/root/testdata/sf0.001"
+    catalog.redose(spark, sf)
+    assert seen[0].count() == catalog.updates(spark, sf).count()
