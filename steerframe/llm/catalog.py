@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, multi_index, packing, quality_qda, quality_rules, simhash, site_tree, suffix_dedup, suffix_tree_lm, toxicity
+from . import (
+    bpe, conversation_repair, hard_negatives, language_id, multi_index, packing, quality_qda, quality_rules,
+    simhash, site_tree, suffix_dedup, suffix_tree_lm, toxicity,
+)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,16 +64,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.noisy_labels(table(spark, sf_dir, "embeddings")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_digests(rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_multi_index_hashing, op2_suffix_dedup, op3_best_fit_packing, op4_simhash, op5_quality_rules,
         op6_html_extraction, op7_toxicity, op8_quality_classifier, op9_suffix_tree_lm,
-        op10_bpe,
+        op10_bpe, op11_language_id, op12_hard_negatives, op13_conversation_repair,
     )
 }
 
-# bytes as two hex digits each; a repeat is a 100-byte string with a row before it
+# for op2: bytes as two hex digits each; a repeat is a 100-byte string with a row before it
 ORACLES = {
     "op2_suffix_dedup": """
 WITH d AS (
@@ -102,5 +119,29 @@ WITH d AS (
 SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(m.n_removed, 0)::BIGINT AS n_removed,
        coalesce(m.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.kept)) AS kept_sha256
 FROM d JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (
+         PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id
+       )::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
 """,
 }
