@@ -147,9 +147,7 @@ def dose(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").alias("block_idx"),
         F.lit(50).alias("total_blocks"),
     )
-    out = co.shaped_dose(
-        blocks, site_curves(spark), ["site"], spread_by=["p_partkey"], hot_rows=500
-    )
+    out = co.shaped_dose(blocks, site_curves(spark), ["site"])
     return out.select("p_partkey", "site", rounded(F.col("shaped_dose")).alias("shaped_dose"))
 
 

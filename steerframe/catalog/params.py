@@ -95,7 +95,7 @@ SELECT DISTINCT owner, 'h/container_type', '"Column"' FROM n"""
 
 
 def flatten_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = po.flatten_params(table(spark, sf_dir, "events"), "props", ["event_id"], 1)
+    out = po.flatten_params(table(spark, sf_dir, "events"), "props", ["event_id"])
     return out.select("event_id", F.array_join("path", "/").alias("path"), "value")
 
 
@@ -103,6 +103,55 @@ SQL_FLATTEN_EVENTS = """
 SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events"""
 
 
+def flatten_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some trees are cut off, followed by text, repeated in a name, no object, or null."""
+    kind = mod("event_id", 7)
+    tree = (
+        F.when(kind == 0, F.expr("left(props, length(props) - 1)"))
+        .when(kind == 1, F.concat("props", F.lit(" x")))
+        .when(kind == 2, F.regexp_replace("props", r"^\{(.*)\}$", '{$1,"o":{"q":[1, 2],$1},$1}'))
+        .when(kind == 3, F.concat(F.lit("["), "props", F.lit("]")))
+        .when(kind != 4, F.col("props"))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", tree.alias("tree"))
+    out = po.flatten_params(rows, "tree", ["event_id"])
+    return out.select(
+        "event_id", F.array_join("path", "/").alias("path"), "value",
+        F.col("error").isNotNull().alias("broken"),
+    )
+
+
+SQL_FLATTEN_BROKEN = """
+WITH e AS (
+  SELECT event_id, event_id % 7 AS kind, props, json_extract_string(props, '$.k') AS k
+  FROM events
+)
+SELECT event_id, NULL AS path, CASE kind WHEN 0 THEN left(props, length(props) - 1)
+    WHEN 1 THEN props || ' x' WHEN 3 THEN '[' || props || ']' END AS value, true AS broken
+FROM e WHERE kind IN (0, 1, 3, 4)
+UNION ALL SELECT event_id, 'k', k, false FROM e WHERE kind IN (2, 5, 6)
+UNION ALL SELECT event_id, 'k', k, false FROM e WHERE kind = 2
+UNION ALL SELECT event_id, 'o/k', k, false FROM e WHERE kind = 2
+UNION ALL SELECT event_id, 'o/q', '[1, 2]', false FROM e WHERE kind = 2"""
+
+
+def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of 2 to 200 levels for each customer, flattened and put together again."""
+    depth = (mod("c_custkey", 199) + 2).cast("int")
+    level = F.lit('{"n":{"attributes":{"value":1},"sub_attr":')
+    leaf = F.concat(F.lit('{"n":{"attributes":{"value":'), F.col("c_custkey"), F.lit("}}}"))
+    tree = F.concat(F.repeat(level, depth - 1), leaf, F.repeat(F.lit("}}"), depth - 1))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", tree.alias("tree"))
+    flat = po.values_only(po.flatten_params(rows, "tree", ["c_custkey"]))
+    return po.unflatten(flat, ["c_custkey"]).select("c_custkey", "tree")
+
+
+SQL_DEEP_TREES = """
+SELECT c_custkey, repeat('{"n":{"value":1,"sub":', (c_custkey % 199 + 1)::INT)
+    || '{"n":{"value":' || c_custkey || '}}' || repeat('}}', (c_custkey % 199 + 1)::INT) AS tree
+FROM customer"""
+
+
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(values(spark, sf_dir))
 
@@ -129,7 +178,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = po.lookup(
-        values(spark, sf_dir), requests(spark, sf_dir), ["owner"], ["o_orderkey"]
+        values(spark, sf_dir), requests(spark, sf_dir), ["owner"]
     )
     return out.select("o_orderkey", "value")
 
@@ -141,6 +190,39 @@ SELECT o.o_orderkey, v.value FROM orders o LEFT JOIN v
      'h/shape_sliders/mid_noise', 'weight', 'h/no/such'][o.o_orderkey % 4 + 1]"""
 
 
+def subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order asks for a subtree: an inner node with or without containers, a leaf, or none."""
+    paths = [["h"], ["h", "sub_attr", "shape_sliders"], ["h", "shape_sliders", "mid_noise"],
+             ["h", "sub_attr", "type_globals", "sub_attr", "options", "attributes"], ["h", "no"]]
+    asked = F.get(
+        F.array(*[F.array(*[F.lit(p) for p in path]) for path in paths]),
+        mod("o_orderkey", 5).cast("int"),
+    )
+    wanted = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("c"), F.col("o_custkey")).alias("owner"), asked.alias("path")
+    )
+    nodes = po.tree_nodes(trees(spark, sf_dir), "tree", ["owner"])
+    out = po.subtree(nodes, wanted, ["owner"], width=8)
+    return out.select("o_orderkey", F.array_join("node", "/").alias("node"), "value")
+
+
+SQL_SUBTREES = f"""
+WITH {_SQL_VALUES},
+leaf AS (
+  SELECT owner, path || '/attributes/value' AS node, value FROM v
+  UNION ALL SELECT owner, path || '/attributes/label', '"{{\\"x\\":1}}"' FROM v WHERE path <> 'weight'
+  UNION ALL SELECT owner, path || '/widget_type', '"Box"' FROM v WHERE path <> 'weight'
+  UNION ALL SELECT DISTINCT owner, 'h/container_type', '"Column"' FROM v
+),
+r AS (
+  SELECT o_orderkey, 'c' || o_custkey AS owner, ['h', 'h/shape_sliders', 'h/shape_sliders/mid_noise',
+    'h/type_globals/options/attributes', 'h/no'][o_orderkey % 5 + 1] AS path
+  FROM orders
+)
+SELECT o_orderkey, node, value
+FROM r LEFT JOIN leaf ON leaf.owner = r.owner AND starts_with(node, path || '/')"""
+
+
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order sets a profile, the dose or a parameter its customer did not have."""
     target = mod("o_orderkey", 3)
@@ -196,22 +278,24 @@ FROM v FULL JOIN latest USING (owner, path)"""
 
 
 def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same updates read as a stream; the last version of the settings."""
+    """The same updates read as a stream, a file to a batch, times in no order over the files;
+    the settings after the last batch."""
     changes, path = updates(spark, sf_dir), scratch_path(spark, "updates")
-    changes.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/in")
-    schema = spark.read.parquet(f"{path}/in").schema
-    stream = spark.readStream.schema(schema).parquet(f"{path}/in")
-    versions: list[int] = []
+    timed = changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed.repartition(5, F.xxhash64("owner", "ts", "value")).write.parquet(f"{path}/in")
+    stream = (
+        spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    )
     query = (
         up.apply_updates(
-            stream, values(spark, sf_dir), path, lambda _, epoch: versions.append(epoch)
+            stream, values(spark, sf_dir), f"{path}/settings", buckets=4, compact_after=2
         )
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _named(store.read_params(spark, up.version_path(path, versions[-1])))
+    return _named(up.read_settings(spark, f"{path}/settings"))
 
 
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +349,6 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
         brands.withColumnRenamed("p_brand", "set_name"),
         "chosen",
         "Brand#1",
-        ["c_custkey"],
-        hot_rows=200,
     )
     return out.withColumn("set_ord", F.col("set_ord").cast("long"))
 
@@ -299,6 +381,41 @@ WITH {_SQL_VALUES}
 SELECT owner || '_-_' || replace(path, '/', '_-_') AS tag, value FROM v"""
 
 
+def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every customer's tree and the choice of sets as documents beside three broken
+    lines, and read them back: parameters, choice and broken lines."""
+    path = scratch_path(spark, "documents")
+    first = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
+        F.min("c_custkey").cast("int").alias("set_ord")
+    )
+    store.write_documents(
+        values(spark, sf_dir), first.withColumnRenamed("c_mktsegment", "owner"), path
+    )
+    broken = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(
+        F.format_string('{"params":{"%s":', "r_name").alias("value")
+    )
+    broken.write.mode("append").text(path)
+    documents = store.read_documents(spark, path)
+    params = store.document_params(documents).select(
+        po.tag(F.col("owner"), F.col("path")).alias("tag"), "value"
+    )
+    choice = store.document_choice(documents).select(
+        F.format_string("choice %d", "set_ord").alias("tag"), F.col("owner").alias("value")
+    )
+    lost = store.broken_documents(documents).select(F.lit("broken").alias("tag"), "value")
+    return params.unionByName(choice).unionByName(lost)
+
+
+SQL_DOCUMENTS = f"""
+WITH {_SQL_VALUES},
+s AS (SELECT c_mktsegment, min(c_custkey) AS first FROM customer GROUP BY 1)
+SELECT owner || '_-_' || replace(path, '/', '_-_') AS tag, value FROM v
+UNION ALL
+SELECT 'choice ' || row_number() OVER (ORDER BY first) - 1, c_mktsegment FROM s
+UNION ALL
+SELECT 'broken', '{{"params":{{"' || r_name || '":' FROM region WHERE r_regionkey < 3"""
+
+
 def chosen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save the market segments in order of their first customer as the choice of sets."""
     first = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
@@ -400,6 +517,9 @@ FROM b LEFT JOIN ends e USING (owner) LEFT JOIN hit h USING (owner, block_idx)""
 QUERIES = {
     "flatten_params": flatten,
     "flatten_params_events": flatten_events,
+    "flatten_params_broken": flatten_broken,
+    "unflatten_deep": deep_trees,
+    "lookup_subtree": subtrees,
     "values_only": prune,
     "lookup": look_up,
     "upsert": upsert,
@@ -409,6 +529,7 @@ QUERIES = {
     "select_sets": sets,
     "write_read_params": round_trip,
     "write_read_chosen": chosen_round_trip,
+    "write_read_documents": documents_round_trip,
     "selected_profiles": profiles,
     "redose": redose,
 }
@@ -416,6 +537,9 @@ QUERIES = {
 ORACLES = {
     "flatten_params": SQL_FLATTEN,
     "flatten_params_events": SQL_FLATTEN_EVENTS,
+    "flatten_params_broken": SQL_FLATTEN_BROKEN,
+    "unflatten_deep": SQL_DEEP_TREES,
+    "lookup_subtree": SQL_SUBTREES,
     "values_only": SQL_PRUNE,
     "lookup": SQL_LOOK_UP,
     "upsert": SQL_UPSERT,
@@ -425,6 +549,7 @@ ORACLES = {
     "select_sets": SQL_SETS,
     "write_read_params": SQL_ROUND_TRIP,
     "write_read_chosen": SQL_CHOSEN_ROUND_TRIP,
+    "write_read_documents": SQL_DOCUMENTS,
     "selected_profiles": SQL_PROFILES,
     "redose": SQL_REDOSE,
 }

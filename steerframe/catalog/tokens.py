@@ -41,16 +41,33 @@ WITH {_SQL_DOCS}
 SELECT doc_id, array_to_string(tokens[greatest(len(tokens) - 63, 1):], ',') AS tokens FROM d"""
 
 
-def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", word_lengths().alias("tokens")
-    )
-    out = to.pad_to_longest(rows, ["conv_id"], "tokens", PAD, ["turn"])
+def _pad(rows: DataFrame) -> DataFrame:
+    rows = rows.select("conv_id", "turn", word_lengths().alias("tokens"))
+    out = to.pad_to_longest(rows, ["conv_id"], "tokens", PAD)
     return out.select(
         "conv_id", "turn", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens")
     )
 
 
+def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pad(table(spark, sf_dir, "conversations"))
+
+
+def _with_null_groups(rows: DataFrame, key: str) -> DataFrame:
+    """A third of the keys become null: one large group."""
+    return rows.withColumn(key, F.when(mod(key, 3) > 0, F.col(key)))
+
+
+def _sql_with_null_groups(sql: str, table: str, key: str) -> str:
+    """The same for a query over one table; its window functions take nulls as one group."""
+    changed = f"(SELECT * REPLACE (CASE WHEN {key} % 3 > 0 THEN {key} END AS {key}) FROM {table})"
+    return sql.replace(f"FROM {table}", f"FROM {changed}")
+
+
+def pad_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pad(_with_null_groups(table(spark, sf_dir, "conversations"), "conv_id"))
+
+
 SQL_PAD = """
 WITH c AS (
   SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS tokens
@@ -64,11 +81,11 @@ FROM n"""
 
 
 def pad_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few large groups (one per language), split in pieces; the shapes only."""
+    """Few large groups (one per language); the shapes only."""
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", word_lengths().alias("tokens")
     )
-    out = to.pad_to_longest(rows, ["lang"], "tokens", 1, ["doc_id"], "right", hot_rows=100)
+    out = to.pad_to_longest(rows, ["lang"], "tokens", 1, "right")
     return out.select(
         "doc_id",
         "lang",
@@ -199,15 +216,37 @@ FROM b""",
 
 def leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    out = to.leader_value(rows, ["conv_id"], "turn", "text", ["turn"], "leader")
+    out = to.leader_value(rows, ["conv_id"], "turn", "text", "leader")
     return out.select("conv_id", "turn", "leader")
 
 
+def leader_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn number in the null group belongs to many rows: a number of its own orders them."""
+    rows = table(spark, sf_dir, "conversations").withColumn(
+        "place", F.col("conv_id") * 1_000_000 + F.col("turn")
+    )
+    out = to.leader_value(
+        _with_null_groups(rows, "conv_id"), ["conv_id"], "place", "text", "leader"
+    )
+    return out.select("conv_id", "turn", "place", "leader")
+
+
 SQL_LEADER = """
 SELECT conv_id, turn, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS leader
 FROM conversations"""
 
 
+SQL_LEADER_NULLS = """
+WITH c AS (
+  SELECT CASE WHEN conv_id % 3 > 0 THEN conv_id END AS conv_id, turn, text,
+         conv_id * 1000000 + turn AS place
+  FROM conversations
+)
+SELECT conv_id, turn, place,
+       first_value(text) OVER (PARTITION BY conv_id ORDER BY place) AS leader
+FROM c"""
+
+
 def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a sequence of tokens; an error is the end marker."""
     return table(spark, sf_dir, "events").select(
@@ -234,6 +273,12 @@ def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "pos", F.col("token").cast("long").alias("token"))
 
 
+def finished_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _with_null_groups(event_tokens(spark, sf_dir), "user_id")
+    out = to.mask_finished(tokens, ["user_id"], [EOS], PAD)
+    return out.select("user_id", "pos", F.col("token").cast("long").alias("token"))
+
+
 SQL_FINISHED = f"""
 WITH {_SQL_EVENT_TOKENS}
 SELECT user_id, pos, CASE WHEN coalesce(bool_or(token = 9) OVER (
@@ -273,13 +318,16 @@ QUERIES = {
     "keep_last": last_tokens,
     "pad_to_longest": pad,
     "pad_to_longest_hot_groups": pad_hot,
+    "pad_to_longest_null_groups": pad_nulls,
     "strip_leading": strip,
     "remaining_budget": remaining,
     "apply_bans": bans,
     "prefix_reuse": reuse,
     "prefix_reuse_batch": reuse_batch,
     "leader_value": leader,
+    "leader_value_null_groups": leader_nulls,
     "mask_finished": finished,
+    "mask_finished_null_groups": finished_nulls,
     "groups_finished": all_finished,
     "mask_finished_arrays": finished_arrays,
 }
@@ -288,13 +336,19 @@ ORACLES = {
     "keep_last": SQL_LAST_TOKENS,
     "pad_to_longest": SQL_PAD,
     "pad_to_longest_hot_groups": SQL_PAD_HOT,
+    "pad_to_longest_null_groups": _sql_with_null_groups(SQL_PAD, "conversations", "conv_id"),
     "strip_leading": SQL_STRIP,
     "remaining_budget": SQL_REMAINING,
     "apply_bans": SQL_BANS,
     "prefix_reuse": SQL_REUSE,
     "prefix_reuse_batch": SQL_REUSE_BATCH,
     "leader_value": SQL_LEADER,
+    "leader_value_null_groups": SQL_LEADER_NULLS,
     "mask_finished": SQL_FINISHED,
+    "mask_finished_null_groups": SQL_FINISHED.replace(
+        "SELECT user_id % 10 AS batch, user_id,",
+        "SELECT user_id % 10 AS batch, CASE WHEN user_id % 3 > 0 THEN user_id END AS user_id,",
+    ),
     "groups_finished": SQL_ALL_FINISHED,
     "mask_finished_arrays": SQL_FINISHED_ARRAYS,
 }

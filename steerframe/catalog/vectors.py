@@ -298,7 +298,7 @@ def dosed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec",
     )
     out = dose_vectors(
-        rows, site_curves(spark), F.col("vec_id"), SEED, ["vec_id"], ns.ARITHMETIC
+        rows, site_curves(spark), F.col("vec_id"), SEED, ns.ARITHMETIC
     )
     return components(out, ["vec_id"])
 
@@ -331,7 +331,7 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", (F.col("o_totalprice") / 1000).alias("score")
     )
-    out = vo.group_softmax(scores, ["o_custkey"], "score", ["o_orderkey"])
+    out = vo.group_softmax(scores, ["o_custkey"], "score")
     return out.select("o_custkey", "o_orderkey", rounded(F.col("weight"), 9).alias("weight"))
 
 
@@ -347,13 +347,11 @@ FROM e"""
 
 
 def softmax_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three groups hold the whole table; each is joined in pieces."""
+    """Three groups hold the whole table."""
     scores = table(spark, sf_dir, "orders").select(
         "o_orderstatus", "o_orderkey", (F.col("o_totalprice") / 100000).alias("score")
     )
-    out = vo.group_softmax(
-        scores, ["o_orderstatus"], "score", ["o_orderkey"], hot_rows=1000
-    )
+    out = vo.group_softmax(scores, ["o_orderstatus"], "score")
     return out.select("o_orderstatus", "o_orderkey", rounded(F.col("weight"), 10).alias("weight"))
 
 
@@ -364,6 +362,28 @@ SELECT o_orderstatus, o_orderkey,
 FROM e"""
 
 
+def softmax_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the customers become one group, whose key is null."""
+    scores = table(spark, sf_dir, "orders").select(
+        F.when(mod("o_custkey", 3) > 0, F.col("o_custkey")).alias("o_custkey"),
+        "o_orderkey",
+        (F.col("o_totalprice") / 100000).alias("score"),
+    )
+    out = vo.group_softmax(scores, ["o_custkey"], "score")
+    return out.select("o_custkey", "o_orderkey", rounded(F.col("weight"), 9).alias("weight"))
+
+
+SQL_SOFTMAX_NULLS = """
+WITH e AS (
+  SELECT CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS o_custkey, o_orderkey,
+         exp(o_totalprice / 100000) AS e
+  FROM orders
+)
+SELECT o_custkey, o_orderkey,
+       round(e / sum(e) OVER (PARTITION BY o_custkey), 9) + 0.0 AS weight
+FROM e"""
+
+
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     positioned = vector_rows(spark, sf_dir).select(
         div("vec_id", 50).alias("group_id"), mod("vec_id", 50).alias("pos"), "vec"
@@ -411,6 +431,49 @@ FROM w JOIN h ON h.group_id = w.group_id AND h.pos = w.kpos AND h.head = w.head
 GROUP BY ALL"""
 
 
+def lookup_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No window; a third of all vectors is in one group, whose key is null."""
+    group = F.when(mod("vec_id", 3) > 0, div("vec_id", 50))
+    heads = vo.split_vec(
+        vector_rows(spark, sf_dir).select(
+            group.alias("group_id"), F.col("vec_id").alias("pos"), "vec"
+        ),
+        4,
+    )
+    keys = heads.filter(F.col("head") < 2).select(
+        "group_id", "head", "pos", vx.scale(F.col("vec"), F.lit(40.0)).alias("key"),
+        F.col("vec").alias("value"),
+    )
+    bias = F.when(mod("pos", 7) == 0, -1.0).otherwise(0.0)
+    out = weighted_lookup(
+        heads, keys, ["group_id"], heads_per_key=2, bias=bias, tile=256, dim=16
+    )
+    return components(
+        out.withColumn("head", F.col("head").cast("long")), ["group_id", "head", "pos"], "out"
+    )
+
+
+SQL_LOOKUP_UNBOUNDED = f"""
+WITH {SQL_COMPONENTS},
+h AS (
+  SELECT CASE WHEN vec_id % 3 > 0 THEN vec_id // 50 ELSE -1 END AS g, vec_id AS pos,
+         i // 16 AS head, i % 16 AS i, x FROM c
+),
+v AS (SELECT g, pos, head, list(x ORDER BY i) AS x FROM h GROUP BY ALL),
+w AS (
+  SELECT q.g, q.head, q.pos, k.pos AS kpos,
+         list_dot_product(q.x, k.x) * 40 / 4 - CASE WHEN k.pos % 7 = 0 THEN 1 ELSE 0 END AS s
+  FROM v q JOIN v k ON q.g = k.g AND k.head = q.head // 2 AND k.pos <= q.pos
+),
+e AS (
+  SELECT g, head, pos, kpos, exp(s - max(s) OVER (PARTITION BY g, head, pos)) AS e FROM w
+)
+SELECT nullif(e.g, -1) AS group_id, e.head, e.pos, h.i,
+       round(sum(e.e * h.x) / sum(e.e), 6) + 0.0 AS value
+FROM e JOIN h ON h.g = e.g AND h.pos = e.kpos AND h.head = e.head // 2
+GROUP BY ALL"""
+
+
 def heads_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = vo.split_vec(vector_rows(spark, sf_dir), 8)
     scaled = heads.withColumn("vec", vx.scale(F.col("vec"), F.col("head") + 1.0))
@@ -512,8 +575,10 @@ QUERIES = {
     "dose_vectors": dosed,
     "group_softmax": softmax,
     "group_softmax_hot_groups": softmax_hot,
+    "group_softmax_null_groups": softmax_nulls,
     "weighted_lookup_window": lookup_window,
     "weighted_lookup_whole_group": lookup_whole_group,
+    "weighted_lookup_unbounded": lookup_unbounded,
     "split_heads": heads_split,
     "concat_heads": heads_round_trip,
     "mask_tail": tail,
@@ -534,10 +599,12 @@ ORACLES = {
     "dose_vectors": SQL_DOSED,
     "group_softmax": SQL_SOFTMAX,
     "group_softmax_hot_groups": SQL_SOFTMAX_HOT,
+    "group_softmax_null_groups": SQL_SOFTMAX_NULLS,
     "weighted_lookup_window": _sql_lookup(
         "k.pos <= q.pos AND k.pos > q.pos - 20", "CASE WHEN k.pos % 7 = 0 THEN -1 ELSE 0 END"
     ),
     "weighted_lookup_whole_group": _sql_lookup("true", "0"),
+    "weighted_lookup_unbounded": SQL_LOOKUP_UNBOUNDED,
     "split_heads": SQL_HEADS_SPLIT,
     "concat_heads": SQL_HEADS,
     "mask_tail": SQL_TAIL,

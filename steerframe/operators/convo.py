@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import chat as ch, text as tx
 from steerframe.operators.running import BLOCK, block_of
-from steerframe.operators.skew import HOT_ROWS, attach_counted
+from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
 Cost = Callable[[Column], Column]
@@ -74,13 +74,11 @@ def assemble_messages(
     messages: DataFrame,
     keys: list[str],
     conv: str = "spec_id",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Message rows of each spec: system, history in order, new user message.
 
     Rows are ordered by (``part``, ``turn``), taken from the input rather than counted
-    by a window, and the rows of a very long conversation are joined in pieces. One
-    spec per conversation; with several, use ``truncate_to_budget``.
+    by a window. One spec per conversation; with several, use ``truncate_to_budget``.
     """
     require(specs, [*keys, conv, *SPEC_COLUMNS], "assemble_messages")
     own = _with_own_messages(specs)
@@ -97,7 +95,7 @@ def assemble_messages(
 
     keyed = specs.select(conv, *[k for k in keys if k != conv])
     history = (
-        attach_counted(_history(messages, conv), keyed, [conv], ["turn"], "inner", hot_rows)
+        attach(_history(messages, conv), keyed, [conv], "inner")
         .withColumn("part", F.lit(HISTORY_PART))
         .select(*columns)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.functions import curves as cv
 from steerframe.operators.running import BLOCK, running_sum
-from steerframe.operators.skew import HOT_ROWS, attach_side
+from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
 
@@ -24,8 +24,6 @@ def shaped_dose(
     block_idx: str = "block_idx",
     total: str = "total_blocks",
     dose: str = "dose",
-    spread_by: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Base dose times the curve at block/total; 0 without a curve or with an empty one.
 
@@ -33,13 +31,7 @@ def shaped_dose(
     """
     require(blocks, [*keys, block_idx, total], "shaped_dose")
     require(curves, [*keys, "mode", "shape", dose], "shaped_dose")
-    joined = attach_side(
-        blocks,
-        curves.select(*keys, "mode", "shape", dose),
-        keys,
-        spread_by or [block_idx],
-        hot_rows=hot_rows,
-    )
+    joined = attach(blocks, curves.select(*keys, "mode", "shape", dose), keys)
     depth = F.col(block_idx) / F.col(total)
     shaped = F.col(dose) * cv.value_at(F.col("shape"), F.col("mode"), depth)
     return joined.withColumn("shaped_dose", F.coalesce(shaped, F.lit(0.0))).drop(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from steerframe.functions import vectors as vx
-from steerframe.operators.skew import HOT_ROWS, attach_counted, attach_group_rows
+from steerframe.operators.skew import attach
 from steerframe.operators.vectors import steering_shift
 from steerframe.schemas import SETTING, require
 from steerframe.session import ensure_checkpoint_dir
@@ -109,7 +109,7 @@ def _as_frame(vectors: DataFrame, settings: list[Setting]) -> DataFrame:
     )
 
 
-def _with_settings(vectors: DataFrame, settings: list[Setting] | DataFrame, spread_by) -> DataFrame:
+def _with_settings(vectors: DataFrame, settings: list[Setting] | DataFrame) -> DataFrame:
     if isinstance(settings, list):
         frame = _as_frame(vectors, settings).drop("set_ord")
         if len(settings) <= MAX_BROADCAST_SETTINGS:
@@ -120,7 +120,7 @@ def _with_settings(vectors: DataFrame, settings: list[Setting] | DataFrame, spre
         frame = settings.groupBy(*DISPATCH_KEYS).agg(
             F.max(F.struct(*order, *others)).alias("_last")
         ).select(*DISPATCH_KEYS, *[F.col(f"_last.{c}").alias(c) for c in others])
-    return attach_counted(vectors, frame, DISPATCH_KEYS, spread_by)
+    return attach(vectors, frame, DISPATCH_KEYS)
 
 
 def _apply_one(
@@ -131,10 +131,9 @@ def _apply_one(
     vec: str,
     batch_idx: str,
     dim: int | None,
-    hot_rows: int,
 ) -> DataFrame:
     columns = vectors.columns
-    rows = _with_settings(vectors, settings, [*group, batch_idx])
+    rows = _with_settings(vectors, settings)
     steering = [name for name, f in registry.items() if f.steers]
     if isinstance(settings, list):
         used = {s.func for s in settings}
@@ -144,7 +143,7 @@ def _apply_one(
         shifts = steering_shift(
             rows.filter(F.col("func").isin(*steering)), keys, batch_idx, vec=vec, dim=dim
         )
-        rows = attach_group_rows(rows, shifts, keys, "_rows", [batch_idx], hot_rows=hot_rows)
+        rows = attach(rows, shifts, keys)
     else:
         rows = rows.withColumn("shift", F.lit(None).cast("array<double>"))
     context = {c: F.col(c) for c in rows.columns}
@@ -165,14 +164,13 @@ def apply_settings(
     vec: str = "vec",
     batch_idx: str = "batch_idx",
     dim: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply to each vector the transform set for its layer and site, if any."""
     require(vectors, [*DISPATCH_KEYS, *group, batch_idx, vec], "apply_settings")
     if isinstance(settings, DataFrame):
         require(settings, SETTING.names, "apply_settings")
         settings = _bounded_list(settings) or settings
-    return _apply_one(vectors, settings, group, registry, vec, batch_idx, dim, hot_rows)
+    return _apply_one(vectors, settings, group, registry, vec, batch_idx, dim)
 
 
 def apply_stack(
@@ -183,7 +181,6 @@ def apply_stack(
     vec: str = "vec",
     batch_idx: str = "batch_idx",
     dim: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply several setting sets in order, each to the output of the one before.
 
@@ -205,5 +202,5 @@ def apply_stack(
         if i > 0:
             ensure_checkpoint_dir(vectors.sparkSession)
             vectors = vectors.checkpoint()
-        vectors = _apply_one(vectors, one, group, registry, vec, batch_idx, dim, hot_rows)
+        vectors = _apply_one(vectors, one, group, registry, vec, batch_idx, dim)
     return vectors

@@ -5,8 +5,15 @@ window, but no pair ever becomes a row. Positions are cut into tiles, each at le
 wide as the window. A query belongs to its own tile; a key is sent to its own tile and
 to the neighbour whose queries can see it. So every cell holds all that its queries may
 see, a bounded number of positions however long the group is, and the cells of a long
+group are long
 group are worked on in parallel. Inside a cell the scores are blocks of a matrix
 product along the window's band.
+
+Without a window every tile of queries meets every tile of keys of its group, a cell per
+pair of tiles. A cell hands on, for each query, the state of a softmax over its keys: the
+sum of their weights and their weighted values, both relative to a base that is a multiple
+of 32. States with one base add up, on the map side too, and the few bases of a query are
+put together last. So no task sees more than two tiles, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -16,6 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steerframe.functions import vectors as vx
+from steerframe.operators.skew import null_safe
 from steerframe.schemas import require
 
 # Least tile width: small windows share a tile, so that cells are worth a task's time.
@@ -24,6 +33,12 @@ MIN_TILE = 1024
 # Queries of a block inside a cell; its keys are those of its stretch of the window.
 QUERY_BLOCK = 256
 
+# Positions of a tile when there is no window.
+UNBOUNDED_TILE = 4096
+
+# Distance of two bases of softmax states; exp() of it is far from overflow.
+BASE = 32.0
+
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows; null vectors and vectors of different lengths fail."""
@@ -77,29 +92,152 @@ def _cell_lookup(names: list[str], window: int, causal: bool):
     return lookup
 
 
+def _cell_states(names: list[str], causal: bool):
+    def states(queries: pa.Table, keys: pa.Table) -> pa.Table:
+        q_pos, k_pos = queries["pos"].to_numpy(), keys["pos"].to_numpy()
+        q_vec, k_vec, k_val = (
+            _matrix(queries["_query"]), _matrix(keys["_key"]), _matrix(keys["_value"])
+        )
+        k_bias = keys["_bias"].to_numpy()
+        found = []
+        for at in range(0, len(q_pos), QUERY_BLOCK):
+            block = slice(at, at + QUERY_BLOCK)
+            scores = q_vec[block] @ k_vec.T / np.sqrt(q_vec.shape[1]) + k_bias
+            if causal:
+                scores[q_pos[block][:, None] < k_pos[None, :]] = -np.inf
+            top = scores.max(axis=1)
+            seen = np.isfinite(top)
+            base = np.rint(np.where(seen, top, 0.0) / BASE)
+            weights = np.exp(scores - BASE * base[:, None])
+            found.append((seen, base, weights.sum(axis=1), weights @ k_val))
+        seen, base, total, values = (np.concatenate(part) for part in zip(*found))
+        kept = queries.select([*names, "head", "pos"]).filter(pa.array(seen))
+        values = values[seen]
+        offsets = pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32())
+        return (
+            kept.append_column("_base", pa.array(base[seen]))
+            .append_column("_total", pa.array(total[seen]))
+            .append_column("_values", pa.ListArray.from_arrays(offsets, pa.array(values.ravel())))
+        )
+
+    return lambda queries, keys: (
+        states(queries, keys)
+        if len(queries) and len(keys)
+        else queries.select([*names, "head", "pos"]).slice(0, 0)
+        .append_column("_base", pa.array([], pa.float64()))
+        .append_column("_total", pa.array([], pa.float64()))
+        .append_column("_values", pa.array([], pa.list_(pa.float64())))
+    )
+
+
+def _merged_states(states: DataFrame, query: list[str], dim: int | None) -> DataFrame:
+    """Per query: the values of all its states, added up and divided by their weight."""
+    by_base = states.withColumn("_one", F.lit(1.0)).groupBy(*query, "_base").agg(
+        F.sum("_total").alias("_total"), vx.weighted_sum("_values", "_one", dim).alias("_values")
+    )
+    # as many entries as a query has bases
+    listed = by_base.groupBy(*query).agg(
+        F.collect_list(F.struct("_base", "_total", "_values")).alias("_states"),
+        F.max("_base").alias("_top"),
+    )
+
+    def weight(state: Column) -> Column:
+        return F.exp((state["_base"] - F.col("_top")) * BASE)
+
+    total = F.aggregate("_states", F.lit(0.0), lambda t, s: t + s["_total"] * weight(s))
+    added = F.aggregate(
+        "_states",
+        F.transform(F.get("_states", F.lit(0))["_values"], lambda _: F.lit(0.0)),
+        lambda acc, s: F.zip_with(acc, vx.scale(s["_values"], weight(s)), lambda a, b: a + b),
+    )
+    return listed.select(*query, added.alias("_added"), total.alias("_sum")).select(
+        *query, F.transform("_added", lambda x: x / F.col("_sum")).alias("out")
+    )
+
+
+def _unbounded(q: DataFrame, k: DataFrame, group: list[str], causal: bool, tile: int, dim) -> DataFrame:
+    """Every tile of queries against every tile of keys that it may see."""
+    names = [*group, "_key_head"]
+    q = q.withColumn("_q_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
+    k = k.withColumn("_k_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
+    # one row for a tile of rows, and then one for a pair of tiles
+    q_tiles = q.select(*names, "_q_tile").distinct()
+    k_tiles = k.select(*names, "_k_tile").distinct()
+    pairs = q_tiles.alias("l").join(k_tiles.alias("r"), null_safe(names)).select(
+        *[F.col(f"l.{c}").alias(c) for c in names], "_q_tile", "_k_tile"
+    )
+    if causal:
+        pairs = pairs.filter("_k_tile <= _q_tile")
+
+    def copied(rows: DataFrame, own: str, other: str) -> DataFrame:
+        met = rows.alias("l").join(pairs.alias("r"), null_safe([*names, own]))
+        # aliases tell the columns of the two sides apart, which may come from one table
+        own_columns = [F.col(f"l.{c}").alias(c) for c in rows.columns]
+        return met.select(*own_columns, F.col(f"r.{other}").alias(other))
+
+    cell = [*names, "_q_tile", "_k_tile"]
+    fields = [f.simpleString().replace(":", " ", 1) for f in q.select(*group).schema]
+    schema = ", ".join(
+        [*fields, "head int", "pos long", "_base double", "_total double", "_values array<double>"]
+    )
+    states = (
+        copied(q, "_q_tile", "_k_tile").groupBy(*cell)
+        .cogroup(copied(k, "_k_tile", "_q_tile").groupBy(*cell))
+        .applyInArrow(_cell_states(list(group), causal), schema)
+    )
+    query = [*group, "head", "pos"]
+    merged = _merged_states(states, query, dim)
+    return q.select(*query).alias("l").join(merged.alias("r"), null_safe(query), "left").select(
+        "l.*", "r.out"
+    )
+
+
 def weighted_lookup(
     queries: DataFrame,
     keys: DataFrame,
     group: list[str],
-    window: int,
+    window: int | None = None,
     heads_per_key: int = 1,
     causal: bool = True,
     bias: Column | None = None,
     query_vec: str = "vec",
     key_vec: str = "key",
     value_vec: str = "value",
+    tile: int = UNBOUNDED_TILE,
+    dim: int | None = None,
 ) -> DataFrame:
     """Per query: mean of the visible values, weighted by softmax(q.k / sqrt(dim) + bias).
 
     ``queries`` holds the group columns, ``head``, ``pos`` and a vector; ``keys`` the
     same with ``head`` counting key heads, each shared by ``heads_per_key`` query heads.
     Positions are distinct within a group and head. A query at p sees the keys in
-    (p - window, p], or in (p - window, p + window) when not causal; with a window of
-    at least the longest sequence that is the whole group. ``bias`` is an additive mask
-    on the keys. A query that sees no key gets a null.
+    (p - window, p], or in (p - window, p + window) when not causal; without a window it
+    sees all keys up to its position, or all of its group. ``bias`` is an additive mask
+    on the keys. A query that sees no key gets a null. A null group column is a value like
+    any other.
+
+    ``tile`` and ``dim`` hold without a window: the positions of a tile, and the values'
+    length, if known.
     """
     require(queries, [*group, "head", "pos", query_vec], "weighted_lookup")
     require(keys, [*group, "head", "pos", key_vec, value_vec], "weighted_lookup")
+    if window is None:
+        unbounded_q = queries.select(
+            *group,
+            F.col("head").cast("int").alias("head"),
+            F.col("pos").cast("long").alias("pos"),
+            F.col(query_vec).alias("_query"),
+            F.floor(F.col("head") / F.lit(heads_per_key)).cast("int").alias("_key_head"),
+        )
+        unbounded_k = keys.select(
+            *group,
+            F.col("head").cast("int").alias("_key_head"),
+            F.col("pos").cast("long").alias("pos"),
+            F.col(key_vec).alias("_key"),
+            F.col(value_vec).alias("_value"),
+            (F.lit(0.0) if bias is None else bias.cast("double")).alias("_bias"),
+        )
+        return _unbounded(unbounded_q, unbounded_k, list(group), causal, tile, dim)
     if window < 1:
         raise ValueError("window must be at least 1")
     width = max(window, MIN_TILE)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import partial
 
-from steerframe.functions.core import let
-from steerframe.operators.skew import HOT_ROWS, attach_counted
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from steerframe.functions import trees as tr
+from steerframe.operators.skew import attach, null_safe
 from steerframe.schemas import require
 
 # Tree keys that hold a node's attributes, its value and its children,
@@ -14,78 +18,78 @@ ATTRIBUTES, VALUE, CHILDREN = "attributes", "value", "sub_attr"
 SAVED_VALUE, SAVED_CHILDREN = "value", "sub"
 PATH_SEPARATOR = "_-_"
 
+# Numbers of a tree's nodes that are looked up together.
+SUBTREE_BIN = 1024
 
-def _tree_node(path: Column, value: Column) -> Column:
-    """A node with its named children; ``members`` is null for anything but an object."""
-    return F.struct(
-        path.alias("path"),
-        value.alias("node"),
-        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
-    )
 
+def _arrow_schema(df: DataFrame, keys: list[str], rest: str) -> tuple[str, pa.Schema]:
+    """The keys' columns and some more, for Spark and for Arrow."""
+    own = df.select(*keys).schema
+    schema = T.StructType([*own.fields, *T.StructType.fromDDL(rest).fields])
+    return schema, to_arrow_schema(schema)
 
-def _expand_level(nodes: Column) -> Column:
-    def expanded(n: Column) -> Column:
-        children = F.transform(
-            F.map_entries(n["members"]),
-            lambda c: _tree_node(F.concat(n["path"], F.array(c["key"])), c["value"]),
-        )
-        return F.coalesce(children, F.array(n))
 
-    return F.flatten(F.transform(nodes, expanded))
+def _read_trees(df: DataFrame, json_col: str, key_cols: list[str], rows_of, rest: str) -> DataFrame:
+    schema, arrow = _arrow_schema(df, key_cols, rest)
+    return df.select(*key_cols, F.col(json_col).alias("_tree")).mapInArrow(
+        partial(tr.read_batches, keys=key_cols, rows_of=rows_of, schema=arrow), schema
+    )
 
 
-def flatten_params(
-    df: DataFrame, json_col: str, key_cols: list[str], max_depth: int = 12
-) -> DataFrame:
-    """One row per leaf of a JSON tree: its ``path`` and its ``value`` as JSON text.
+def flatten_params(df: DataFrame, json_col: str, key_cols: list[str]) -> DataFrame:
+    """One row per value of a JSON tree: its ``path`` and its ``value`` as JSON text.
 
-    The text is parsed once and its levels are opened inside the row, so a table of trees
-    is flattened in one narrow pass. A tree deeper than ``max_depth`` fails the query, whatever
-    columns of the result are read: the depth is checked in the filter.
+    A tree of any depth is read in one pass inside its row; a name that comes twice gives two
+    rows. A null, a broken text or one that is no object gives one row with a null path, the
+    text as its value, and the reason as its ``error``, which is null everywhere else.
     """
     require(df, [json_col, *key_cols], "flatten_params")
-    parsed = F.try_parse_json(F.col(json_col))
-    nodes = F.array(let(parsed, lambda v: _tree_node(F.array().cast("array<string>"), v)))
-    for _ in range(max_depth):
-        nodes = _expand_level(nodes)
-    # the outer form keeps Spark from repeating the work in an inferred filter
-    listed = df.select(*key_cols, nodes.alias("_nodes")).select(
-        *key_cols, F.explode_outer("_nodes").alias("_node")
+    return _read_trees(
+        df, json_col, key_cols, tr.leaves, "path array<string>, value string, error string"
     )
-    too_deep = F.concat(
-        F.lit(f"tree deeper than {max_depth} at "),
-        F.array_join(F.col("_node.path"), PATH_SEPARATOR),
+
+
+def tree_nodes(df: DataFrame, json_col: str, key_cols: list[str]) -> DataFrame:
+    """One row per member of a JSON tree's objects: ``path``, ``entry``, ``leave``, ``values``,
+    ``value``.
+
+    Members are numbered as they are written; what lies below one has the numbers from its
+    ``entry`` + 1 to ``leave`` - 1, so a subtree is a range of numbers, with that many
+    ``values`` in it. The value of an object is null. Broken trees are told as by
+    ``flatten_params``.
+    """
+    require(df, [json_col, *key_cols], "tree_nodes")
+    return _read_trees(
+        df, json_col, key_cols, tr.members,
+        "path array<string>, entry long, leave long, values long, value string, error string",
     )
-    closed = F.when(
-        F.col("_node.members").isNotNull(), F.raise_error(too_deep).cast("boolean")
-    ).otherwise(F.size("_node.path") > 0)
-    return listed.filter(closed).select(
-        *key_cols,
-        F.col("_node.path").alias("path"),
-        F.to_json("_node.node").alias("value"),
+
+
+def values_at(params: DataFrame, ending: list[str], children: str) -> DataFrame:
+    """Keep the rows whose path is names, with ``children`` between them, and then ``ending``;
+    the path becomes the names alone."""
+    n, last = F.size("path"), len(ending)
+    names_end = n - last
+    containers = F.filter("path", lambda _, i: (i % 2 == 1) & (i < names_end))
+    matches = (
+        (names_end >= 1)
+        & (names_end % 2 == 1)
+        & (F.slice("path", -last, last) == F.array(*map(F.lit, ending)))
+        & F.forall(containers, lambda c: c == children)
     )
+    names = F.filter("path", lambda _, i: (i % 2 == 0) & (i < names_end))
+    return params.filter(F.size("path") > last).filter(matches).withColumn("path", names)
 
 
 def values_only(params: DataFrame) -> DataFrame:
     """Keep the value of each node; its path becomes the names alone.
 
-    A tree's path alternates a name and a container; containers are left out.
+    A tree's path alternates a name and a container; containers are left out, and so are the
+    rows of broken trees.
     """
     require(params, ["path", "value"], "values_only")
-    n = F.size("path")
-    containers = F.filter(
-        F.col("path"), lambda _, i: (i % 2 == 1) & (i < F.size("path") - 2)
-    )
-    is_value = (
-        (n >= 3)
-        & (n % 2 == 1)
-        & (F.try_element_at("path", F.lit(-1)) == VALUE)
-        & (F.try_element_at("path", F.lit(-2)) == ATTRIBUTES)
-        & F.forall(containers, lambda c: c == CHILDREN)
-    )
-    names = F.filter("path", lambda _, i: (i % 2 == 0) & (i < F.size("path") - 1))
-    return params.filter(is_value).withColumn("path", names)
+    kept = values_at(params, [ATTRIBUTES, VALUE], CHILDREN)
+    return kept.drop("error") if "error" in params.columns else kept
 
 
 def tag(owner: Column, path: Column) -> Column:
@@ -106,19 +110,17 @@ def lookup(
     params: DataFrame,
     requests: DataFrame,
     keys: list[str],
-    spread_by: list[str],
     strict: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add to each request the value at its path, null if there is none.
 
     A request may write or omit the containers. ``strict`` fails on a missing path.
     """
     require(params, [*keys, "path", "value"], "lookup")
-    require(requests, [*keys, "path", *spread_by], "lookup")
+    require(requests, [*keys, "path"], "lookup")
     canonical = requests.withColumn("_path", without_containers(F.col("path")))
     values = params.select(*keys, F.col("path").alias("_path"), "value")
-    found = attach_counted(canonical, values, [*keys, "_path"], spread_by, hot_rows=hot_rows)
+    found = attach(canonical, values, [*keys, "_path"])
     if strict:
         missing = F.concat(F.lit("no such path: "), F.array_join("_path", PATH_SEPARATOR))
         found = found.withColumn(
@@ -127,6 +129,45 @@ def lookup(
     return found.drop("_path")
 
 
+def subtree(
+    nodes: DataFrame, requests: DataFrame, keys: list[str], width: int = SUBTREE_BIN
+) -> DataFrame:
+    """For each request all values at and below the node at its ``path``.
+
+    ``nodes`` are those of ``tree_nodes``; a request may write or omit the containers, which
+    are left out of the ``node`` path that comes with each ``value``. A path that is not there,
+    or has no values, gives one row with a null node. A path that is written twice gives the
+    values of both.
+
+    The requested node's range of numbers is cut into bins of ``width``, and values are found by
+    owner and bin, so one owner's large tree spreads over many tasks.
+    """
+    require(nodes, [*keys, "path", "entry", "leave", "values", "value"], "subtree")
+    require(requests, [*keys, "path"], "subtree")
+    known = nodes.filter(F.col("path").isNotNull()).select(
+        *keys, without_containers(F.col("path")).alias("_path"), "entry", "leave", "values",
+        "value", (F.try_element_at("path", F.lit(-1)) == CHILDREN).alias("_container"),
+    )
+    # a container has the path of its node, which holds it
+    ranges = known.filter(~F.col("_container") & (F.col("values") > 0)).select(
+        *keys, "_path", "entry", "leave"
+    )
+    wanted = requests.withColumn("_path", without_containers(F.col("path")))
+    bins = F.sequence(
+        F.floor(F.col("entry") / F.lit(width)), F.floor((F.col("leave") - 1) / F.lit(width))
+    )
+    asked = attach(wanted, ranges, [*keys, "_path"]).withColumn("_bin", F.explode_outer(bins))
+    leaves = known.filter(F.col("value").isNotNull()).select(
+        *keys, F.floor(F.col("entry") / F.lit(width)).alias("_bin"),
+        F.col("_path").alias("node"), F.col("entry").alias("_at"), "value",
+    )
+    inside = (F.col("r._at") >= F.col("l.entry")) & (F.col("r._at") < F.col("l.leave"))
+    met = asked.alias("l").join(leaves.alias("r"), null_safe([*keys, "_bin"]) & inside, "left")
+    return met.filter(F.col("r.node").isNotNull() | F.col("l._bin").isNull()).select(
+        *[F.col(f"l.{c}").alias(c) for c in requests.columns], "r.node", "r.value"
+    )
+
+
 def upsert(params: DataFrame, updates: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """The latest update of each path, else the present value.
 
@@ -160,66 +201,26 @@ def reconcile(known: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_saved")
 
 
-def _json_entry(name: Column, json: Column) -> Column:
-    quoted = F.to_json(F.array(name))
-    key = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-    return F.concat(key, F.lit(":"), json)
-
-
-def _json_object(entries: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
-
-
-def unflatten(params: DataFrame, keys: list[str], max_depth: int = 4) -> DataFrame:
+def unflatten(params: DataFrame, keys: list[str]) -> DataFrame:
     """Rebuild one JSON tree per key from names paths: the inverse of ``values_only``.
 
-    Works bottom-up, one grouping per level: the nodes of a level become entries of
-    their parents, all others pass. A task holds the children of one node at a time.
-    Names are sorted. Paths must be distinct and at most ``max_depth`` long; a longer one
-    fails the query.
+    The rows are sorted by key and path, and a tree is written as they stream by, with a stack
+    of its open nodes: paths may be of any length. Names are sorted. A path given several times
+    gives its name several times; null and empty paths name no node.
     """
     require(params, [*keys, "path", "value"], "unflatten")
-    nodes = params.select(
-        *keys,
-        F.when(F.size("path") <= max_depth, F.col("path"))
-        .otherwise(F.raise_error(F.lit(f"path longer than {max_depth}")).cast("array<string>"))
-        .alias("path"),
-        F.col("value").alias("_value"),
-        F.lit(None).cast("string").alias("_sub"),
-    )
-    for depth in range(max_depth, 0, -1):
-        closing = F.size("path") == depth
-        own = F.array_compact(
-            F.array(
-                _json_entry(F.lit(SAVED_VALUE), F.col("_value")),
-                _json_entry(F.lit(SAVED_CHILDREN), F.col("_sub")),
-            )
-        )
-        name = F.try_element_at("path", F.lit(-1))
-        entry = F.struct(name.alias("name"), _json_entry(name, _json_object(own)).alias("entry"))
-        nodes = (
-            nodes.select(
-                *keys,
-                F.slice("path", F.lit(1), F.least(F.size("path"), F.lit(depth - 1))).alias("path"),
-                F.when(~closing, F.col("_value")).alias("_value"),
-                F.when(closing, entry).alias("_entry"),
-            )
-            .groupBy(*keys, "path")
-            .agg(
-                F.max("_value").alias("_value"),
-                F.array_sort(F.collect_list("_entry")).alias("_entries"),
-            )
-            .select(
-                *keys,
-                "path",
-                "_value",
-                F.when(
-                    F.size("_entries") > 0,
-                    _json_object(F.transform("_entries", lambda e: e["entry"])),
-                ).alias("_sub"),
-            )
+    schema, arrow = _arrow_schema(params, keys, "tree string")
+    return (
+        params.select(*keys, "path", "value")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "path", "value")
+        .mapInArrow(
+            partial(
+                tr.written_batches, keys=keys, names=(SAVED_VALUE, SAVED_CHILDREN), schema=arrow
+            ),
+            schema,
         )
-    return nodes.select(*keys, F.col("_sub").alias("tree"))
+    )
 
 
 def select_sets(
@@ -227,26 +228,20 @@ def select_sets(
     sets: DataFrame,
     chosen: str,
     default: str,
-    spread_by: list[str],
     name: str = "set_name",
     tree: str = "tree",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The chosen sets of each request in the given order, the default set if none.
 
-    A chosen set without parameters gets an empty tree. Rows of a set that most
-    requests choose are joined in pieces.
+    A chosen set without parameters gets an empty tree.
     """
-    require(requests, [chosen, *spread_by], "select_sets")
+    require(requests, [chosen], "select_sets")
     require(sets, [name, tree], "select_sets")
     rest = [c for c in requests.columns if c != chosen]
     listed = F.when(
         F.size(F.coalesce(F.col(chosen), F.array().cast("array<string>"))) > 0, F.col(chosen)
     ).otherwise(F.array(F.lit(default)))
     picked = requests.select(*rest, F.posexplode_outer(listed).alias("set_ord", name))
-    joined = attach_counted(
-        picked, sets.select(name, tree), [name], spread_by, hot_rows=hot_rows
-    )
-    return joined.withColumn(tree, F.coalesce(tree, F.lit("{}"))).select(
+    return attach(picked, sets.select(name, tree), [name]).withColumn(tree, F.coalesce(tree, F.lit("{}"))).select(
         *rest, "set_ord", name, tree
     )

@@ -1,117 +1,27 @@
-"""Joining a per-group row back to the group's rows when one group may be huge."""
+"""Joining a per-group row back to the group's rows when one group may be huge.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-# A group with more rows than this is split over several tasks.
-HOT_ROWS = 200_000
-# Upper bound of the list of hot groups, and so of what is broadcast.
-MAX_HOT_GROUPS = 1024
-
-
-def hot_groups(
-    groups: DataFrame, keys: list[str], size: Column, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """The largest groups above ``hot_rows`` and the number of pieces for each.
-
-    At most ``MAX_HOT_GROUPS`` rows, whatever the data: a group left off the list is
-    joined in one piece, which costs time and not correctness.
-    """
-    pieces = F.ceil(size / F.lit(hot_rows)).cast("int")
-    return (
-        groups.select(*keys, pieces.alias("_pieces"))
-        .filter(F.col("_pieces") > 1)
-        .orderBy(F.desc("_pieces"))
-        .limit(MAX_HOT_GROUPS)
-    )
-
-
-def attach_group_rows(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    size: str,
-    spread_by: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join ``groups`` (one row per key) to ``rows`` (many per key).
-
-    ``size`` names the column of ``groups`` that holds the group's row count; it is
-    dropped. The rows of a hot group are spread by a hash of ``spread_by`` and its
-    group row is repeated once per piece; every other group joins as usual.
-    """
-    hot = hot_groups(groups, keys, F.col(size), hot_rows)
-    return _join_in_pieces(rows, groups.drop(size), hot, keys, spread_by, how)
-
-
-def _join_in_pieces(
-    rows: DataFrame,
-    groups: DataFrame,
-    hot: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str,
-) -> DataFrame:
-    hot = F.broadcast(hot)
-    salted_rows = rows.join(hot, keys, "left").withColumn(
-        "_piece",
-        F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread_by), F.col("_pieces").cast("long")).cast("int")
-        ),
-    )
-    salted_groups = (
-        groups.join(hot, keys, "left")
-        .withColumn(
-            "_piece",
-            F.explode_outer(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)),
-        )
-        .drop("_pieces")
-    )
-    return salted_rows.drop("_pieces").join(salted_groups, [*keys, "_piece"], how).drop("_piece")
-
-
-def attach_counted(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``attach_group_rows`` for groups that do not know their row count yet.
-
-    The hot groups are found from the rows' keys alone, so ``groups`` is computed once.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = hot_groups(counts, keys, F.col("_rows"), hot_rows)
-    return _join_in_pieces(rows, groups, hot, keys, spread_by, how)
+The group keys are compared null-safely, so the rows whose key is null are a group like any
+other. The join leaves both sides as plain shuffle stages under it: a group that is hot makes
+its partition of rows large, and adaptive execution splits every such partition and repeats the
+few group rows that belong to it (``spark.sql.adaptive.skewJoin``, on by default), however many
+groups are hot and without a pass to find them. A small side is broadcast instead, by its size
+as measured.
+"""
 
+from __future__ import annotations
 
-# A side of at most this many rows is broadcast.
-MAX_BROADCAST_ROWS = 10_000
+from functools import reduce
+from operator import and_
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def is_small(side: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether a frame has few rows, found by counting no further than the bound."""
-    bound = MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    return side.limit(bound + 1).count() <= bound
 
+def null_safe(keys: list[str], left: str = "l", right: str = "r") -> Column:
+    """Equality of the keys of two aliased frames, null equal to null."""
+    return reduce(and_, [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys])
 
-def attach_side(
-    rows: DataFrame,
-    side: DataFrame,
-    keys: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a side with one short row per key: broadcast if small, else in pieces.
 
-    Counting the side first saves shuffling the rows, which adaptive execution could only
-    decide after it had shuffled them.
-    """
-    if is_small(side):
-        return rows.join(F.broadcast(side), keys, how)
-    return attach_counted(rows, side, keys, spread_by, how, hot_rows)
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join ``groups`` (one row per key) to ``rows`` (many per key): the columns of both."""
+    others = [F.col(f"r.`{c}`") for c in groups.columns if c not in keys]
+    return rows.alias("l").join(groups.alias("r"), null_safe(keys), how).select("l.*", *others)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import arrays as ar, text as tx
-from steerframe.operators.skew import HOT_ROWS, attach_group_rows
+from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
 
@@ -14,17 +14,12 @@ def pad_to_longest(
     group: list[str],
     col: str,
     pad: int,
-    spread_by: list[str],
     side: str = "left",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Pad every array to the longest of its group, on the given side."""
-    require(df, [*group, col, *spread_by], "pad_to_longest")
-    longest = df.groupBy(*group).agg(
-        F.max(F.size(col)).alias("_longest"), F.count(F.lit(1)).alias("_rows")
-    )
-    joined = attach_group_rows(df, longest, group, "_rows", spread_by, hot_rows=hot_rows)
-    return joined.withColumn(
+    require(df, [*group, col], "pad_to_longest")
+    longest = df.groupBy(*group).agg(F.max(F.size(col)).alias("_longest"))
+    return attach(df, longest, group).withColumn(
         col, ar.pad_to(F.col(col), F.col("_longest"), pad, side)
     ).drop("_longest")
 
@@ -99,26 +94,18 @@ def leader_value(
     group: list[str],
     order: str,
     col: str,
-    spread_by: list[str],
     out: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows of a group take the value of its first row."""
-    require(df, [*group, order, col, *spread_by], "leader_value")
-    out = out or col
-    leaders = df.groupBy(*group).agg(
-        F.min_by(col, order).alias("_leader"), F.count(F.lit(1)).alias("_rows")
-    )
-    joined = attach_group_rows(df, leaders, group, "_rows", spread_by, hot_rows=hot_rows)
-    return joined.withColumn(out, F.col("_leader")).drop("_leader")
+    require(df, [*group, order, col], "leader_value")
+    leaders = df.groupBy(*group).agg(F.min_by(col, order).alias("_leader"))
+    return attach(df, leaders, group).withColumn(out or col, F.col("_leader")).drop("_leader")
 
 
 def first_end(tokens: DataFrame, seq: list[str], pos: str, token: str, eos: list[int]):
-    """Per sequence: position of its first end marker (null if none), and its row count."""
+    """Per sequence: position of its first end marker, null if there is none."""
     at_end = F.when(F.col(token).isin(*eos), F.col(pos))
-    return tokens.groupBy(*seq).agg(
-        F.min(at_end).alias("_end"), F.count(F.lit(1)).alias("_rows")
-    )
+    return tokens.groupBy(*seq).agg(F.min(at_end).alias("_end"))
 
 
 def mask_finished(
@@ -128,7 +115,6 @@ def mask_finished(
     pad: int,
     pos: str = "pos",
     token: str = "token",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One token per row: every token after a sequence's first end marker becomes pad.
 
@@ -137,9 +123,8 @@ def mask_finished(
     """
     require(tokens, [*seq, pos, token], "mask_finished")
     ends = first_end(tokens, seq, pos, token, eos)
-    joined = attach_group_rows(tokens, ends, seq, "_rows", [pos], hot_rows=hot_rows)
     finished = F.coalesce(F.col(pos) > F.col("_end"), F.lit(False))
-    return joined.withColumn(
+    return attach(tokens, ends, seq).withColumn(
         token, F.when(finished, F.lit(pad)).otherwise(F.col(token))
     ).drop("_end")
 

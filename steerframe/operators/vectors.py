@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import blocks, noise as ns, vectors as vx
-from steerframe.operators.skew import HOT_ROWS, attach_group_rows
+from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
 # Default steering weights of hidden layers and of the final scores.
@@ -30,7 +30,7 @@ def steering_shift(
     vec: str = "vec",
     dim: int | None = None,
 ) -> DataFrame:
-    """Per group: mean of its negative vectors minus its lead vector, and its row count.
+    """Per group: mean of its negative vectors minus its lead vector.
 
     The difference is linear in the rows, so one weighted vector sum gives it: a
     negative counts 1/numneg, the lead -1. That sum is combined on the map side and
@@ -57,7 +57,6 @@ def steering_shift(
         .groupBy(*group)
         .agg(
             vx.weighted_sum(vec, "_part", dim).alias("shift"),
-            F.max(F.col(numpos) + F.col(numneg)).alias("_rows"),
             F.count_if(is_lead).alias("_leads"),
             F.count_if(is_negative).alias("_negatives"),
             F.max(numneg).alias("_expected"),
@@ -65,7 +64,7 @@ def steering_shift(
             F.max(length).alias("_longest"),
         )
         .filter((F.col("_leads") == 1) & (F.col("_negatives") == F.col("_expected")))
-        .select(*group, shift.alias("shift"), "_rows")
+        .select(*group, shift.alias("shift"))
     )
 
 
@@ -78,7 +77,6 @@ def steer_from_negatives(
     numneg: str = "numneg",
     vec: str = "vec",
     dim: int | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Shift every vector of a group away from the mean of the group's negatives.
 
@@ -88,9 +86,7 @@ def steer_from_negatives(
     """
     require(vectors, [*group, batch_idx, numpos, numneg, vec], "steer_from_negatives")
     shifts = steering_shift(vectors, group, batch_idx, numpos, numneg, vec, dim)
-    joined = attach_group_rows(
-        vectors, shifts, group, "_rows", [batch_idx], hot_rows=hot_rows
-    )
+    joined = attach(vectors, shifts, group)
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
     return joined.withColumn(
         vec,
@@ -173,7 +169,7 @@ _BAND = 32
 
 
 def log_partition(df: DataFrame, group: list[str], score: str) -> DataFrame:
-    """Per group: log of the sum of exp(score), and the row count.
+    """Per group: log of the sum of exp(score).
 
     Scores are summed in bands of width 32, each relative to its own base, so the
     sum is safe for any score and needs a single pass that combines on the map
@@ -185,14 +181,12 @@ def log_partition(df: DataFrame, group: list[str], score: str) -> DataFrame:
     band = F.rint(F.when(~masked, F.col(score).cast("double")) / F.lit(float(_BAND)))
     banded = df.groupBy(*group, band.alias("_band")).agg(
         F.sum(F.exp(F.col(score) - band * F.lit(_BAND))).alias("_sum"),
-        F.count(F.lit(1)).alias("_rows"),
     )
     top = F.max("_band").over(Window.partitionBy(*group))
     weighted = banded.withColumn("_top", top).withColumn(
         "_sum", F.col("_sum") * F.exp((F.col("_band") - F.col("_top")) * F.lit(_BAND))
     )
     return weighted.groupBy(*group).agg(
-        F.sum("_rows").alias("_rows"),
         (F.first("_top") * F.lit(_BAND) + F.ln(F.sum("_sum"))).alias("log_z"),
     )
 
@@ -201,15 +195,11 @@ def group_softmax(
     df: DataFrame,
     group: list[str],
     score: str,
-    spread_by: list[str],
     out: str = "weight",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """exp(score) divided by its group's sum, safe for scores of any size."""
-    require(df, [*group, score, *spread_by], "group_softmax")
-    joined = attach_group_rows(
-        df, log_partition(df, group, score), group, "_rows", spread_by, hot_rows=hot_rows
-    )
+    require(df, [*group, score], "group_softmax")
+    joined = attach(df, log_partition(df, group, score), group)
     share = F.exp(F.col(score) - F.col("log_z"))
     unseen = F.col("log_z").isNull() & F.col(score).isNotNull()
     return joined.withColumn(out, F.when(unseen, F.lit(0.0)).otherwise(share)).drop("log_z")

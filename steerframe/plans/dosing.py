@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from steerframe.functions import curves as cv
 from steerframe.operators.curves import merge_named, profile_slots, shaped_dose
 from steerframe.operators.params import flatten_params, upsert, values_only
-from steerframe.session import ensure_checkpoint_dir
 
 # Where a site's tree keeps its dose and its profiles.
 GLOBALS, DOSE, PROFILES_CONTAINER = "type_globals", "dose_theta", "shape_sliders"
@@ -47,6 +46,4 @@ def redose(
     curves = merge_named(per_site, "_names").withColumn(
         "dose", F.coalesce(F.col("dose"), F.lit(cv.DEFAULT_DOSE))
     )
-    # read several times below: once to size it, then to join it
-    ensure_checkpoint_dir(trees.sparkSession)
-    return shaped_dose(blocks, curves.checkpoint(), [*keys, "site"], spread_by=["block_idx"])
+    return shaped_dose(blocks, curves, [*keys, "site"])

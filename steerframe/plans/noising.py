@@ -14,16 +14,14 @@ def dose_vectors(
     curves: DataFrame,
     key: Column,
     seed: int,
-    spread_by: list[str],
     noise: ns.Noise = ns.HASHED,
 ) -> DataFrame:
     """Rotate the vectors in the open span by at most their site's dose at their block.
 
     ``vectors`` hold ``site``, ``block_idx``, ``total_blocks`` and the columns of
-    ``select_span``; ``curves`` one row per site. Sites are few, so their curves are
-    broadcast and the vectors are not shuffled.
+    ``select_span``; ``curves`` one row per site.
     """
     columns = vectors.columns
-    dosed = shaped_dose(select_span(vectors), curves, ["site"], spread_by=spread_by)
+    dosed = shaped_dose(select_span(vectors), curves, ["site"])
     theta = F.when(F.col("in_span"), F.col("shaped_dose")).otherwise(0.0)
     return rotate_random(dosed, theta, key, seed, noise=noise).select(*columns)

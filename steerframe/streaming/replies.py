@@ -2,16 +2,24 @@
 
 Chunks of a key are numbered 0, 1, 2, ... A length limit, ``max_chunks``, may be given;
 chunks past it are dropped before the shuffle. A null text counts as empty.
+
+Texts may be strings or bytes. Chunks of bytes may be cut anywhere, inside characters too: a
+reply is emitted where its bytes are whole characters, so it never shows a replacement
+character; after bytes that no continuation makes valid nothing more is emitted. In strings a
+decoder has marked incomplete pieces already; such a piece is not emitted by itself but is part
+of the next emission.
 """
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
 # Fixed value: the character a decoder shows for bytes that are not complete yet.
@@ -19,103 +27,194 @@ INCOMPLETE = "\ufffd"
 
 CHUNK_COLUMNS = ["key", "seq", "ts", "text"]
 
+# Chunks of a block of the batch job: the most that one task must put together.
+BLOCK = 1024
+
+
+def _is_bytes(chunks: DataFrame) -> bool:
+    return isinstance(chunks.schema["text"].dataType, T.BinaryType)
+
 
 def within_cap(chunks: DataFrame, max_chunks: int | None = None, stop_at=None) -> DataFrame:
     """Chunks that may belong to a reply: under the cap, if any, and before a global stop."""
     require(chunks, CHUNK_COLUMNS, "accumulate")
+    empty = F.lit("").cast(chunks.schema["text"].dataType)
     kept = chunks.select(
         "key",
         "seq",
         F.col("ts").cast("timestamp").alias("ts"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", empty).alias("text"),
     ).filter(F.col("seq") >= 0)
     if max_chunks is not None:
         kept = kept.filter(F.col("seq") < max_chunks)
     return kept if stop_at is None else kept.filter(F.col("ts") < F.lit(stop_at))
 
 
+def _whole(reply: Column) -> Column:
+    """Whether bytes are whole characters, none of them a replacement character."""
+    text = reply.cast("string")
+    return F.is_valid_utf8(text) & ~text.contains(INCOMPLETE)
+
+
 def accumulate_batch(
     chunks: DataFrame,
     stop_marker: str,
     max_chunks: int | None = None,
     hold_incomplete: bool = True,
     stop_at=None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """The reply of each key as it stood at every emitted chunk.
 
     A reply ends before its stop marker. Of chunks with the same number the earliest
-    counts, and nothing after a missing number is emitted. An incomplete piece is not
-    emitted by itself but is part of the next emission.
+    counts, and nothing after a missing number is emitted. Without ``hold_incomplete``
+    strings are emitted with their incomplete pieces.
+
+    A key's chunks are cut into blocks of ``block`` numbers. A block's chunks become one
+    string, the strings of the blocks before it its prefix, and a reply is that prefix and
+    a piece of the block's string, up to the offset of its chunk. So a task holds a block,
+    or a prefix that some reply needs anyway, but never all chunks of a key.
     """
-    per_key = Window.partitionBy("key")
-    in_order = per_key.orderBy("seq")
-    first = within_cap(chunks, max_chunks, stop_at).groupBy("key", "seq").agg(
-        F.min_by("text", F.struct("ts", "text")).alias("text")
+    as_bytes = _is_bytes(chunks)
+    rows = (
+        within_cap(chunks, max_chunks, stop_at)
+        .groupBy("key", "seq").agg(F.min(F.struct("ts", "text")).alias("_first"))
+        .select(
+            "key", "seq", F.floor(F.col("seq") / F.lit(block)).cast("long").alias("_block"),
+            F.col("_first.text").cast("binary").alias("_text"),
+        )
+    )
+    inside = Window.partitionBy("key", "_block").orderBy("seq")
+    rows = rows.withColumn(
+        # no number is missing in the block up to here
+        "_joined", F.col("seq") == F.col("_block") * block + F.row_number().over(inside) - 1
+    ).filter("_joined")
+    is_stop = F.col("_text") == F.lit(stop_marker).cast("binary")
+    blocks = rows.groupBy("key", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(is_stop, F.col("seq"))).alias("_stop")
     )
-    running = (
-        first.withColumn("_place", F.row_number().over(in_order) - 1)
-        .withColumn("_stop", F.min(F.when(F.col("text") == stop_marker, F.col("seq"))).over(per_key))
-        .filter(
-            (F.col("_place") == F.col("seq"))
-            & (F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
+    # one short row for a block of chunks
+    full = F.col("_n") == block
+    place = F.row_number().over(Window.partitionBy("key").orderBy("_block")) - 1
+    ends = (
+        blocks.withColumn("_place", place)
+        .groupBy("key")
+        .agg(
+            F.min(
+                F.least(F.col("_stop"), F.when(~full, F.col("_block") * block + F.col("_n")))
+            ).alias("_end"),
+            F.count_if(F.col("_place") == F.col("_block")).alias("_blocks"),
         )
-        .withColumn(
-            "reply",
-            F.array_join(
-                F.collect_list("text").over(
-                    in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                ),
-                "",
-            ),
+        .select(
+            "key", F.least("_end", F.col("_blocks") * block).alias("_end")
         )
     )
-    if hold_incomplete:
-        running = running.filter(~F.col("text").contains(INCOMPLETE))
-    return running.select("key", "seq", "reply")
+    live = attach(rows.drop("_joined"), ends, ["key"], "inner").filter(F.col("seq") < F.col("_end"))
+    so_far = F.sum(F.length("_text")).over(inside)
+    offsets = live.select("key", "seq", "_block", "_text", so_far.alias("_offset"))
+    strings = live.groupBy("key", "_block").agg(
+        F.expr("listagg(_text) WITHIN GROUP (ORDER BY seq)").alias("_string"),
+        F.max("_end").alias("_end"),
+    )
+    last = F.floor((F.col("_end") - 1) / F.lit(block)).cast("long")
+    prefixes = (
+        strings.filter(F.col("_block") < last)
+        .select(
+            "key", F.col("_block").alias("_from"), "_string",
+            F.explode(F.sequence(F.col("_block") + 1, last)).alias("_block"),
+        )
+        .groupBy("key", "_block")
+        .agg(F.expr("listagg(_string) WITHIN GROUP (ORDER BY _from)").alias("_prefix"))
+    )
+    per_block = attach(strings.drop("_end"), prefixes, ["key", "_block"])
+    piece = F.substring("_string", F.lit(1), F.col("_offset").cast("int"))
+    reply = F.concat(F.coalesce("_prefix", F.lit("").cast("binary")), piece)
+    replies = attach(offsets, per_block, ["key", "_block"]).select("key", "seq", "_text", reply.alias("reply"))
+    if as_bytes:
+        replies = replies.filter(_whole(F.col("reply")))
+    elif hold_incomplete:
+        replies = replies.filter(~F.col("_text").cast("string").contains(INCOMPLETE))
+    return replies.select("key", "seq", F.col("reply").cast("string").alias("reply"))
 
 
 OUTPUT_SCHEMA = "key long, seq long, reply string"
 STATE_SCHEMA = (
-    "reply string, next_seq long, done boolean, latest long,"
-    " waiting_seq array<long>, waiting_text array<string>"
+    "latest long, texts array<binary>, times array<long>,"
+    " waiting_seq array<long>, waiting_text array<binary>, waiting_time array<long>"
 )
 
 
-def _advance(stop_marker: str, hold_incomplete: bool, keep_ms: int):
+def _emissions(
+    texts: list[bytes], start: int, stop_marker: bytes, as_bytes: bool, hold_incomplete: bool
+) -> Iterator[tuple[int, str]]:
+    """(number, reply) of each chunk from ``start`` on at which a reply is emitted."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    parts: list[str] = []
+    for seq, text in enumerate(texts):
+        if text == stop_marker:
+            return
+        try:
+            piece = decoder.decode(text)
+        except UnicodeDecodeError:
+            return
+        if as_bytes and INCOMPLETE in piece:
+            return
+        parts.append(piece)
+        pending = bool(decoder.getstate()[0])
+        held = pending or (hold_incomplete and not as_bytes and INCOMPLETE in piece)
+        if seq >= start and not held:
+            parts = ["".join(parts)]
+            yield seq, parts[0]
+
+
+def _advance(stop_marker: str, as_bytes: bool, hold_incomplete: bool, keep_ms: int):
+    marker = stop_marker.encode()
+
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        reply, next_seq, done, latest, waiting = "", 0, False, 0, {}
+        latest, texts, times, waiting = 0, [], [], {}
         if state.exists:
-            reply, next_seq, done, latest, seqs, texts = state.get
-            waiting = dict(zip(seqs, texts))
-        arrived: list[tuple] = []
+            latest, texts, times, *late = state.get
+            texts, times = [bytes(t) for t in texts], list(times)
+            waiting = {seq: (ts, bytes(text)) for seq, text, ts in zip(*late)}
+        before, first = list(texts), len(texts)
         for batch in batches:
             latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
-            if not done:
-                arrived.extend(zip(batch["seq"], batch["ts"], batch["text"]))
-        for seq, _, text in sorted(arrived):
-            if seq >= next_seq:
-                waiting.setdefault(int(seq), text)
-        out = []
-        while not done and next_seq in waiting:
-            text = waiting.pop(next_seq)
-            if text == stop_marker:
-                done = True
-                break
-            reply += text
-            if not (hold_incomplete and INCOMPLETE in text):
-                out.append((key[0], next_seq, reply))
-            next_seq += 1
-        if done:
-            # what remains is only the note that this key has ended
-            reply, waiting = "", {}
-        state.update((reply, next_seq, done, latest, list(waiting), list(waiting.values())))
+            for seq, ts, text in zip(batch["seq"], batch["ts"], batch["text"]):
+                seq, ts = int(seq), ts.value
+                text = bytes(text) if as_bytes else text.encode()
+                # of chunks with the same number the earliest counts, whenever it arrives
+                if seq < len(texts):
+                    if (ts, text) < (times[seq], texts[seq]):
+                        times[seq], texts[seq] = ts, text
+                        first = min(first, seq)
+                elif seq not in waiting or (ts, text) < waiting[seq]:
+                    waiting[seq] = (ts, text)
+        while len(texts) in waiting:
+            ts, text = waiting.pop(len(texts))
+            times.append(ts)
+            texts.append(text)
+        rules = (marker, as_bytes, hold_incomplete)
+        out = dict(_emissions(texts, first, *rules))
+        if first < len(before):
+            # what was emitted and does not hold any more is taken back
+            out |= {seq: None for seq, _ in _emissions(before, first, *rules) if seq not in out}
+        state.update((
+            latest, texts, times,
+            list(waiting), [text for _, text in waiting.values()], [ts for ts, _ in waiting.values()],
+        ))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(out, columns=["key", "seq", "reply"])
+        yield pd.DataFrame(
+            {
+                "key": pd.Series([key[0]] * len(out), dtype="int64"),
+                "seq": pd.Series(list(out), dtype="int64"),
+                "reply": pd.Series(list(out.values()), dtype="object"),
+            }
+        )
 
     return advance
 
@@ -129,14 +228,18 @@ def accumulate_stream(
     late: str = "10 minutes",
     keep_ms: int = 3_600_000,
 ) -> DataFrame:
-    """The same for a stream, emitted chunk by chunk in append mode.
+    """The same for a stream, emitted chunk by chunk.
 
-    Chunks may arrive out of order: one that is ahead waits in the key's state. A key's
-    state goes when the watermark is ``keep_ms`` past its last chunk.
+    Chunks may arrive out of order: one that is ahead waits in the key's state. If a chunk
+    arrives whose number had been taken by a later copy, the replies from there on come
+    again, with null where nothing is emitted any more; so the last row of each (key, seq)
+    holds, as ``streaming.keyed`` keeps it. A key's state goes when the watermark is
+    ``keep_ms`` past its last chunk. Chunks later than ``late`` are dropped, which the
+    query's progress counts as ``numRowsDroppedByWatermark``.
     """
     capped = within_cap(chunks, max_chunks, stop_at).withWatermark("ts", late)
     return capped.groupBy("key").applyInPandasWithState(
-        _advance(stop_marker, hold_incomplete, keep_ms),
+        _advance(stop_marker, _is_bytes(chunks), hold_incomplete, keep_ms),
         OUTPUT_SCHEMA,
         STATE_SCHEMA,
         "append",
@@ -171,7 +274,11 @@ def throughput(events: DataFrame, key: list[str], prior: str | None = None) -> D
 def throughput_stream(
     events: DataFrame, key: list[str], width: str, late: str, prior: str | None = None
 ) -> DataFrame:
-    """The same per tumbling window of a stream."""
+    """The same per tumbling window of a stream.
+
+    Run in update mode, a window is reported at each change, those still open at the end
+    included; in append mode once the watermark has closed it.
+    """
     require(events, [*key, "ts"], "throughput_stream")
     windowed = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), *key)
     return _rates(windowed, prior)

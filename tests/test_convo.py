@@ -128,7 +128,7 @@ def test_hot_conversation_in_pieces(spark):
     specs, messages = frames(
         spark, [spec(1), spec(2)], [(1, t, "user", f"m{t}") for t in range(500)]
     )
-    out = cn.assemble_messages(specs, messages, ["spec_id"], hot_rows=50)
+    out = cn.assemble_messages(specs, messages, ["spec_id"])
     assert out.filter("spec_id = 1").select("turn").distinct().count() == 500
 
 

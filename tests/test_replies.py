@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from steerframe.catalog.replies import run_to_end
-from steerframe.streaming import replies as rp
+from steerframe.catalog.replies import run_keyed
+from steerframe.streaming import keyed, replies as rp
 
 START = datetime.datetime(2024, 1, 1)
 SCHEMA = "key long, seq long, ts timestamp, text string"
@@ -71,31 +71,111 @@ def test_stream_equals_batch_out_of_order(spark, tmp_path):
     folder = str(tmp_path / "in")
     write_files(spark, rows, folder, 5)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = run_to_end(spark, rp.accumulate_stream(stream, "STOP", 12, late="1 day"))
-    got = sorted((r.key, r.seq, r.reply) for r in out.collect())
-    assert got == batch(spark, rows, max_chunks=12)
+    out = run_keyed(
+        spark, rp.accumulate_stream(stream, "STOP", 12, late="1 day"), ["key", "seq"], "append"
+    )
+    assert stands(out) == batch(spark, rows, max_chunks=12)
+
+
+def stands(out):
+    """The replies that hold: a null takes one back."""
+    return sorted((r.key, r.seq, r.reply) for r in out.filter("reply IS NOT NULL").collect())
 
 
-def test_stream_drops_later_copies_and_restarts(spark, tmp_path):
-    rows = sorted(random_chunks(2), key=lambda r: r[2])
+@pytest.mark.parametrize("seed", [2, 3])
+@pytest.mark.parametrize("as_bytes", [False, True])
+def test_stream_with_copies_in_any_order_equals_batch_and_restarts(spark, tmp_path, seed, as_bytes):
+    """Copies of another time, text and stop marker, before and after what they repeat."""
+    rng, rows = random.Random(seed), []
+    for key in range(25):
+        for seq in range(rng.randint(1, 12)):
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                text = rng.choice(BYTES if as_bytes else [*["x", "yy", "z\ufffd"] * 3, "STOP"])
+                rows.append(chunk(key, seq, text, rng.randint(0, 99)))
+    rng.shuffle(rows)
+    schema = SCHEMA.replace("text string", "text binary") if as_bytes else SCHEMA
     folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    half = len(rows) // 2
+    third = len(rows) // 3
 
     def run():
-        stream = spark.readStream.schema(SCHEMA).parquet(folder)
-        replies = rp.accumulate_stream(stream, "STOP", 12, late="1 day")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        replies = rp.accumulate_stream(stream, "STOP", late="1 day")
         query = (
-            replies.writeStream.format("parquet").option("path", out)
+            keyed.write_keyed(replies, out, "append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         query.awaitTermination()
 
-    write_files(spark, rows[:half], folder, 1)
-    run()
-    write_files(spark, rows[half:], folder, 1)
-    run()
-    got = sorted((r.key, r.seq, r.reply) for r in spark.read.parquet(out).collect())
-    assert got == batch(spark, rows, max_chunks=12)
+    for at in range(0, len(rows), third):
+        spark.createDataFrame(rows[at : at + third], schema).coalesce(2).write.mode("append").parquet(folder)
+        run()
+    replies = rp.accumulate_stream(spark.readStream.schema(schema).parquet(folder), "STOP")
+    got = stands(keyed.read_keyed(spark, out, replies.schema, ["key", "seq"]))
+    want = rp.accumulate_batch(spark.createDataFrame(rows, schema), "STOP")
+    assert got == sorted((r.key, r.seq, r.reply) for r in want.collect())
+    assert len(got) > (8 if as_bytes else 40)
+
+
+# pieces of characters of two, three and four bytes, whole texts, and a stop marker
+BYTES = [
+    b"a", b"", "\u00e9".encode(), "\u00e9".encode()[:1], "\u00e9".encode()[1:], b"\xe2\x82", b"\xac",
+    b"\xf0\x9f", b"\x98\x80", b"STOP",
+]
+
+
+def test_bytes_against_a_plain_decoder(spark):
+    rng, rows, want = random.Random(8), [], []
+    texts = ["na\u00efve \u20ac", "\U0001F600\U0001F601", "plain", "\u0e01\u0e02x", ""]
+    for key in range(40):
+        raw = b"".join(rng.choice(texts).encode() for _ in range(6))
+        if key % 10 == 9:
+            raw = raw[:9] + b"\xff" + raw[9:]  # nothing can follow
+        cuts = sorted(rng.randint(0, len(raw)) for _ in range(rng.randint(0, 20)))
+        parts = [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+        rows += [(key, i, START, part) for i, part in enumerate(parts)]
+        for i in range(len(parts)):
+            try:
+                want.append((key, i, b"".join(parts[: i + 1]).decode()))
+            except UnicodeDecodeError:
+                pass
+    df = spark.createDataFrame(rows, SCHEMA.replace("text string", "text binary"))
+    for block in (1, 3, 1024):
+        out = rp.accumulate_batch(df, "STOP", block=block).collect()
+        assert sorted((r.key, r.seq, r.reply) for r in out) == want
+        assert not any("\ufffd" in r.reply for r in out)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_blocks_join_like_one(spark, block):
+    rows = random_chunks(6) + [chunk(50, 2, "starts late"), chunk(51, 0, "STOP")]
+    rows += [chunk(52, i, "t") for i in range(10) if i != 6]
+    assert batch(spark, rows, block=block) == batch(spark, rows)
+
+
+def test_no_task_holds_a_hot_key(spark):
+    """The chunks of one key spread: no group, window or list goes by the key alone."""
+    df = spark.range(3000).select(
+        F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"),
+        F.lit(START).alias("ts"), F.lit("x").alias("text"),
+    )
+    out = rp.accumulate_batch(df, "STOP", block=100)
+    # chunks are counted by (key, number), (key, block); by key only the blocks' short rows
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text
+    rows = out.select("seq", F.length("reply").alias("n")).collect()
+    assert all(r.n == r.seq + 1 for r in rows) and len(rows) == 3000
+
+
+def test_last_windows_are_reported(spark, tmp_path):
+    rows = [("a", START + datetime.timedelta(hours=h)) for h in range(30)]
+    schema = "k string, ts timestamp"
+    for at in range(0, 30, 10):
+        part = spark.createDataFrame(rows[at : at + 10], schema).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    daily = rp.throughput_stream(stream, ["k"], "1 day", "1 hour")
+    out = run_keyed(spark, daily, ["window", "k"], "update").orderBy("window").collect()
+    assert [(r.seconds, r.items) for r in out] == [(23 * 3600.0, 24), (5 * 3600.0, 6)]
 
 
 def test_throughput(spark):

@@ -9,8 +9,8 @@ from steerframe.operators import skew
 SF_DIR = "/root/testdata/sf0.001"
 # read from files they wrote themselves, or from a checkpoint
 INDIRECT = {
-    "accumulate_reply_stream", "apply_stack", "apply_updates_stream", "throughput_stream",
-    "write_read_chosen", "write_read_params",
+    "accumulate_reply_bytes_stream", "accumulate_reply_stream", "apply_stack", "apply_updates_stream", "throughput_stream",
+    "write_read_chosen", "write_read_documents", "write_read_params",
 }
 OWN = {name for family in entry_point.FAMILIES for name in family.QUERIES}
 
@@ -48,26 +48,60 @@ def test_row_operators_do_not_shuffle(spark, name):
     assert "Exchange" not in plan(entry_point.queries()[name](spark, SF_DIR))
 
 
-def test_hot_list_is_bounded(spark):
-    groups = spark.range(5000).select("id", F.lit(10_000_000).alias("n"))
-    assert skew.hot_groups(groups, ["id"], F.col("n")).count() == skew.MAX_HOT_GROUPS
-
-
-def test_hot_group_is_spread_over_tasks(spark):
-    rows = spark.range(4000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("g"), "id"
-    )
-    sides = rows.groupBy("g").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skew.attach_group_rows(rows, sides, ["g"], "n", ["id"], hot_rows=100)
-        parts = (
-            joined.hint("merge").filter("g = 0").groupBy(F.spark_partition_id()).count().count()
-        )
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert joined.count() == 4000
-    assert parts > 1
+@pytest.fixture
+def small_skew(no_broadcast):
+    """Thresholds of adaptive skew splitting that fit small tables."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {key: no_broadcast.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        no_broadcast.conf.set(key, value)
+    yield no_broadcast
+    for key, value in old.items():
+        no_broadcast.conf.set(key, value)
+
+
+def attached(spark, folder, key):
+    """Rows of one group each, with their group's largest id, and where each row ended up."""
+    rows = spark.range(40_000).select(key.alias("g"), "id", F.repeat(F.lit("x"), 20).alias("pad"))
+    rows.repartition(16).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    out = skew.attach(rows, rows.groupBy("g").agg(F.max("id").alias("top")), ["g"])
+    return out.select("g", "id", "top", F.spark_partition_id().alias("task"))
+
+
+def test_hot_null_group_is_spread_over_tasks(small_skew, tmp_path):
+    key = F.when(F.col("id") % 3 > 0, F.col("id"))
+    out = attached(small_skew, str(tmp_path / "rows"), key)
+    rows = out.collect()
+    assert len(rows) == 40_000
+    assert {r.top for r in rows if r.g is None} == {39_999}
+    assert all(r.top == r.g for r in rows if r.g is not None)
+    assert len({r.task for r in rows if r.g is None}) > 3
+    assert "skew=true" in plan(out)
+
+
+def test_many_hot_groups_need_no_pass_to_find_them(small_skew, tmp_path):
+    """3,000 groups of 13 rows in two of 40 partitions: both partitions are split."""
+    # the hash that a null-safe join deals the rows by
+    place = F.pmod(F.hash("id", F.lit(False)), F.lit(40))
+    ids = small_skew.range(200_000).filter(place < 2).limit(3000)
+    groups = [r.id for r in ids.collect()]
+    listed = F.array(*[F.lit(g) for g in groups]).cast("array<long>")
+    key = F.get(listed, (F.col("id") % len(groups)).cast("int"))
+    out = attached(small_skew, str(tmp_path / "rows"), key)
+    tasks = [r.task for r in out.collect()]
+    assert max(tasks.count(t) for t in set(tasks)) < 10_000 and len(set(tasks)) > 10
+    text = plan(out)
+    assert "skew=true" in text
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert final.count("FileScan parquet") == 2
+    assert "TakeOrdered" not in text and "Window" not in text
 
 
 def test_scan_reads_only_what_is_needed(spark):

@@ -57,14 +57,14 @@ def test_prefix_reuse_takes_shortest_of_batch(spark):
     assert [(r.reused, r.new) for r in out] == [(0, 3), (1, 2)]
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1000])
+@pytest.mark.parametrize("group", [1, None])
 @pytest.mark.parametrize("side", ["left", "right"])
-def test_pad(spark, side, hot_rows):
+def test_pad(spark, side, group):
     rows = spark.range(20).select(
-        F.col("id"), F.lit(1).alias("g"),
+        F.col("id"), F.lit(group).cast("int").alias("g"),
         F.array_repeat(F.lit(5).cast("long"), F.col("id").cast("int")).alias("t"),
     )
-    out = to.pad_to_longest(rows, ["g"], "t", 0, ["id"], side, hot_rows=hot_rows)
+    out = to.pad_to_longest(rows, ["g"], "t", 0, side)
     for r in out.collect():
         own, fill = [5] * r.id, [0] * (19 - r.id)
         assert r.t == (fill + own if side == "left" else own + fill)
@@ -84,21 +84,22 @@ def test_bans_allow_blanks(spark):
     assert sorted(r.c for r in out.collect()) == [0, 2, 4]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_mask_finished_rows(spark, hot_rows):
+@pytest.mark.parametrize("group", [1, None])
+def test_mask_finished_rows(spark, group):
     rows = spark.createDataFrame(
-        [(1, p, t) for p, t in enumerate([4, 9, 5, 9, 6])] + [(2, 0, 4), (2, 1, 4)],
+        [(group, p, t) for p, t in enumerate([4, 9, 5, 9, 6])] + [(2, 0, 4), (2, 1, 4)],
         "s long, pos long, token long",
     )
-    out = to.mask_finished(rows, ["s"], [9], 0, hot_rows=hot_rows).orderBy("s", "pos")
+    out = to.mask_finished(rows, ["s"], [9], 0).orderBy("s", "pos")
     assert [r.token for r in out.collect()] == [4, 9, 0, 0, 0, 4, 4]
 
 
-def test_leader_null_and_hot(spark):
+@pytest.mark.parametrize("group", [1, None])
+def test_leader_of_a_group(spark, group):
     rows = spark.range(100).select(
-        F.lit(1).alias("g"), "id", (F.col("id") * 2).alias("v")
+        F.lit(group).cast("int").alias("g"), "id", (F.col("id") * 2).alias("v")
     )
-    out = to.leader_value(rows, ["g"], "id", "v", ["id"], hot_rows=7).collect()
+    out = to.leader_value(rows, ["g"], "id", "v").collect()
     assert len(out) == 100 and {r.v for r in out} == {0}
 
 

@@ -19,15 +19,16 @@ def random_vectors(spark, n, dim, seed=1):
 
 
 @pytest.mark.parametrize("dim", [2, None])
-@pytest.mark.parametrize("hot_rows", [2, 1000])
-def test_steer_golden(spark, hot_rows, dim):
-    rows = [(1, i, 1, 2, v) for i, v in enumerate([[2.0, 0.0], [4.0, 2.0], [0.0, 4.0]])]
-    rows += [(2, 0, 1, 0, [1.0, 1.0])]
+@pytest.mark.parametrize("group", [2, None])
+def test_steer_golden(spark, group, dim):
+    rows = [(group, i, 1, 2, v) for i, v in enumerate([[2.0, 0.0], [4.0, 2.0], [0.0, 4.0]])]
+    rows += [(1, 0, 1, 0, [1.0, 1.0])]
     df = spark.createDataFrame(rows, VECTORS)
-    out = vo.steer_from_negatives(df, ["group_id"], 0.5, dim=dim, hot_rows=hot_rows)
+    out = vo.steer_from_negatives(df, ["group_id"], 0.5, dim=dim)
     got = {(r.group_id, r.batch_idx): r.vec for r in out.collect()}
     assert got == {
-        (1, 0): [2.0, -1.5], (1, 1): [4.0, 0.5], (1, 2): [0.0, 2.5], (2, 0): [1.0, 1.0],
+        (group, 0): [2.0, -1.5], (group, 1): [4.0, 0.5], (group, 2): [0.0, 2.5],
+        (1, 0): [1.0, 1.0],
     }
 
 
@@ -123,16 +124,16 @@ def test_span(spark, site, past, chunk, protect, expected):
     assert sorted(r.pos for r in flagged) == list(expected)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 10_000])
-def test_softmax_of_extreme_scores(spark, hot_rows):
+@pytest.mark.parametrize("group", [1, None])
+def test_softmax_of_extreme_scores(spark, group):
     df = spark.range(200).select(
-        (F.col("id") % 2).alias("g"), "id",
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.lit(group).cast("int")).alias("g"), "id",
         F.when(F.col("id") % 2 == 0, 5000.0 - F.col("id")).otherwise(-5000.0 + F.col("id") * 40)
         .alias("s"),
     )
-    out = vo.group_softmax(df, ["g"], "s", ["id"], hot_rows=hot_rows)
+    out = vo.group_softmax(df, ["g"], "s")
     sums = {r.g: r.total for r in out.groupBy("g").agg(F.sum("weight").alias("total")).collect()}
-    assert sums == pytest.approx({0: 1.0, 1: 1.0}, abs=1e-12)
+    assert sums == pytest.approx({0: 1.0, group: 1.0}, abs=1e-12)
 
 
 def test_draw_follows_softmax(spark):
@@ -180,6 +181,68 @@ def test_lookup_against_dense(spark, monkeypatch, window, causal, tile):
     )
 
 
+@pytest.mark.parametrize("tile", [7, 4096])
+@pytest.mark.parametrize("causal", [True, False])
+@pytest.mark.parametrize("dim", [4, None])
+def test_unbounded_lookup_against_dense(spark, tile, causal, dim):
+    """Large scores of either sign, so that the states of a query have several bases."""
+    n, rng = 61, np.random.default_rng(2)
+    q, k, v = (rng.normal(size=(n, 4)) for _ in range(3))
+    q *= 60
+    rows = {"a": range(n), None: range(0, n, 2)}
+    queries = spark.createDataFrame(
+        [(g, h, i, q[i].tolist()) for g, own in rows.items() for h in (0, 1) for i in own],
+        "g string, head int, pos long, vec array<double>",
+    ).repartition(5)
+    keys = spark.createDataFrame(
+        [(g, 0, i, k[i].tolist(), v[i].tolist()) for g, own in rows.items() for i in own],
+        "g string, head int, pos long, key array<double>, value array<double>",
+    )
+    bias = F.when(F.col("pos") % 5 == 0, float("-inf")).otherwise(0.0)
+    out = weighted_lookup(
+        queries, keys, ["g"], heads_per_key=2, causal=causal, bias=bias, tile=tile, dim=dim
+    )
+    got = {(r.g, r.head, r.pos): r.out for r in out.collect()}
+    assert len(got) == queries.count()
+    for g, own in rows.items():
+        own = np.array(own)
+        visible = np.ones((len(own), 1)) * (own % 5 > 0)
+        if causal:
+            visible = visible * (own[:, None] >= own[None, :])
+        for h in (0, 1):
+            for at, i in enumerate(own):
+                if not visible[at].any():
+                    assert got[g, h, i] is None
+                    continue
+                want = _attention(q[own][at : at + 1], k[own], v[own], visible[at : at + 1] > 0)
+                np.testing.assert_allclose(got[g, h, i], want[0], atol=1e-9)
+
+
+def test_unbounded_lookup_sees_two_tiles_at_a_time(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    queries = spark.range(600).select(
+        F.lit(None).cast("int").alias("g"), F.lit(0).alias("head"), F.col("id").alias("pos"),
+        F.array(F.lit(1.0)).alias("vec"),
+    )
+    keys = queries.select("g", "head", "pos", F.col("vec").alias("key"), F.col("vec").alias("value"))
+    inner = lookup._cell_states
+
+    def watched(names, causal):
+        work = inner(names, causal)
+
+        def states(q, k):
+            if len(q) > 50 or len(k) > 50:
+                sizes.add(1)
+            return work(q, k)
+
+        return states
+
+    monkeypatch.setattr(lookup, "_cell_states", watched)
+    out = weighted_lookup(queries, keys, ["g"], tile=50, dim=1)
+    assert out.filter(F.col("out")[0] == 1.0).count() == 600
+    assert sizes.value == 0
+
+
 def test_lookup_with_no_visible_key(spark):
     queries = spark.createDataFrame(
         [(1, 0, 0, [1.0]), (2, 0, 5, [1.0]), (1, 0, 9, [1.0])],
@@ -240,7 +303,7 @@ def test_settings_as_list_or_table(spark, monkeypatch):
     assert sorted(dp.apply_settings(vectors, table, ["group_id"]).collect()) == sorted(as_list)
     monkeypatch.setattr(dp, "MAX_BROADCAST_SETTINGS", 1)
     for form in (settings, table):
-        joined = dp.apply_settings(vectors, form, ["group_id"], hot_rows=1)
+        joined = dp.apply_settings(vectors, form, ["group_id"])
         assert sorted(joined.collect()) == sorted(as_list)
     got = {(r.group_id, r.batch_idx): r.vec for r in as_list}
     assert got[(1, 1)] == [3.0, 3.0] and got[(2, 1)] == [2.0, 0.0] and got[(3, 1)] == [3.0, 1.0]
