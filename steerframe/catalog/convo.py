@@ -252,7 +252,7 @@ def _sql_prompts(condition: str) -> str:
 
 
 def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole job: tagged contexts to variants to fitted prompts."""
+    """Whole job, in all modes: tagged contexts to variants to fitted prompts."""
     tagged = specs(spark, sf_dir).withColumns(
         {
             "char_context": F.concat(
@@ -261,49 +261,38 @@ def prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
             "inst_context": F.col("inst_text"),
         }
-    ).withColumns({"mode": F.lit("chat"), "impersonate": F.lit(False), "is_continue": F.lit(False)})
+    )
     out = build_prompts(tagged.drop("char_text", "inst_text"), messages(spark, sf_dir))
     return out.select(
         "spec_id",
         F.col("batch_idx").cast("long").alias("batch_idx"),
         "polarity",
-        F.length("prompt").cast("long").alias("prompt_len"),
+        "prompt",
         F.size("messages").cast("long").alias("n_messages"),
     )
 
 
-SQL_PROMPT_BATCH = f"""
-WITH {_SQL_MESSAGES}, {_SQL_SPECS},
-v(batch_idx, polarity, tail) AS (
-  VALUES (0, 'positive', ' Be kind.'), (1, 'negative', ' Be rude.')
-),
-b AS (
-  SELECT s.spec_id, v.batch_idx::BIGINT AS batch_idx, v.polarity, s.max_len,
-    length(s.char_text || v.tail) + 2 AS sys_len, length(s.name2) + 1 AS open_len,
-    CASE WHEN trim(s.user_input) = '' THEN 0 ELSE length(trim(s.user_input)) + 6 END AS in_len,
-    length(s.name2) AS name2_len
-  FROM s, v
-),
-c AS (
-  SELECT b.*, h.turn, sum(CASE WHEN h.role = 'user' THEN length(h.text) + 6
-      WHEN h.role = 'assistant' THEN length(h.text) + name2_len + 3 END) OVER (
-    PARTITION BY b.spec_id, b.batch_idx ORDER BY h.turn DESC) AS run
-  FROM b LEFT JOIN h ON h.spec_id = b.spec_id AND h.role IN ('user', 'assistant')
+# the states of every variant: each has a number of its own in place of the spec's
+SQL_PROMPT_BATCH = (
+    _SQL_STATES.replace("\ns AS (", "\ns0 AS (")
+    .replace(
+        "),\nt AS (",
+        """),
+s AS (
+  SELECT s0.* REPLACE (spec_id * 2 + b AS spec_id, char_text || tail AS char_text)
+  FROM s0, (VALUES (0, ' Be kind.'), (1, ' Be rude.')) v(b, tail)
 ),
-g AS (
-  SELECT spec_id, batch_idx, polarity, max_len, sys_len, open_len, in_len,
-    coalesce(max(run) FILTER (run <= max_len - sys_len - open_len - in_len), 0) AS hist_len,
-    count(*) FILTER (run <= max_len - sys_len - open_len - in_len) AS n_hist
-  FROM c GROUP BY ALL
+t AS (""",
+    )
+    .replace(
+        "FROM h WHERE",
+        "FROM (SELECT h.* REPLACE (spec_id * 2 + b AS spec_id) FROM h, range(2) w(b)) WHERE",
+    )
+    + """
+SELECT spec_id // 2 AS spec_id, spec_id % 2 AS batch_idx,
+       ['positive', 'negative'][spec_id % 2 + 1] AS polarity, prompt, len(k) AS n_messages
+FROM best"""
 )
-SELECT spec_id, batch_idx, polarity,
-  (CASE WHEN sys_len + open_len > max_len THEN open_len
-        WHEN sys_len + open_len + in_len > max_len THEN sys_len + open_len
-        ELSE sys_len + open_len + in_len + hist_len END)::BIGINT AS prompt_len,
-  (CASE WHEN sys_len + open_len > max_len THEN 0
-        WHEN sys_len + open_len + in_len > max_len THEN 1
-        ELSE 1 + (in_len > 0)::INT + n_hist END)::BIGINT AS n_messages
-FROM g"""
 
 
 QUERIES = {

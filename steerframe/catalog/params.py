@@ -138,7 +138,7 @@ UNION ALL SELECT event_id, 'o/q', '[1, 2]', false FROM e WHERE kind = 2"""
 def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of 2 to 200 levels for each customer, flattened and put together again."""
     depth = (mod("c_custkey", 199) + 2).cast("int")
-    level = F.lit('{"n":{"attributes":{"value":1},"sub_attr":')
+    level = F.lit('{"n":{"sub_attr":')
     leaf = F.concat(F.lit('{"n":{"attributes":{"value":'), F.col("c_custkey"), F.lit("}}}"))
     tree = F.concat(F.repeat(level, depth - 1), leaf, F.repeat(F.lit("}}"), depth - 1))
     rows = table(spark, sf_dir, "customer").select("c_custkey", tree.alias("tree"))
@@ -147,7 +147,7 @@ def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_DEEP_TREES = """
-SELECT c_custkey, repeat('{"n":{"value":1,"sub":', (c_custkey % 199 + 1)::INT)
+SELECT c_custkey, repeat('{"n":{"sub":', (c_custkey % 199 + 1)::INT)
     || '{"n":{"value":' || c_custkey || '}}' || repeat('}}', (c_custkey % 199 + 1)::INT) AS tree
 FROM customer"""
 

@@ -138,14 +138,16 @@ def _apply_one(
     if isinstance(settings, list):
         used = {s.func for s in settings}
         steering = [name for name in steering if name in used]
+    no_shift = F.lit(None).cast("array<double>")
     if steering:
+        # only the rows that are steered are grouped and joined; all others stay where they are
+        steers = F.coalesce(F.col("func").isin(*steering), F.lit(False))
+        steered, others = rows.filter(steers), rows.filter(~steers)
         keys = [*DISPATCH_KEYS, *[g for g in group if g not in DISPATCH_KEYS]]
-        shifts = steering_shift(
-            rows.filter(F.col("func").isin(*steering)), keys, batch_idx, vec=vec, dim=dim
-        )
-        rows = attach(rows, shifts, keys)
+        shifts = steering_shift(steered, keys, batch_idx, vec=vec, dim=dim)
+        rows = attach(steered, shifts, keys).unionByName(others.withColumn("shift", no_shift))
     else:
-        rows = rows.withColumn("shift", F.lit(None).cast("array<double>"))
+        rows = rows.withColumn("shift", no_shift)
     context = {c: F.col(c) for c in rows.columns}
     # no setting, or one that names no known function: the vector passes unchanged
     out = F.col(vec)
@@ -184,9 +186,9 @@ def apply_stack(
 ) -> DataFrame:
     """Apply several setting sets in order, each to the output of the one before.
 
-    A set that steers reads its input twice (for the group sums and for the rows), so
-    between sets the vectors are checkpointed: the plan and the work grow with the
-    number of sets, not with its power of two.
+    A set that steers reads its input several times (for the group sums, for the rows it
+    steers and for the others), so the vectors are checkpointed before it, if a set came
+    before: the plan and the work grow with the number of sets, not exponentially.
     """
     require(vectors, [*DISPATCH_KEYS, *group, batch_idx, vec], "apply_stack")
     if isinstance(settings, DataFrame):
@@ -199,7 +201,10 @@ def apply_stack(
         ords = sorted(r.set_ord for r in settings.select("set_ord").distinct().collect())
         sets = [settings.filter(F.col("set_ord") == o) for o in ords]
     for i, one in enumerate(sets):
-        if i > 0:
+        may_steer = not isinstance(one, list) or any(
+            s.func in registry and registry[s.func].steers for s in one
+        )
+        if i > 0 and may_steer:
             ensure_checkpoint_dir(vectors.sparkSession)
             vectors = vectors.checkpoint()
         vectors = _apply_one(vectors, one, group, registry, vec, batch_idx, dim)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from steerframe.operators.skew import attach
+
 # Order values per block; a block's rows are the largest unit one task must sort.
 BLOCK = 10_000
 
@@ -54,7 +56,7 @@ def running_sum(
         before = before.withColumn(total, F.sum("_sum").over(Window.partitionBy(*keys)))
     before = before.drop("_sum")
     return (
-        local.join(before, [*keys, "_block"])
+        attach(local, before, [*keys, "_block"], "inner")
         .withColumn(out, F.col("_before") + F.col("_local"))
         .drop("_block", "_value", "_local", "_before")
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from steerframe.functions import arrays as ar, text as tx
+from steerframe.operators.running import BLOCK, running_sum
 from steerframe.operators.skew import attach
 from steerframe.schemas import require
 
@@ -52,31 +53,87 @@ def apply_bans(
     return candidates.join(banned, [*key, candidate], "left_anti")
 
 
+# Tokens that one hash stands for when sequences are compared.
+HASHED_TOKENS = 256
+
+
+def _block_hashes(tokens: Column, width: int) -> Column:
+    """Two hashes for each block of tokens; a null array has none."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tokens) / F.lit(width)), F.lit(1)) - 1)
+    return F.transform(
+        starts,
+        lambda i: F.struct(
+            F.xxhash64(F.slice(tokens, (i * width + 1).cast("int"), F.lit(width))).alias("a"),
+            F.xxhash64(F.lit(width), F.slice(tokens, (i * width + 1).cast("int"), F.lit(width))).alias("b"),
+        ),
+    )
+
+
 def prefix_reuse(
     seqs: DataFrame,
     key: list[str],
     step: str = "step",
     tokens: str = "tokens",
     row: str | None = None,
+    width: int = HASHED_TOKENS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """How much of the previous sequence each step can reuse: ``reused`` and ``new``.
 
     The previous sequence of a key is that of the step before, however far apart their
-    numbers are. With batch rows (``row``), a step reuses the shortest prefix among them. A sequence that repeats the
-    previous one as a whole still computes its last token.
+    numbers (integers, distinct) are. With batch rows (``row``), a step reuses the shortest
+    prefix among them. A sequence that repeats the previous one as a whole still computes its
+    last token.
+
+    Steps are numbered by sums over blocks, and neighbours meet by (key, number), so a long
+    history spreads over all tasks. What meets first are two hashes for ``width`` tokens; only
+    the first block whose hashes differ is then compared token by token.
     """
     by_row = [row] if row else []
     require(seqs, [*key, step, tokens, *by_row], "prefix_reuse")
-    before = Window.partitionBy(*key, *by_row).orderBy(step)
-    joined = seqs.select(
-        *key, *by_row, step, tokens, F.lag(tokens).over(before).alias("_previous")
+    own = [*key, *by_row]
+    narrow = seqs.select(
+        *own, F.col(step).cast("long").alias(step), F.size(tokens).alias("_size"),
+        _block_hashes(F.col(tokens), width).alias("_hashes"),
+    )
+    numbered = running_sum(narrow, own, step, F.lit(1), "_n", block=block).select(
+        *own, step, F.col("_n").cast("long").alias("_n"), "_size", "_hashes"
+    )
+    before = numbered.select(
+        *own, (F.col("_n") + 1).alias("_n"), F.col(step).alias("_step_before"),
+        F.col("_size").alias("_size_before"), F.col("_hashes").alias("_hashes_before"),
+    )
+    pair = attach(numbered, before, [*own, "_n"])
+    equal_blocks = ar.common_prefix(F.col("_hashes_before"), F.col("_hashes"))
+    shared = F.when(
+        equal_blocks.isNotNull(), F.least(equal_blocks * F.lit(width), "_size_before", "_size")
     )
-    prefix = F.coalesce(
-        ar.common_prefix(F.col("_previous"), F.col(tokens)), F.lit(0)
+    pairs = pair.select(
+        *own, step, "_step_before", "_size", shared.alias("_shared"),
+        (equal_blocks * F.lit(width)).cast("int").alias("_at"),
     )
-    per_row = joined.select(
-        *key, step, prefix.alias("_prefix"), F.size(tokens).alias("_size")
+    # each sequence gives the block that differs from the one before and from the one behind
+    wanted = pairs.filter(F.col("_at").isNotNull()).select(
+        *own, F.explode(F.array(
+            F.struct(F.col(step).alias(step), F.lit(False).alias("_is_before"), F.col(step).alias("_to")),
+            F.struct(F.col("_step_before").alias(step), F.lit(True).alias("_is_before"), F.col(step).alias("_to")),
+        )).alias("_w"), "_at",
+    ).select(*own, "_w.*", "_at")
+    texts = seqs.select(*own, F.col(step).cast("long").alias(step), F.col(tokens).alias("_tokens"))
+    pieces = attach(wanted, texts, [*own, step], "inner").select(
+        *own, F.col("_to").alias(step), "_is_before",
+        F.slice("_tokens", F.col("_at") + 1, F.lit(width)).alias("_piece"),
     )
+    # at most two pieces of ``width`` tokens meet
+    met = pieces.groupBy(*own, step).agg(
+        F.max(F.when(F.col("_is_before"), F.col("_piece"))).alias("_before"),
+        F.max(F.when(~F.col("_is_before"), F.col("_piece"))).alias("_own"),
+    ).select(*own, step, ar.common_prefix(F.col("_before"), F.col("_own")).alias("_more"))
+    joined = attach(pairs, met, [*own, step])
+    size = F.col("_size")
+    # past the last block that both have, the pieces are empty
+    prefix = F.coalesce(F.col("_shared") + F.coalesce("_more", F.lit(0)), F.lit(0))
+    per_row = joined.select(*key, step, prefix.alias("_prefix"), size.alias("_size"))
     if row:
         per_row = per_row.groupBy(*key, step).agg(
             F.min("_prefix").alias("_prefix"), F.max("_size").alias("_size")

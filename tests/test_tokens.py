@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,45 @@ def test_prefix_reuse_backs_up_on_full_match(spark):
     assert [(r.reused, r.new) for r in out] == [(0, 2), (1, 1), (2, 2), (0, 1)]
 
 
+@pytest.mark.parametrize("width,block", [(1, 1), (3, 4), (256, 10_000)])
+def test_prefix_reuse_against_a_plain_loop(spark, width, block):
+    rng, rows = random.Random(5), []
+    for key in (None, 0, 1, 2):
+        last = []
+        for step in sorted(rng.sample(range(60), 40 if key == 2 else 5)):
+            keep = rng.randint(0, len(last))
+            last = last[:keep] + [rng.randint(0, 2) for _ in range(rng.randint(0, 6))]
+            rows.append((key, step, list(last)))
+    rows.append((3, 0, None))
+    rows.append((3, 1, [1]))
+    want, before = {}, {}
+    for key, step, tokens in rows:
+        old, n = before.get(key), 0
+        while tokens and old and n < min(len(old), len(tokens)) and old[n] == tokens[n]:
+            n += 1
+        n -= bool(n and n == len(tokens))
+        want[key, step] = (n, None if tokens is None else len(tokens) - n)
+        before[key] = tokens
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, step int, tokens array<long>")
+    got = {(r.k, r.step): (r.reused, r.new)
+           for r in to.prefix_reuse(df, ["k"], width=width, block=block).collect()}
+    assert got == want
+
+
+def test_prefix_reuse_spreads_a_hot_key(spark):
+    df = spark.range(2000).select(
+        F.lit(1).alias("k"), F.col("id").alias("step"),
+        F.sequence(F.lit(0), F.col("id") % 50).alias("tokens"),
+    )
+    out = to.prefix_reuse(df, ["k"], block=100)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    # windows number steps inside a block, or sum up blocks; no window holds tokens
+    windows = [line for line in text.splitlines() if line.strip(" :+-|").startswith("Window")]
+    assert windows and not any("token" in line for line in windows)
+    assert out.filter("reused > 0").count() > 1900
+
+
 def test_prefix_reuse_takes_shortest_of_batch(spark):
     seqs = spark.createDataFrame(
         [(1, 0, 0, [1, 2, 3]), (1, 1, 0, [1, 2, 3]), (1, 0, 1, [1, 2, 9]), (1, 1, 1, [1, 8, 3])],

@@ -243,6 +243,25 @@ def test_unbounded_lookup_sees_two_tiles_at_a_time(spark, monkeypatch):
     assert sizes.value == 0
 
 
+def test_only_steered_rows_are_shuffled(spark, tmp_path):
+    """A default touches two layers: the vectors of all others stay where they were read."""
+    rows = [(g, i, 1, 1, [float(g), i * 1.0], layer, "layer")
+            for g in range(6) for i in range(2) for layer in range(4)]
+    spark.createDataFrame(rows, VECTORS + ", layer_idx long, site string").write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    settings = [dp.Setting(1, "layer", "steer", 0.5), dp.Setting(2, "layer", "scale", 2.0)]
+    out = dp.apply_settings(vectors, settings, ["group_id"], dim=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    union = plan[plan.index("Union"):]
+    # the branch of the others, behind the one that joins: no exchange of rows in it
+    others = union[union.rindex("Filter NOT"):] if "Filter NOT" in union else union
+    assert "hashpartitioning" not in others
+    got = {(r.group_id, r.batch_idx, r.layer_idx): r.vec for r in out.collect()}
+    assert len(got) == len(rows)
+    assert got[3, 1, 2] == [6.0, 2.0] and got[3, 1, 0] == [3.0, 1.0]
+    assert got[3, 1, 1] == [3.0, 1.0 - 0.5 * (1.0 - 0.0)]
+
+
 def test_lookup_with_no_visible_key(spark):
     queries = spark.createDataFrame(
         [(1, 0, 0, [1.0]), (2, 0, 5, [1.0]), (1, 0, 9, [1.0])],
