@@ -31,6 +31,8 @@ LONGEST_GRAM = 4
 #: training documents that the weights are learned from, at most
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
+#: languages whose rows are thinned out before they are ranked, at most
+HOT_LANGS = 1000
 
 # learning rate, its damping, and the two penalties
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
@@ -137,11 +139,27 @@ def inverse_frequencies(training: DataFrame) -> np.ndarray:
     return np.log((1.0 + docs) / (1.0 + holding)) + 1.0
 
 
+def _near_share(training: DataFrame, per_lang: int) -> Column:
+    """Whether a document's hash is in the share of its language that holds ``per_lang`` for sure.
+
+    That share is four times what is wanted; a language with fewer documents, or one not among
+    the ``HOT_LANGS`` most frequent, is taken whole. So no language sends all its rows to one
+    task, and only ``HOT_LANGS`` short rows come to the driver.
+    """
+    counts = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.filter(F.col("n") > 4 * per_lang).orderBy(F.desc("n"), "lang").limit(HOT_LANGS)
+    shares = {row.lang: 4 * per_lang / row.n for row in hot.collect()}
+    if not shares:
+        return F.lit(True)
+    listed = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    place = (F.col("_hash") / F.lit(2.0**64)) + 0.5
+    return place <= F.coalesce(F.try_element_at(listed, F.col("lang")), F.lit(1.0))
+
+
 def training_sample(training: DataFrame, rows: int) -> DataFrame:
     """(text, lang) of at most ``rows`` documents, an equal share of each language.
 
-    Those with the smallest hash are taken, so the order of the rows does not matter, and the
-    rank limit is applied in every partition before the shuffle.
+    Those with the smallest hash are taken, so the order of the rows does not matter.
     """
     per_lang = max(1, rows // max(1, training.agg(F.count_distinct("lang")).first()[0]))
     smallest = Window.partitionBy("lang").orderBy("_hash", "doc_id", "_text_hash")
@@ -150,6 +168,7 @@ def training_sample(training: DataFrame, rows: int) -> DataFrame:
             "doc_id", "lang", F.xxhash64("doc_id").alias("_hash"),
             F.xxhash64("text").alias("_text_hash"),
         )
+        .filter(_near_share(training, per_lang))
         .withColumn("_rank", F.row_number().over(smallest))
         .filter(F.col("_rank") <= per_lang)
         .orderBy("_rank", "lang").limit(rows)
