@@ -22,10 +22,11 @@ out; equal rows get equal results; without training texts every token has base l
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ DEPTH = 7
 SUPPORT = 5e-6
 #: words whose counts every task gets; the counts of others are joined
 FREQUENT = 150_000
-#: words that a worker remembers, and words whose contexts are counted at a time
-REMEMBERED, COUNTED = 250_000, 100_000
+#: words whose contexts are counted at a time
+COUNTED = 100_000
+#: bytes of texts whose words a worker holds at a time (a longer text alone), to count and to score
+HELD, SCORED = 8_000_000, 300_000
 ALPHA = 0.1
 #: bytes of context for heads, and the least share of all tokens for such a context
 REACH, HEAD_SUPPORT = 3, 5e-5
@@ -155,7 +158,6 @@ class SuffixTree:
     first: list[int]  # row of the first context of each length
     table: np.ndarray  # rows: contexts; columns: symbols that occur, then any other
     column: np.ndarray  # of each byte
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def log_words(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word with the blank that closes it."""
@@ -275,19 +277,32 @@ def _pruned(levels) -> SuffixTree:
     return SuffixTree(kept, first, np.log10(table).astype(np.float32), column)
 
 
-def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The words of texts in one row of bytes, and where words and ends start.
 
     Each text is led in by ends, as many as a context has bytes.
     """
     lead = bytes([END]) * REACH + b" "
     joined = b"".join(
-        lead + b"".join([w + b" " for w in raw.lower().split()]) + bytes([END]) for raw in texts
+        [lead + b" ".join(words) + (b" " if words else b"") + bytes([END]) for words in texts]
     )
     symbols = np.frombuffer(joined, np.uint8)
     return symbols, np.flatnonzero(symbols[:-1] == 32) + 1
 
 
+def word_lists(batches, held: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Pieces of batches with the words of their texts, some ``held`` bytes of text at a time."""
+    for batch in slices(batches, 4000):
+        raws = bytes_of(batch.column("text"))
+        start = size = 0
+        for i, raw in enumerate(raws):
+            size += len(raw)
+            if size >= held or i + 1 == len(raws):
+                part = [raw.lower().split() for raw in raws[start : i + 1]]
+                yield batch.slice(start, i + 1 - start), part
+                start, size = i + 1, 0
+
+
 def heads_of(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     heads = symbols[starts].astype(np.int64) << 8
     return heads | np.where(heads == END_HEAD, 0, symbols[np.minimum(starts + 1, len(symbols) - 1)])
@@ -302,8 +317,8 @@ def head_contexts(symbols: np.ndarray, starts: np.ndarray):
 
 
 def _head_batches(batches):
-    for batch in slices(batches, 4000):
-        symbols, starts = stream(bytes_of(batch.column("text")))
+    for _, words in word_lists(batches, HELD):
+        symbols, starts = stream(words)
         heads = heads_of(symbols, starts)
         for k, value in head_contexts(symbols, starts):
             found, n = np.unique(value << 16 | heads, return_counts=True)
@@ -326,8 +341,14 @@ class HeadTree:
     def log_changes(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         state = np.zeros(len(starts), np.int64)
         for k, value in head_contexts(symbols, starts):
-            place = _among(value, self.contexts[k])
-            state = np.where(place >= 0, self.states[k][place], state) if len(self.states[k]) else state
+            if k <= 2:  # at most 65,536 numbers: a plain table
+                table = np.full(1 << 8 * k, -1)
+                table[self.contexts[k]] = self.states[k]
+                found = table[value]
+                state = np.where(found >= 0, found, state)
+            elif len(self.states[k]):
+                place = _among(value, self.contexts[k])
+                state = np.where(place >= 0, self.states[k][place], state)
         return self.change[state, self.column[heads_of(symbols, starts)]].astype(np.float64)
 
 
@@ -387,11 +408,12 @@ def grow_heads(docs: DataFrame, shares: dict[int, float], tokens: int) -> HeadTr
 
 @dataclass
 class Scorer:
-    """What every task gets: both trees, and the logarithms of frequent words."""
+    """What every task gets: the tree of heads, and the logarithms of frequent words."""
 
-    tree: SuffixTree
-    heads: HeadTree
-    frequent: dict[bytes, int]
+    heads: HeadTree | None
+    frequent: dict[bytes, int]  # places in the two lists
+    shares: np.ndarray
+    bases: np.ndarray
     tokens: int
     kinds: int
     texts: int
@@ -408,31 +430,13 @@ class Scorer:
         )
 
 
-# what a Python worker keeps between tasks: words it knows under the tree of a name
-_worker: dict = {}
-
-
-def _known(texts: list[Counter], scorer: Scorer) -> dict[bytes, tuple]:
-    """For each word: log10 share and base if it is frequent, else none and its spelling."""
-    if _worker.get("name") != scorer.tree.name:
-        _worker.clear()
-        _worker.update(name=scorer.tree.name, words={})
-    words = _worker["words"]
-    # a difference of key views would walk through all the words that are known
-    fresh = list({w for own in texts for w in own if w not in words})
-    if len(words) + len(fresh) > REMEMBERED:
-        words.clear()
-        fresh = list(set().union(*texts))
-    for at in range(0, len(fresh), COUNTED):
-        some = fresh[at : at + COUNTED]
-        spelled = scorer.tree.log_words(some)
-        count = np.array([scorer.frequent.get(w, 0) for w in some], np.float64)
-        share, base = scorer.share(count, spelled), scorer.base(count)
-        words.update(
-            (w, (a, b) if c else (None, p))
-            for w, a, b, c, p in zip(some, share.tolist(), base.tolist(), count.tolist(), spelled.tolist())
+def _spell_batches(batches, shared):
+    """Words with counts, and the log10 probability of their bytes."""
+    for batch in slices(batches, COUNTED):
+        spelled = shared.value.log_words(batch.column("word").to_pylist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("word"), batch.column("c"), pa.array(spelled)], ["word", "c", "spelled"]
         )
-    return words
 
 
 def _score_batches(batches, shared):
@@ -440,39 +444,40 @@ def _score_batches(batches, shared):
     texts = float(scorer.texts)
     end_base = float(scorer.base(np.array(texts)))
     end_share = float(np.log10(max(texts, 1e-9) / max(scorer.tokens, 1)))
-    for batch in slices(batches, 500):
-        raws = bytes_of(batch.column("text"))
-        counts = [Counter(raw.lower().split()) for raw in raws]
-        logs = _known(counts, scorer)
-        symbols, starts = stream(raws)
-        sizes = np.array([1 + own.total() for own in counts])
-        owner = np.repeat(np.arange(len(raws)), sizes)
-        moved = np.bincount(owner, scorer.heads.log_changes(symbols, starts), len(raws))
-        rows, rare, ends = [], ([], [], []), [0]
-        for own, size, change in zip(counts, sizes.tolist(), moved.tolist()):
-            score, sure, known = end_share + change, end_base, int(texts > 0)
-            for word, n in own.items():
-                share, other = logs[word]
-                if share is None:
-                    rare[0].append(word)
-                    rare[1].append(n)
-                    rare[2].append(other)
-                else:
-                    score += n * share
-                    sure += n * other
-                    known += n
-            rows.append((size, known, sure, score))
-            ends.append(len(rare[0]))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        words = pa.StructArray.from_arrays(
-            [pa.array(c, k) for c, k in zip(rare, (pa.binary(), pa.int64(), pa.float64()))],
-            ["word", "n", "spelled"],
+    for batch, words in word_lists(batches, SCORED):
+        n = len(words)
+        sizes = np.array([len(own) for own in words], np.int64)
+        flat = list(chain.from_iterable(words))
+        place = np.fromiter(map(scorer.frequent.get, flat, repeat(-1)), np.int64, len(flat))
+        owner = np.repeat(np.arange(n), sizes)
+        symbols, starts = stream(words)
+        moved = np.bincount(
+            np.repeat(np.arange(n), sizes + 1), scorer.heads.log_changes(symbols, starts), n
         )
+        sure = place >= 0
+        frequent, of = place[sure], owner[sure]
+        part = np.bincount(of, scorer.shares[frequent], n) + end_share + moved
+        base = np.bincount(of, scorer.bases[frequent], n) + end_base
+        seen = np.bincount(of, minlength=n) + int(texts > 0)
+        # words too rare for the list, once for each text
+        rare = np.flatnonzero(~sure)
+        cuts = np.searchsorted(owner[rare], np.arange(n + 1))
+        names = [flat[i] for i in rare.tolist()]
+        own = [Counter(names[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        structs = pa.StructArray.from_arrays(
+            [
+                pa.array(list(chain.from_iterable(own)), pa.binary()),
+                pa.array(list(chain.from_iterable(c.values() for c in own)), pa.int64()),
+            ],
+            ["word", "n"],
+        )
+        ends = np.concatenate([[0], np.cumsum([len(c) for c in own])])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("held_out")]
-            + [pa.array(c, k) for c, k in zip(columns, kinds)]
-            + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)],
+            [
+                batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
+                pa.array(sizes + 1), pa.array(seen, pa.int64()), pa.array(base), pa.array(part),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs),
+            ],
             ["doc_id", "held_out", "n_tokens", "known", "sure", "part", "rare"],
         )
 
@@ -488,21 +493,29 @@ def score(docs: DataFrame) -> DataFrame:
     ).first()
     texts = training.count()
     tokens, kinds = sums["n"] + texts, sums["v"] + (texts > 0)
-    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     tree = grow(words, float(sums["symbols"]))
+    trees = spark.sparkContext.broadcast(tree)
+    # each different word is spelled once
+    words = materialized(
+        words.mapInArrow(partial(_spell_batches, shared=trees), "word binary, c long, spelled double"),
+        "lm-spelled",
+    )
+    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     scorer = Scorer(
-        tree, None, dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist())),
-        tokens, kinds, texts,
+        None, dict(zip(frequent["word"].to_pylist(), range(len(frequent)))),
+        np.zeros(0), np.zeros(0), tokens, kinds, texts,
     )
-    shares = _head_shares(words, scorer)
-    scorer.heads = grow_heads(training, shares, tokens)
+    counts = frequent["c"].to_numpy().astype(np.float64)
+    scorer.shares = scorer.share(counts, frequent["spelled"].to_numpy())
+    scorer.bases = scorer.base(counts)
+    scorer.heads = grow_heads(training, _head_shares(words, tree, scorer), tokens)
     shared = spark.sparkContext.broadcast(scorer)
     scored = materialized(
         docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
         .mapInArrow(
             partial(_score_batches, shared=shared),
             "doc_id long, held_out boolean, n_tokens long, known long, sure double,"
-            " part double, rare array<struct<word:binary,n:long,spelled:double>>",
+            " part double, rare array<struct<word:binary,n:long>>",
         )
         .withColumn("row", F.monotonically_increasing_id()),
         "lm-scored",
@@ -510,8 +523,18 @@ def score(docs: DataFrame) -> DataFrame:
     count, n = F.coalesce("c", F.lit(0)), F.col("n")
     norm = tokens + ALPHA * (kinds + 1)
     spare = max(DISCOUNT * sums["v"], 1e-9)
+
+    @F.arrow_udf("double")
+    def spelled_new(new: pa.Array) -> pa.Array:
+        out = np.zeros(len(new))
+        at = np.flatnonzero(new.is_valid().to_numpy(zero_copy_only=False))
+        out[at] = trees.value.log_words(new.take(pa.array(at)).to_pylist())
+        return pa.array(out)
+
+    # a word that training texts lack is spelled here
+    spelled = F.coalesce("spelled", spelled_new(F.when(F.col("c").isNull(), F.col("word"))))
     share = (
-        F.greatest(count - DISCOUNT, F.lit(0.0)) + spare * F.pow(F.lit(10.0), F.col("spelled"))
+        F.greatest(count - DISCOUNT, F.lit(0.0)) + spare * F.pow(F.lit(10.0), spelled)
     ) / max(tokens, 1) + 1e-300
     rare = (
         scored.select("row", F.explode("rare").alias("w")).select("row", "w.*")
@@ -532,14 +555,14 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
 
-def _head_shares(words: DataFrame, scorer: Scorer) -> dict[int, float]:
+def _head_shares(words: DataFrame, tree: SuffixTree, scorer: Scorer) -> dict[int, float]:
     """Share of each head among all tokens; at most 65,536 heads."""
     first = F.conv(F.hex(F.substring(F.concat("word", F.lit(b" ")), 1, 2)), 16, 10).cast("int")
     rows = words.groupBy(first.alias("head")).agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")
     ).toArrow()
     head = rows["head"].to_numpy().astype(np.int64)
-    spelled = 10.0 ** scorer.tree.log_heads(head)
+    spelled = 10.0 ** tree.log_heads(head)
     spare = DISCOUNT * (scorer.kinds - (scorer.texts > 0))
     share = (rows["c"].to_numpy() - DISCOUNT * rows["v"].to_numpy() + spare * spelled) / max(scorer.tokens, 1)
     out = dict(zip(head.tolist(), share.tolist()))
