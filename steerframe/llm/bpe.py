@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .common import bytes_of, slices
 
@@ -34,6 +35,8 @@ REMEMBERED = 400_000
 READ = 256
 #: ids that the decoder turns into bytes at a time
 DECODED = 4096
+#: last code point of Latin, Greek and Cyrillic, in which no version of Unicode in use differs
+SETTLED = "\u052f"
 #: parts of up to so many symbols are merged by plain scans
 SHORT = 48
 
@@ -94,6 +97,11 @@ class MergeTable:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
         self.words = regex.compile(pattern)
+        # which code points are letters and what their lower case is depends on the version of
+        # Unicode: beyond the scripts that have settled the public library's own rules hold
+        rules = Tokenizer.from_file(path)
+        self.normalizer = rules.normalizer
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.tokens = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, number in [*self.ids.items(), *self.special.items()]:
             self.tokens[number] = token.encode()
@@ -108,9 +116,15 @@ class MergeTable:
             ]
             self.gap = b""
 
-    def normalized(self, text: str) -> str:
-        """Composed and lower case; a sigma is lowered without regard to its place."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that are encoded by themselves, composed and in lower case; a
+        sigma is lowered without regard to its place."""
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if max(text) <= SETTLED:
+            composed = unicodedata.normalize("NFC", text)
+            return self.words.findall(composed.replace("Σ", "σ").lower())
+        return [part for part, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def merged(self, symbols: list[str]) -> list[str]:
         """All merges of a list of symbols: least rank first, then leftmost."""
@@ -230,7 +244,7 @@ class Encoder:
             if piece in table.special:
                 out.append(table.special[piece].to_bytes(4, "little"))
             elif piece:
-                out.extend(map(self.part_ids, table.words.findall(table.normalized(piece))))
+                out.extend(map(self.part_ids, table.parts(piece)))
         return b"".join(out)
 
     def text_ids(self, raw: bytes) -> bytes:
