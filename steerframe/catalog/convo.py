@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steerframe.catalog.common import mod, pick, table
 from steerframe.operators import convo as cn
-from steerframe.plans.prompts import build_prompts
+from steerframe.plans.prompts import build_prompts, first_builder
 
 COMMAND = "Write <|character|>'s next line.\n<|prompt|>\nStay in role."
 
@@ -295,6 +295,31 @@ FROM best"""
 )
 
 
+def _last_words(specs: DataFrame, messages: DataFrame) -> DataFrame:
+    """A user's prompt builder: the last user message of a conversation, asked again."""
+    last = (
+        cn.clean_turns(messages).filter("role = 'user'")
+        .groupBy("spec_id").agg(F.max_by("text", "turn").alias("text"))
+    )
+    asked = F.concat("name1", F.lit(" asked: "), F.coalesce("text", F.lit("nothing")))
+    return specs.select("spec_id", "name1").join(last, "spec_id", "left").select(
+        "spec_id", asked.alias("prompt")
+    )
+
+
+def user_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chosen set that has a prompt builder of its own gives the prompts."""
+    build = first_builder(["plain", "last words", "other"], {"last words": _last_words})
+    return build(specs(spark, sf_dir), messages(spark, sf_dir))
+
+
+SQL_USER_BUILDER = f"""
+WITH {_SQL_MESSAGES}, {_SQL_SPECS},
+l AS (SELECT spec_id, arg_max(text, turn) AS text FROM h WHERE role = 'user' GROUP BY 1)
+SELECT spec_id, name1 || ' asked: ' || coalesce(text, 'nothing') AS prompt
+FROM s LEFT JOIN l USING (spec_id)"""
+
+
 QUERIES = {
     "clean_turns": clean,
     "choose_system_text": system_text,
@@ -305,6 +330,7 @@ QUERIES = {
     "render_prompt_continued": render_continued,
     "wrap_chat_instruct": wrap,
     "prompt_batch": prompt_batch,
+    "user_prompt_builder": user_builder,
 }
 
 ORACLES = {
@@ -317,4 +343,5 @@ ORACLES = {
     "render_prompt_continued": _sql_prompts("mode <> 'chat-instruct' AND is_continue"),
     "wrap_chat_instruct": _sql_prompts("mode = 'chat-instruct'"),
     "prompt_batch": SQL_PROMPT_BATCH,
+    "user_prompt_builder": SQL_USER_BUILDER,
 }

@@ -277,9 +277,8 @@ SELECT owner, path, coalesce(latest.value, v.value) AS value
 FROM v FULL JOIN latest USING (owner, path)"""
 
 
-def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same updates read as a stream, a file to a batch, times in no order over the files;
-    the settings after the last batch."""
+def _run_updates(spark: SparkSession, sf_dir: str, on_change=None) -> str:
+    """The same updates read as a stream, a file to a batch, times in no order over the files."""
     changes, path = updates(spark, sf_dir), scratch_path(spark, "updates")
     timed = changes.withColumn("ts", F.col("ts").cast("timestamp"))
     timed.repartition(5, F.xxhash64("owner", "ts", "value")).write.parquet(f"{path}/in")
@@ -288,14 +287,36 @@ def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     query = (
         up.apply_updates(
-            stream, values(spark, sf_dir), f"{path}/settings", buckets=4, compact_after=2
+            stream, values(spark, sf_dir), f"{path}/settings",
+            on_change, buckets=4, compact_after=2,
         )
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return _named(up.read_settings(spark, f"{path}/settings"))
+    return f"{path}/settings"
+
+
+def update_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings after the last batch of updates."""
+    return _named(up.read_settings(spark, _run_updates(spark, sf_dir)))
+
+
+def updates_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callback of the user's, run after each batch: what is on for each owner, and its dose."""
+    out = scratch_path(spark, "callback")
+
+    def rebuild(settings: DataFrame, epoch: int) -> None:
+        dose = F.when(F.element_at("path", -1) == "dose_theta", F.col("value").try_cast("long"))
+        settings.groupBy("owner").agg(
+            F.count_if(F.col("value") == "true").alias("n_on"), F.max(dose).alias("dose")
+        ).write.mode("overwrite").parquet(f"{out}/after-{epoch}")
+        done.append(epoch)
+
+    done: list[int] = []
+    _run_updates(spark, sf_dir, rebuild)
+    return spark.read.parquet(f"{out}/after-{done[-1]}")
 
 
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +325,17 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_CALLBACK = f"""
+WITH {_SQL_VALUES}, {_SQL_UPDATES},
+now AS (
+  SELECT owner, path, coalesce(latest.value, v.value) AS value
+  FROM v FULL JOIN latest USING (owner, path)
+)
+SELECT owner, count(*) FILTER (value = 'true') AS n_on,
+       max(try_cast(value AS BIGINT)) FILTER (path LIKE '%dose_theta') AS dose
+FROM now GROUP BY 1"""
+
+
 SQL_RECONCILE = f"""
 WITH {_SQL_VALUES}, {_SQL_UPDATES}
 SELECT owner, path, coalesce(latest.value, v.value) AS value
@@ -524,6 +556,7 @@ QUERIES = {
     "lookup": look_up,
     "upsert": upsert,
     "apply_updates_stream": update_stream,
+    "apply_updates_callback": updates_callback,
     "reconcile": reconcile,
     "unflatten": unflatten,
     "select_sets": sets,
@@ -544,6 +577,7 @@ ORACLES = {
     "lookup": SQL_LOOK_UP,
     "upsert": SQL_UPSERT,
     "apply_updates_stream": SQL_UPSERT,
+    "apply_updates_callback": SQL_CALLBACK,
     "reconcile": SQL_RECONCILE,
     "unflatten": SQL_UNFLATTEN,
     "select_sets": SQL_SETS,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steerframe.catalog.common import (
@@ -16,6 +20,7 @@ from steerframe.catalog.common import (
 )
 from steerframe.catalog.curves import site_curves
 from steerframe.functions import noise as ns, vectors as vx
+from steerframe.functions.blocks import with_values
 from steerframe.operators import dispatch as dp, vectors as vo
 from steerframe.operators.lookup import weighted_lookup
 from steerframe.plans.noising import dose_vectors
@@ -119,6 +124,51 @@ FROM s JOIN shift USING (group_id, i)"""
 )
 
 
+def _rectified(vec: Column, weight: Column, context: Mapping[str, Column]) -> Column:
+    """A user's function over Arrow batches: negative components become zero."""
+
+    @F.arrow_udf("array<double>")
+    def rectify(vectors: pa.Array) -> pa.Array:
+        values = vectors.flatten().to_numpy(zero_copy_only=False)
+        return with_values(vectors, np.maximum(values, 0.0))
+
+    return rectify(vec)
+
+
+def _clipped(vec: Column, weight: Column, context: Mapping[str, Column]) -> Column:
+    """A user's function of columns: components within the weight, less for later rows."""
+    bound = weight / (context["batch_idx"] + 1)
+    return F.transform(vec, lambda x: F.greatest(F.least(x, bound), -bound))
+
+
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the user's beside the standard ones; unknown names change nothing."""
+    registry = dp.FUNCTIONS | {
+        "clip": dp.VectorFunction(_clipped),
+        "rectify": dp.VectorFunction(_rectified),
+    }
+    settings = [
+        dp.Setting(1, "h", "clip", 0.1), dp.Setting(2, "k_all", "rectify"),
+        dp.Setting(3, "h", "no such", 1.0), dp.Setting(3, "scores", "scale", 2.0),
+    ]
+    out = dp.apply_settings(sited(spark, sf_dir), settings, ["group_id"], registry)
+    return components(out, ["group_id", "batch_idx", "layer_idx", "site"])
+
+
+SQL_USER_FUNCTIONS = (
+    SQL_SITED
+    + """
+SELECT group_id, batch_idx, layer_idx, site, i,
+       round(CASE
+         WHEN layer_idx = 1 AND site = 'h'
+           THEN greatest(least(x, 0.1 / (batch_idx + 1)), -0.1 / (batch_idx + 1))
+         WHEN layer_idx = 2 AND site = 'k_all' THEN greatest(x, 0)
+         WHEN layer_idx = 3 AND site = 'scores' THEN x * 2
+         ELSE x END, 6) + 0.0 AS value
+FROM s"""
+)
+
+
 STACK = [
     *[dp.Setting(layer, site, "steer", 0.3, 0) for layer in range(6) for site in ("h", "layer")],
     *[dp.Setting(layer, "h", "scale", 2.0, 1) for layer in (1, 3)],
@@ -567,6 +617,7 @@ QUERIES = {
     "steer_from_negatives": steer,
     "apply_settings": dispatch,
     "apply_stack": stack,
+    "apply_user_functions": user_functions,
     "select_span": span,
     "rotate_random": rotate,
     "rotate_random_invariants": rotate_invariants,
@@ -591,6 +642,7 @@ ORACLES = {
     "steer_from_negatives": SQL_STEER,
     "apply_settings": SQL_DISPATCH,
     "apply_stack": SQL_STACK,
+    "apply_user_functions": SQL_USER_FUNCTIONS,
     "select_span": SQL_SPAN,
     "rotate_random": SQL_ROTATE,
     "rotate_random_invariants": SQL_ROTATE_INVARIANTS,

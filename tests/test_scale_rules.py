@@ -9,7 +9,7 @@ from steerframe.operators import skew
 SF_DIR = "/root/testdata/sf0.001"
 # read from files they wrote themselves, or from a checkpoint
 INDIRECT = {
-    "accumulate_reply_bytes_stream", "accumulate_reply_stream", "apply_stack", "apply_updates_stream", "throughput_stream",
+    "accumulate_reply_bytes_stream", "accumulate_reply_stream", "apply_stack", "apply_updates_callback", "apply_updates_stream", "throughput_stream",
     "write_read_chosen", "write_read_documents", "write_read_params",
 }
 OWN = {name for family in entry_point.FAMILIES for name in family.QUERIES}
