@@ -197,3 +197,17 @@ def test_state_is_bounded(spark):
     df = spark.createDataFrame([chunk(1, i, "x") for i in range(1000)], SCHEMA)
     assert rp.within_cap(df, 12).count() == 12
     assert rp.accumulate_batch(df, "STOP", 12).agg(F.max("seq")).first()[0] == 11
+
+
+def test_long_reply_is_cut_into_few_wide_blocks(spark):
+    """Of both: a reply of many blocks, and one that fits the blocks as they are."""
+    ends = spark.createDataFrame([(n,) for n in (1, 256, 257, 3000, 10**9)], "n long")
+    width = rp.block_width(F.col("n"), 2)
+    got = [(r.n, r.width) for r in ends.select("n", width.alias("width")).collect()]
+    assert [w for _, w in got[:3]] == [2, 2, 4]
+    assert all(w % 2 == 0 and -(-n // w) <= rp.REPLY_BLOCKS for n, w in got)
+    texts = [f"<{i}>" for i in range(3000)]
+    rows = [chunk(1, i, t) for i, t in enumerate(texts)]
+    rows += [chunk(2, i, t) for i, t in enumerate(texts[:1000])] + [chunk(2, 1000, "STOP")]
+    out = batch(spark, rows, block=2)
+    assert out == [(k, i, "".join(texts[: i + 1])) for k, n in ((1, 3000), (2, 1000)) for i in range(n)]
