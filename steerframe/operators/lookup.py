@@ -9,11 +9,13 @@ group are long
 group are worked on in parallel. Inside a cell the scores are blocks of a matrix
 product along the window's band.
 
-Without a window every tile of queries meets every tile of keys of its group, a cell per
-pair of tiles. A cell hands on, for each query, the state of a softmax over its keys: the
+Without a window every tile of queries meets every tile of keys of its group. The tiles of a
+group are put together to stretches, a cell is a pair of stretches, and a group has so few of
+them that its rows are copied a few times only, until a stretch is as long as a task should
+hold. A cell hands on, for each query, the state of a softmax over its keys: the
 sum of their weights and their weighted values, both relative to a base that is a multiple
 of 32. States with one base add up, on the map side too, and the few bases of a query are
-put together last. So no task sees more than two tiles, whatever the size of a group.
+put together last. So no task sees more than two stretches, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steerframe.functions import vectors as vx
 from steerframe.operators.skew import null_safe
@@ -36,6 +38,9 @@ QUERY_BLOCK = 256
 # Positions of a tile when there is no window.
 UNBOUNDED_TILE = 4096
 
+# Stretches that a group's tiles are put together to, and the most positions of one.
+STRETCHES, STRETCH = 16, 32_768
+
 # Distance of two bases of softmax states; exp() of it is far from overflow.
 BASE = 32.0
 
@@ -155,25 +160,51 @@ def _merged_states(states: DataFrame, query: list[str], dim: int | None) -> Data
     )
 
 
+def _with_stretches(tiles: DataFrame, names: list[str], tile: int) -> DataFrame:
+    """Add the stretch of its group that a tile is in."""
+    own = Window.partitionBy(*names)
+    together = F.least(
+        F.ceil(F.count(F.lit(1)).over(own) / F.lit(STRETCHES)), F.lit(max(1, STRETCH // tile))
+    )
+    place = F.row_number().over(own.orderBy("_tile")) - 1
+    return tiles.withColumn("_stretch", F.floor(place / together).cast("long"))
+
+
 def _unbounded(q: DataFrame, k: DataFrame, group: list[str], causal: bool, tile: int, dim) -> DataFrame:
-    """Every tile of queries against every tile of keys that it may see."""
+    """Every tile of queries against every tile of keys that it may see, stretch by stretch."""
     names = [*group, "_key_head"]
-    q = q.withColumn("_q_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
-    k = k.withColumn("_k_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
-    # one row for a tile of rows, and then one for a pair of tiles
-    q_tiles = q.select(*names, "_q_tile").distinct()
-    k_tiles = k.select(*names, "_k_tile").distinct()
-    pairs = q_tiles.alias("l").join(k_tiles.alias("r"), null_safe(names)).select(
-        *[F.col(f"l.{c}").alias(c) for c in names], "_q_tile", "_k_tile"
+    q = q.withColumn("_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
+    k = k.withColumn("_tile", F.floor(F.col("pos") / F.lit(tile)).cast("long"))
+    # one row for a tile of rows, numbered among the tiles of its group
+    tiles = (
+        q.select(*names, "_tile", F.lit(True).alias("_asks"))
+        .unionByName(k.select(*names, "_tile", F.lit(False).alias("_asks")))
+        .groupBy(*names, "_tile")
+        .agg(F.max("_asks").alias("_asks"), F.max(~F.col("_asks")).alias("_answers"))
     )
+    tiles = _with_stretches(tiles, names, tile)
+
+    def of(side: str, name: str) -> DataFrame:
+        return tiles.filter(side).select(*names, "_tile", F.col("_stretch").alias(name))
+
+    q_tiles, k_tiles = of("_asks", "_q_tile"), of("_answers", "_k_tile")
+    # and one for a pair of stretches
+    pairs = q_tiles.drop("_tile").distinct().alias("l").join(
+        k_tiles.drop("_tile").distinct().alias("r"), null_safe(names)
+    ).select(*[F.col(f"l.{c}").alias(c) for c in names], "_q_tile", "_k_tile")
     if causal:
         pairs = pairs.filter("_k_tile <= _q_tile")
 
-    def copied(rows: DataFrame, own: str, other: str) -> DataFrame:
-        met = rows.alias("l").join(pairs.alias("r"), null_safe([*names, own]))
+    def copied(rows: DataFrame, placed: DataFrame, own: str, other: str) -> DataFrame:
+        reached = placed.alias("l").join(pairs.alias("r"), null_safe([*names, own])).select(
+            "l.*", F.col(f"r.{other}").alias(other)
+        )
+        met = rows.alias("l").join(reached.alias("r"), null_safe([*names, "_tile"]))
         # aliases tell the columns of the two sides apart, which may come from one table
-        own_columns = [F.col(f"l.{c}").alias(c) for c in rows.columns]
-        return met.select(*own_columns, F.col(f"r.{other}").alias(other))
+        own_columns = [F.col(f"l.{c}").alias(c) for c in rows.columns if c != "_tile"]
+        return met.select(
+            *own_columns, F.col(f"r.{own}").alias(own), F.col(f"r.{other}").alias(other)
+        )
 
     cell = [*names, "_q_tile", "_k_tile"]
     fields = [f.simpleString().replace(":", " ", 1) for f in q.select(*group).schema]
@@ -181,8 +212,8 @@ def _unbounded(q: DataFrame, k: DataFrame, group: list[str], causal: bool, tile:
         [*fields, "head int", "pos long", "_base double", "_total double", "_values array<double>"]
     )
     states = (
-        copied(q, "_q_tile", "_k_tile").groupBy(*cell)
-        .cogroup(copied(k, "_k_tile", "_q_tile").groupBy(*cell))
+        copied(q, q_tiles, "_q_tile", "_k_tile").groupBy(*cell)
+        .cogroup(copied(k, k_tiles, "_k_tile", "_q_tile").groupBy(*cell))
         .applyInArrow(_cell_states(list(group), causal), schema)
     )
     query = [*group, "head", "pos"]

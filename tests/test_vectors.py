@@ -243,6 +243,40 @@ def test_unbounded_lookup_sees_two_tiles_at_a_time(spark, monkeypatch):
     assert sizes.value == 0
 
 
+def test_unbounded_lookup_makes_few_stretches_of_many_tiles(spark):
+    """A row meets as many cells as its group has stretches, however many tiles there are."""
+    tiles = spark.createDataFrame(
+        [(g, t * 10**9) for g, n in ((None, 1000), ("a", 17), ("b", 3)) for t in range(n)],
+        "g string, _tile long",
+    )
+    placed = lookup._with_stretches(tiles, ["g"], 2).collect()
+    for g, n in ((None, 16), ("a", 9), ("b", 3)):
+        own = [s for _, s in sorted((r._tile, r._stretch) for r in placed if r.g == g)]
+        assert len(set(own)) == n and own == sorted(own)
+    # a stretch is never longer than a task should hold
+    wide = lookup._with_stretches(tiles, ["g"], lookup.STRETCH // 4).filter("g is null")
+    assert wide.groupBy("_stretch").count().agg(F.max("count")).first()[0] == 4
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_unbounded_lookup_over_stretches_against_dense(spark, causal):
+    n, rng = 150, np.random.default_rng(3)
+    q, k, v = (rng.normal(size=(n, 2)) for _ in range(3))
+    queries = spark.createDataFrame(
+        [(1, 0, i, q[i].tolist()) for i in range(n)], "g int, head int, pos long, vec array<double>"
+    )
+    keys = spark.createDataFrame(
+        [(1, 0, i, k[i].tolist(), v[i].tolist()) for i in range(n)],
+        "g int, head int, pos long, key array<double>, value array<double>",
+    )
+    out = weighted_lookup(queries, keys, ["g"], causal=causal, tile=2, dim=2).collect()
+    visible = np.tril(np.ones((n, n))) > 0 if causal else np.ones((n, n)) > 0
+    want = _attention(q, k, v, visible)
+    assert len(out) == n
+    for r in out:
+        np.testing.assert_allclose(r.out, want[r.pos], atol=1e-9)
+
+
 def test_only_steered_rows_are_shuffled(spark, tmp_path):
     """A default touches two layers: the vectors of all others stay where they were read."""
     rows = [(g, i, 1, 1, [float(g), i * 1.0], layer, "layer")
