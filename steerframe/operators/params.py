@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from steerframe.functions import trees as tr
-from steerframe.operators.skew import attach, null_safe
+from steerframe.operators.skew import attach, null_safe, too_large_to_copy
 from steerframe.schemas import require
 
 # Tree keys that hold a node's attributes, its value and its children,
@@ -120,7 +120,7 @@ def lookup(
     require(requests, [*keys, "path"], "lookup")
     canonical = requests.withColumn("_path", without_containers(F.col("path")))
     values = params.select(*keys, F.col("path").alias("_path"), "value")
-    found = attach(canonical, values, [*keys, "_path"])
+    found = attach(canonical, too_large_to_copy(values), [*keys, "_path"])
     if strict:
         missing = F.concat(F.lit("no such path: "), F.array_join("_path", PATH_SEPARATOR))
         found = found.withColumn(
@@ -162,7 +162,9 @@ def subtree(
         F.col("_path").alias("node"), F.col("entry").alias("_at"), "value",
     )
     inside = (F.col("r._at") >= F.col("l.entry")) & (F.col("r._at") < F.col("l.leave"))
-    met = asked.alias("l").join(leaves.alias("r"), null_safe([*keys, "_bin"]) & inside, "left")
+    met = asked.alias("l").join(
+        leaves.alias("r"), null_safe([*keys, "_bin"]) & inside, "left"
+    )
     return met.filter(F.col("r.node").isNotNull() | F.col("l._bin").isNull()).select(
         *[F.col(f"l.{c}").alias(c) for c in requests.columns], "r.node", "r.value"
     )

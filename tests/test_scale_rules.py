@@ -107,3 +107,10 @@ def test_many_hot_groups_need_no_pass_to_find_them(small_skew, tmp_path):
 def test_scan_reads_only_what_is_needed(spark):
     df = entry_point.queries()["upsert"](spark, SF_DIR)
     assert "ReadSchema: struct<c_custkey:bigint>" in plan(df)
+
+
+@pytest.mark.parametrize("name", ["lookup"])
+def test_values_of_trees_are_not_sent_whole_to_every_task(spark, name):
+    """Made by user code, they are guessed far too small before they are there."""
+    initial = plan(entry_point.queries()[name](spark, SF_DIR))
+    assert "BroadcastHashJoin" not in initial and "SortMergeJoin" in initial
