@@ -156,14 +156,14 @@ def subtree(
     bins = F.sequence(
         F.floor(F.col("entry") / F.lit(width)), F.floor((F.col("leave") - 1) / F.lit(width))
     )
-    asked = attach(wanted, ranges, [*keys, "_path"]).withColumn("_bin", F.explode_outer(bins))
+    asked = attach(wanted, too_large_to_copy(ranges), [*keys, "_path"]).withColumn("_bin", F.explode_outer(bins))
     leaves = known.filter(F.col("value").isNotNull()).select(
         *keys, F.floor(F.col("entry") / F.lit(width)).alias("_bin"),
         F.col("_path").alias("node"), F.col("entry").alias("_at"), "value",
     )
     inside = (F.col("r._at") >= F.col("l.entry")) & (F.col("r._at") < F.col("l.leave"))
     met = asked.alias("l").join(
-        leaves.alias("r"), null_safe([*keys, "_bin"]) & inside, "left"
+        too_large_to_copy(leaves).alias("r"), null_safe([*keys, "_bin"]) & inside, "left"
     )
     return met.filter(F.col("r.node").isNotNull() | F.col("l._bin").isNull()).select(
         *[F.col(f"l.{c}").alias(c) for c in requests.columns], "r.node", "r.value"
