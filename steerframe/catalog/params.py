@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from steerframe.catalog.common import mod, table
+from steerframe.catalog.common import mod, spread, table
 from steerframe.functions import curves as cv
 from steerframe.operators import curves as co, params as po
 from steerframe.plans import dosing
@@ -43,7 +43,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         profiles,
         F.lit('}}}},"weight":{"attributes":{"value":"w"}}}'),
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         F.concat(F.lit("c"), key).alias("owner"), tree.alias("tree")
     )
 
@@ -141,7 +141,8 @@ def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.lit('{"n":{"sub_attr":')
     leaf = F.concat(F.lit('{"n":{"attributes":{"value":'), F.col("c_custkey"), F.lit("}}}"))
     tree = F.concat(F.repeat(level, depth - 1), leaf, F.repeat(F.lit("}}"), depth - 1))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", tree.alias("tree"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey"))
+    rows = rows.select("c_custkey", tree.alias("tree"))
     flat = po.values_only(po.flatten_params(rows, "tree", ["c_custkey"]))
     return po.unflatten(flat, ["c_custkey"]).select("c_custkey", "tree")
 

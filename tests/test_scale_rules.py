@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from steerframe.catalog import params
 from steerframe.operators import skew
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -114,3 +115,11 @@ def test_values_of_trees_are_not_sent_whole_to_every_task(spark, name):
     """Made by user code, they are guessed far too small before they are there."""
     initial = plan(entry_point.queries()[name](spark, SF_DIR))
     assert "BroadcastHashJoin" not in initial and "SortMergeJoin" in initial
+
+
+def test_trees_of_one_row_group_are_spread_over_tasks(spark, tmp_path):
+    customers = spark.range(20_001).withColumnRenamed("id", "c_custkey")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("flatten_params", "values_only"):
+        assert entry_point.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() == 5
+    assert params.trees(spark, str(tmp_path)).distinct().count() == 20_001
