@@ -198,7 +198,7 @@ def reconcile(known: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
     require(known, [*keys, "path", "value"], "reconcile")
     require(saved, [*keys, "path", "value"], "reconcile")
     saved_values = saved.select(*keys, "path", F.col("value").alias("_saved"))
-    return known.join(saved_values, [*keys, "path"], "left").withColumn(
+    return known.join(too_large_to_copy(saved_values), [*keys, "path"], "left").withColumn(
         "value", F.coalesce("_saved", "value")
     ).drop("_saved")
 

@@ -1,10 +1,12 @@
 import datetime
 import json
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from steerframe.functions import trees as tr
 from steerframe.operators import params as po
 from steerframe.sources import settings_store as store
 from steerframe.streaming import updates as up
@@ -347,3 +349,40 @@ def test_redose_takes_all_updates(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     catalog.redose(spark, sf)
     assert seen[0].count() == catalog.updates(spark, sf).count()
+
+
+def test_values_of_a_deep_tree_do_not_copy_the_path_of_every_level():
+    levels = 3000
+    text = '{"n":' * levels + "1" + "}" * levels
+    tracemalloc.start()
+    rows = tr.leaves(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(["n"] * levels, "1", None)]
+    # a list of 3000 names is 24 kB; a copy for each level is 36 MB
+    assert peak < 3_000_000
+
+
+@pytest.mark.parametrize(
+    "text", ['{"a":01}', '{"a":1.}', '{"a":-}', '{"a":1 2}', '{"a":"\\x"}', '{"a":"b\tc"}',
+             '{"a\tb":1}', '{"a":nullx}', '{"a":1,}', '{"a" 1}', '{"a":{"b":1}', '{"a":NaN}'],
+)
+def test_plain_names_and_values_are_read_no_looser_than_others(text):
+    assert tr.leaves(text)[0][0] is None and tr.leaves(text)[0][2]
+
+
+def test_plain_names_and_values_are_kept_as_written():
+    text = '{ "a" : -0.50e+3 ,"b\\n":"x\\"\\u00e9","c":"\\/","d":%s}' % ("1" * 300)
+    assert tr.leaves(text) == [
+        (["a"], "-0.50e+3", None), (["b\n"], '"x\\"\\u00e9"', None), (["c"], '"\\/"', None),
+        (["d"], "1" * 300, None),
+    ]
+
+
+def test_saved_values_are_not_sent_whole_to_every_task(spark):
+    """Known and saved values that are made by user code, guessed smaller than they are."""
+    values = po.values_only(po.flatten_params(trees(spark, TREE), "tree", ["owner"]))
+    out = po.reconcile(values, values, ["owner"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(str, out.collect())) == sorted(map(str, values.collect()))
