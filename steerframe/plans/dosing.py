@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from steerframe.functions import curves as cv
 from steerframe.operators.curves import merge_named, profile_slots, shaped_dose
 from steerframe.operators.params import flatten_params, upsert, values_only
+from steerframe.operators.skew import too_large_to_copy
 
 # Where a site's tree keeps its dose and its profiles.
 GLOBALS, DOSE, PROFILES_CONTAINER = "type_globals", "dose_theta", "shape_sliders"
@@ -34,7 +35,7 @@ def redose(
     is_dose = (container == GLOBALS) & (name == DOSE)
     # a path is there once, so a site's list is at most as long as the table of profiles
     per_site = (
-        current.join(slots, [*keys, "path"], "left")
+        current.join(too_large_to_copy(slots), [*keys, "path"], "left")
         .groupBy(*keys, F.get("path", F.lit(0)).alias("site"))
         .agg(
             F.array_sort(
@@ -46,4 +47,4 @@ def redose(
     curves = merge_named(per_site, "_names").withColumn(
         "dose", F.coalesce(F.col("dose"), F.lit(cv.DEFAULT_DOSE))
     )
-    return shaped_dose(blocks, curves, [*keys, "site"])
+    return shaped_dose(blocks, too_large_to_copy(curves), [*keys, "site"])

@@ -110,7 +110,7 @@ def test_scan_reads_only_what_is_needed(spark):
     assert "ReadSchema: struct<c_custkey:bigint>" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["lookup", "lookup_subtree"])
+@pytest.mark.parametrize("name", ["lookup", "lookup_subtree", "redose"])
 def test_values_of_trees_are_not_sent_whole_to_every_task(spark, name):
     """Made by user code, they are guessed far too small before they are there."""
     initial = plan(entry_point.queries()[name](spark, SF_DIR))
