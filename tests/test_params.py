@@ -1,6 +1,8 @@
 import datetime
 import json
 import random
+import re
+import sys
 import tracemalloc
 
 import pytest
@@ -386,3 +388,34 @@ def test_saved_values_are_not_sent_whole_to_every_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert sorted(map(str, out.collect())) == sorted(map(str, values.collect()))
+
+
+def read_all(text):
+    return tr.leaves(text), tr.members(text)
+
+
+def test_plain_members_are_read_as_step_by_step(monkeypatch):
+    """Whole trees and damaged ones: the same rows and reasons if no member counts as plain."""
+    rng, texts = random.Random(5), ["{}", " { } ", "{} x", "", None, '{"a":{"b":1} "c":2}']
+    for _ in range(2000):
+        text, _ = random_tree(rng, rng.choice([0, 1, 3, 6]))
+        texts.append(text)
+        at = rng.randrange(len(text))
+        texts.append(text[:at] + rng.choice(["", "}", "{", ",", '"', ":", " "]) + text[at + rng.randint(0, 2) :])
+    plain = [read_all(text) for text in texts]
+    assert 500 < sum(bool(rows) and rows[0][0] is None for rows, _ in plain) < 3500
+    monkeypatch.setattr(tr, "_PLAIN_MEMBER", re.compile("(?!)"))
+    assert [read_all(text) for text in texts] == plain
+
+
+def test_a_plain_member_is_read_by_one_match():
+    text = "{" + ",".join('"n%d":{"label":"x","value":%d}' % (i, i) for i in range(100)) + "}"
+    seen = []
+    sys.setprofile(lambda _, event, f: seen.append(f.__name__) if event == "c_call" else None)
+    try:
+        rows = tr.leaves(text)
+    finally:
+        sys.setprofile(None)
+    assert rows[:2] == [(["n0", "label"], '"x"', None), (["n0", "value"], "0", None)] and len(rows) == 200
+    # 300 members, and the ends of the tree
+    assert seen.count("match") < 310
