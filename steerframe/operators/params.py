@@ -209,12 +209,17 @@ def unflatten(params: DataFrame, keys: list[str]) -> DataFrame:
     The rows are sorted by key and path, and a tree is written as they stream by, with a stack
     of its open nodes: paths may be of any length. Names are sorted. A path given several times
     gives its name several times; null and empty paths name no node.
+
+    There is a task for each shuffle partition of the session. Adaptive execution would leave about
+    one for each core, as rows with paths are shuffled small, so that a task's time would grow with
+    the table.
     """
     require(params, [*keys, "path", "value"], "unflatten")
     schema, arrow = _arrow_schema(params, keys, "tree string")
+    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         params.select(*keys, "path", "value")
-        .repartition(*keys)
+        .repartition(tasks, *keys)
         .sortWithinPartitions(*keys, "path", "value")
         .mapInArrow(
             partial(

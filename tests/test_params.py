@@ -419,3 +419,18 @@ def test_a_plain_member_is_read_by_one_match():
     assert rows[:2] == [(["n0", "label"], '"x"', None), (["n0", "value"], "0", None)] and len(rows) == 200
     # 300 members, and the ends of the tree
     assert seen.count("match") < 310
+
+
+def test_trees_are_put_together_by_as_many_tasks_as_the_session_shuffles_to(spark):
+    """Rows with paths are shuffled small, which must not leave them to a task for each core."""
+    rows = spark.range(200).select(
+        F.col("id").alias("owner"), F.array(F.lit("a")).alias("path"), F.lit("1").alias("value")
+    )
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        out = po.unflatten(rows, ["owner"])
+        assert out.rdd.getNumPartitions() == 24
+        assert out.filter("tree = '{\"a\":{\"value\":1}}'").count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
