@@ -23,6 +23,10 @@ OnChange = Callable[[DataFrame, int], None]
 BUCKETS = 16
 COMPACT_AFTER = 8
 
+# Tasks that write a bucket of some size side by side. Rows with paths are shuffled small, so
+# adaptive execution alone would leave many of them to one task before it splits it.
+WRITERS = 4
+
 STORED = T.StructType(
     [*PARAM.fields, T.StructField("ts", T.TimestampType()), T.StructField("changed", T.BooleanType())]
 )
@@ -44,7 +48,9 @@ def _write(rows: DataFrame, folder: str, buckets: int) -> None:
     (
         rows.select(*STORED.names)
         .withColumn("bucket", _bucket(F.col("owner"), buckets))
-        .hint("rebalance", "bucket")
+        .withColumn("_writer", F.pmod(F.hash("owner", "path"), F.lit(WRITERS)))
+        .hint("rebalance", "bucket", "_writer")
+        .drop("_writer")
         .write.mode("overwrite").partitionBy("bucket").parquet(folder)
     )
 

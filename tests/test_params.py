@@ -434,3 +434,21 @@ def test_trees_are_put_together_by_as_many_tasks_as_the_session_shuffles_to(spar
         assert out.filter("tree = '{\"a\":{\"value\":1}}'").count() == 200
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_a_bucket_of_settings_is_written_by_several_tasks(spark, tmp_path):
+    base = spark.range(400).select(
+        F.concat(F.lit("o"), "id").alias("owner"), F.array(F.lit("a")).alias("path"), F.lit("1").alias("value")
+    )
+    shuffled_updates(spark, str(tmp_path / "in"), 1)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        run_updates(spark, base, str(tmp_path / "in"), tmp_path, buckets=2)
+    finally:
+        spark.conf.set(key, old)
+    folder = tmp_path / "settings" / "base" / "0"
+    files = [len(list((folder / f"bucket={i}").glob("*.parquet"))) for i in range(2)]
+    assert all(1 < n <= up.WRITERS for n in files)
+    assert spark.read.parquet(str(folder)).distinct().count() == 400
