@@ -211,3 +211,55 @@ def test_long_reply_is_cut_into_few_wide_blocks(spark):
     rows += [chunk(2, i, t) for i, t in enumerate(texts[:1000])] + [chunk(2, 1000, "STOP")]
     out = batch(spark, rows, block=2)
     assert out == [(k, i, "".join(texts[: i + 1])) for k, n in ((1, 3000), (2, 1000)) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_characters_are_those_of_the_text(spark, kind, block):
+    """Of whole and cut characters, and in strings that hold bytes of no character."""
+    rng, rows = random.Random(11), []
+    for key in [*range(20), None]:
+        for seq in range(12):
+            rows.append(chunk(key, seq, rng.choice([t for t in BYTES if t != b"STOP"] + [b"\xff", b"z\xef\xbf\xbd"])))
+    rows += [chunk(50, i, t.encode()) for i, t in enumerate(["na\u00efve", "", "\U0001F600\u20ac", "STOP", "x"])]
+    chunks = spark.createDataFrame(rows, SCHEMA.replace("text string", "text binary"))
+    chunks = chunks.withColumn("text", F.col("text").cast(kind))
+    out = rp.accumulate_batch(chunks, "STOP", block=block, length="n")
+    assert out.columns == ["key", "seq", "reply", "n"]
+    found = out.select("key", "seq", "n", F.length("reply").cast("long").alias("counted")).collect()
+    assert found and all(r.n == r.counted for r in found)
+    assert sorted((r.seq, r.n) for r in found if r.key == 50) == [(0, 5), (1, 5), (2, 7)]
+    assert len(found) == rp.accumulate_batch(chunks, "STOP", block=block).count()
+
+
+def test_replies_are_made_by_many_tasks(spark):
+    """Short rows of which long replies are made: not by the few tasks that the rows would fill."""
+    df = spark.range(2000).select(
+        F.lit(1).cast("long").alias("key"), F.col("id").alias("seq"),
+        F.lit(START).alias("ts"), F.lit("x").alias("text"),
+    )
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = rp.accumulate_batch(df, "STOP", block=10)
+        rows = out.select("seq", F.length("reply").alias("n"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert sorted((r.seq, r.n) for r in rows) == [(i, i + 1) for i in range(2000)]
+    assert len({r.task for r in rows}) > 20
+
+
+def test_a_block_of_many_bytes_is_cut_into_slices(spark, monkeypatch):
+    rows = random_chunks(7) + [chunk(52, i, f"<{i}>") for i in range(400)]
+    rows += [chunk(None, i, "t") for i in range(30)] + [chunk(53, 0, "STOP")]
+    whole = rp.accumulate_batch(spark.createDataFrame(rows, SCHEMA), "STOP", length="n").collect()
+    assert [r.reply for r in sorted(whole, key=lambda r: r.seq) if r.key is None] == ["t" * n for n in range(1, 31)]
+    monkeypatch.setattr(rp, "SLICE_BYTES", 2000)
+    frame = spark.createDataFrame([(0, 100), (1, 100), (2, 100), (3, 100), (0, 1), (3, 10**9)], "place int, size int")
+    slices = rp.block_slices(F.col("place"), F.lit(50), F.lit(200), F.col("size"))
+    assert [r[0] for r in frame.select(slices).collect()] == [1, 2, 2, 3, 1, rp.BLOCK_SLICES]
+    for block in (64, 1024):
+        cut = rp.accumulate_batch(spark.createDataFrame(rows, SCHEMA), "STOP", block=block, length="n")
+        assert sorted(cut.collect(), key=repr) == sorted(whole, key=repr)
+    # all of one block, by several tasks
+    assert cut.filter("key = 52").select(F.spark_partition_id()).distinct().count() > 1
